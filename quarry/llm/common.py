@@ -28,6 +28,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df to be broadcast if it is seen to have no more than so many rows; else df as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def held_out(doc_id: str | Column) -> Column:
     """The fold that is never learned from: crc32 of the id as text, modulo 5, is 0."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
