@@ -67,10 +67,8 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, carry: list[str] | None = None) -> DataFrame:
-    """Each row's size, source_size, target and taken (words the mix takes, repeats counted), beside the carried columns."""
-    keep = carry or ["doc_id"]
-    sized = cut(sizes(docs, keep))
+def thresholds(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
+    """One row for each source: of, source_size, target, times (whole takes), at3 (hash of the boundary) and part (words from each row on it)."""
     plan = targets(sized, weights, most)
     plan = cut(
         plan.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -78,21 +76,40 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
         .withColumnRenamed("src", "of")
     )
     one = cut(
-        _crossing(sized.groupBy("src", "b1").agg(F.sum("size").alias("words")).join(plan, _same(F.col("src"), F.col("of"))), ["src"], "rest", "b1")
+        _crossing(sized.groupBy("src", "b1").agg(F.sum("size").alias("words")).join(small(plan), _same(F.col("src"), F.col("of"))), ["src"], "rest", "b1")
         .select(F.col("of").alias("of1"), F.col("b1").alias("at1"), (F.col("rest") - F.col("before")).alias("rest1"))
     )
+    in_one = sized.join(small(one), _same(F.col("src"), F.col("of1")) & (F.col("b1") == F.col("at1")))
     two = cut(
-        _crossing(
-            sized.join(small(one), _same(F.col("src"), F.col("of1")) & (F.col("b1") == F.col("at1"))).groupBy("src", "at1", "rest1", "b2").agg(F.sum("size").alias("words")), ["src"], "rest1", "b2")
+        _crossing(in_one.groupBy("src", "at1", "rest1", "b2").agg(F.sum("size").alias("words")), ["src"], "rest1", "b2")
         .select(F.col("src").alias("of2"), F.col("at1").alias("at1b"), F.col("b2").alias("at2"), (F.col("rest1") - F.col("before")).alias("rest2"))
     )
+    in_two = sized.join(small(two), _same(F.col("src"), F.col("of2")) & (F.col("b1") == F.col("at1b")) & (F.col("b2") == F.col("at2")))
     three = cut(
-        _crossing(
-            sized.join(small(two), _same(F.col("src"), F.col("of2")) & (F.col("b1") == F.col("at1b")) & (F.col("b2") == F.col("at2"))).groupBy("src", "rest2", "h").agg(F.sum("size").alias("words"), F.count("*").alias("sharers")), ["src"], "rest2", "h")
+        _crossing(in_two.groupBy("src", "rest2", "h").agg(F.sum("size").alias("words"), F.count("*").alias("sharers")), ["src"], "rest2", "h")
         .select(F.col("src").alias("of3"), F.col("h").alias("at3"), F.floor((F.col("rest2") - F.col("before")) / F.col("sharers")).cast("long").alias("part"))
     )
-    table = cut(plan.join(three, _same(F.col("of"), F.col("of3")), "left").select("of", "source_size", "target", "times", "at3", "part"))
+    return cut(plan.join(three, _same(F.col("of"), F.col("of3")), "left").select("of", "source_size", "target", "times", "at3", "part"))
+
+
+def take(sized: DataFrame, table: DataFrame, keep: list[str]) -> DataFrame:
+    """The kept columns of sized with size, source_size, target and taken."""
     more = F.when(F.col("h") < F.col("at3"), F.col("size")).when(F.col("h") == F.col("at3"), F.least("part", "size")).otherwise(0)
     taken = (F.col("times") * F.col("size") + F.coalesce(more, F.lit(0))).cast("long")
-    out = sized.join(small(table), _same(F.col("src"), F.col("of")))
-    return out.select(*keep, "size", "source_size", "target", taken.alias("taken"))
+    return sized.join(small(table), _same(F.col("src"), F.col("of"))).select(*keep, "size", "source_size", "target", taken.alias("taken"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
+    """Each row's doc_id, size, source_size, target and taken (words the mix takes, repeats counted)."""
+    sized = cut(sizes(docs))
+    return take(sized, thresholds(sized, weights, most), ["doc_id"])
+
+
+def resample(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
+    """docs' rows as often as the mix takes them: taken / size times, rounded half up. Rows without words go."""
+    row = docs.select(F.struct("*").alias("_row"), "doc_id", "text", "source")
+    table = thresholds(cut(sizes(row)), weights, most)
+    found = take(sizes(row, ["_row"]), table, ["_row"])  # texts are read again rather than checkpointed
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    out = found.withColumn("_times", times).filter("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

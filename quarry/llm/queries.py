@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import fingerprint, langid, mixing, packing, pii, simhash, topk
+from quarry.llm import fingerprint, langid, mixing, packing, pagetext, pii, simhash, tokencount, topk, toxicity
 from quarry.llm.common import held_out, table
 
 
@@ -31,12 +31,26 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(tokencount.token_files(table(spark, sf_dir, "documents"))).select("doc_id", "file", "ordinal", "start", "n_tokens")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.train(docs))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op9_pagetext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_list", 256).alias("base_sha256"), F.col("span_list").alias("spans"))
@@ -49,7 +63,10 @@ def queries() -> dict:
         "op3_packing": op3_packing,
         "op4_fingerprint": op4_fingerprint,
         "op5_mixing": op5_mixing,
+        "op6_tokencount": op6_tokencount,
+        "op7_toxicity": op7_toxicity,
         "op8_langid": op8_langid,
+        "op9_pagetext": op9_pagetext,
         "op10_pii": op10_pii,
     }
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut
+from quarry.llm.common import cut, small
 
 SEED = 42
 ROUND_CHARS = 4_000_000
@@ -45,23 +45,29 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """Signed 64-bit SimHash of the text's word shingles."""
+def shingle_hashes(text: str | None, width: int = 3) -> np.ndarray:
+    """XXH64 of the text's word shingles, repeats included, in order; of the whole sequence if it is shorter."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     whole = b" ".join(words)
     h = xxhash.xxh64_intdigest
     if len(words) <= width:
-        grams = [h(whole, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-        starts = (ends[: len(words) - width + 1] - np.fromiter(map(len, words), dtype=np.int64, count=len(words))[: len(words) - width + 1] - 1).tolist()
-        stops = (ends[width - 1 :] - 1).tolist()
-        grams = [h(whole[a:b], SEED) for a, b in zip(starts, stops, strict=True)]
-    counts = _bits(np.array(grams, dtype=np.uint64))
-    bits = np.packbits(counts * 2 > len(grams), bitorder="little")
-    return int(bits.view("<i8")[0])
+        return np.array([h(whole, SEED)], dtype=np.uint64)
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(lengths + 1)
+    starts = (ends - lengths - 1)[: len(words) - width + 1].tolist()
+    stops = (ends[width - 1 :] - 1).tolist()
+    return np.array([h(whole[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit fingerprint: the bits set in over half of the hashes; 0 for none."""
+    return int(np.packbits(_bits(hashes) * 2 > len(hashes), bitorder="little").view("<i8")[0]) if len(hashes) else 0
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    return majority(shingle_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -266,12 +272,95 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
     return fps.join(classes, "fp").select("doc_id", "fp", "rep", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 3) -> DataFrame:
+def partial_fingerprints(hashes: np.ndarray, parts: int = 16, rows: int = 3) -> list[int]:
+    """SimHashes of `rows` shingles each, drawn min-wise: two texts share one with about similarity ** rows.
+
+    The hash space is cut into parts x rows slots and each slot gives its least hash; an empty slot borrows
+    from the next one that isn't.
+    """
+    slots = parts * rows
+    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+    top = np.uint64(2**64 - 1)
+    least = np.full(slots, top)
+    np.minimum.at(least, ((mixed >> np.uint64(32)) % np.uint64(slots)).astype(np.int64), mixed)
+    full = np.flatnonzero(least != top)
+    if len(full) < slots:
+        take = full[np.searchsorted(full, np.arange(slots)) % len(full)]
+        least = least[take] + (take != np.arange(slots)) * np.arange(slots, dtype=np.uint64)
+    if rows == 3:  # the majority of three, for all parts at once
+        a, b, c = least.reshape(parts, 3).T
+        return ((a & b) | (a & c) | (b & c)).view(np.int64).tolist()
+    return [majority(x) for x in least.reshape(parts, rows)]
+
+
+def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, fp, words_key, parts): whole and partial fingerprints, and a 128-bit digest of the word sequence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, keys, parts = [], [], []
+            for x in b.column(1):
+                text = x.as_py() or ""
+                h = shingle_hashes(text, width)
+                fp.append(majority(h))
+                keys.append(xxhash.xxh3_128_digest(b" ".join(text.encode("utf-8", "surrogatepass").translate(FOLD).split())))
+                parts.append(partial_fingerprints(h) if len(h) else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.list_(pa.int64()))], ["doc_id", "fp", "words_key", "parts"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long, words_key binary, parts array<long>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) of ids whose texts' shingle sets have a Jaccard similarity of `similarity` or more."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(ids, 300_000), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    left, right = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, np.ndarray] = {}  # of the few hubs met last
+        for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ok = []
+            for i, x in enumerate(a):
+                if x not in kept:
+                    if len(kept) >= 256:
+                        kept.clear()
+                    kept[x] = np.unique(shingle_hashes(batch.column(2)[i].as_py(), width))
+                mine, other = kept[x], np.unique(shingle_hashes(batch.column(3)[i].as_py(), width))
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                ok.append(both >= similarity * (len(mine) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, ok, strict=True) if k], pa.int64()), pa.array([x for x, k in zip(b, ok, strict=True) if k], pa.int64())], ["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def keep_one(docs: DataFrame, width: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each near-duplicate class: the one with the smallest id (one row of equal ids).
 
+    Texts at a similarity of 0.8 differ in up to 18 of 64 bits, beyond any exact index. So links come from
+    three sources: equal word sequences, whole fingerprints within `radius` bits (the Gray-order index), and
+    pairs that share a partial fingerprint and whose shingle sets are then compared exactly. In a bucket of
+    equal partial fingerprints each text is compared with the smallest id; with 16 buckets a text, chances
+    are that a link which one bucket's choice passes over is found through another.
     Rows without an id can't be told apart and are all kept.
     """
-    found = near_duplicates(docs, width, radius)
-    best = cut(found.filter("doc_id = component_id").select("doc_id").distinct())
-    rows = docs.join(best, "doc_id", "left_semi")
-    return rows.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    with_id = docs.filter("doc_id is not null")
+    found = cut(sketches(with_id, width))
+    texts = cut(found.groupBy("words_key").agg(F.min(F.struct("doc_id", "fp", "parts")).alias("x")).select(F.col("x.doc_id").alias("node"), "x.fp", "x.parts", "words_key"))
+    reps = cut(texts.groupBy("fp").agg(F.min("node").alias("node")))
+    same = texts.join(reps.withColumnRenamed("node", "rep"), "fp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    buckets = texts.select("node", F.posexplode("parts").alias("i", "part")).select("node", F.xxhash64("i", "part").alias("key"))
+    shared = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    pairs = cut(buckets.join(shared, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct())
+    edges = links(reps.select("node", "fp"), radius).union(same).union(verified(pairs, with_id, similarity, width))
+    labels = components(edges)
+    merged = labels.filter("label <> node").select("node")
+    copies = found.join(texts.select(F.col("node").alias("first"), "words_key"), "words_key").filter("doc_id <> first").select("doc_id")
+    gone = cut(merged.select(F.col("node").alias("doc_id")).union(copies).distinct())
+    left = docs.join(small(gone, 300_000), "doc_id", "left_anti").select(*docs.columns)
+    twice = cut(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if twice.isEmpty():
+        return left
+    again = left.join(small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return left.join(small(twice), "doc_id", "left_anti").select(*docs.columns).unionByName(again)
