@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import unicodedata
+from array import array
 
 from quarry.llm.common import tokenizer_path
 
@@ -19,27 +19,52 @@ from quarry.llm.common import tokenizer_path
 ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]|<\\|")
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else the next free one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+LETTER_OF = byte_letters()
+#: Letters whose lower case depends on their neighbours or is more than one letter.
+SPECIAL = re.compile("[\u0130\u03a3]")
+
+
 class WordTokens:
     def __init__(self, name: str = "word_bpe_49k.json", cache_words: int = 1_500_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(tokenizer_path(name))
-        self.model.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.cache: dict[str, bytes] = {}
         self.cache_words = cache_words
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.cache) + len(words) > self.cache_words:
-            self.cache.clear()
-        todo = list(words)
-        for i in range(0, len(todo), 20_000):
-            part = todo[i : i + 20_000]
-            for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-
     def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, w: str) -> bytes:
+        """Ids of one white-space word. Letters alone are one pre-token and go straight to the merges."""
+        if w.isalpha() and not SPECIAL.search(w):
+            if w.isascii():
+                w = w.lower()
+            else:
+                w = "".join([LETTER_OF[b] for b in unicodedata.normalize("NFC", w).lower().encode()])
+            return array("I", [t.id for t in self.model.tokenize(w)]).tobytes()
+        return self.whole(w)
+
+    def _learn(self, words: set[str]) -> None:
+        cache, word = self.cache, self.word
+        for w in words:
+            if w[-1] in ".," and (stem := w[:-1]).isalpha():
+                for part in (stem, w[-1]):
+                    if part not in cache:
+                        cache[part] = word(part)
+                cache[w] = cache[stem] + cache[w[-1]]
+            elif w not in cache:
+                cache[w] = word(w)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -52,18 +77,13 @@ class WordTokens:
         try:
             return b"".join([cache[w] for w in words])
         except KeyError:
-            new = {w for w in words if w not in cache}
-            ends = {w[:-1] for w in new if w[-1] in ".," and w[:-1].isalpha()}
-            stems = {w for w in new if not (w[-1] in ".," and w[:-1].isalpha())} | {w for w in ends if w not in cache} | {".", ","}
-            if len(words) + len(stems) > self.cache_words:
+            if len(words) > self.cache_words // 4:
                 return self.whole(text)
-            if len(cache) + 2 * len(new) + 2 > self.cache_words:
+            new = {w for w in words if w not in cache}
+            if len(cache) + 2 * len(new) > self.cache_words:
                 cache.clear()
-                new, stems = set(words), {w[:-1] if w[-1] in ".," and w[:-1].isalpha() else w for w in words} | {".", ","}
-            self._learn(stems)
-            for w in new:
-                if w not in cache:
-                    cache[w] = cache[w[:-1]] + cache[w[-1]]
+                new = set(words)
+            self._learn(new)
             return b"".join([cache[w] for w in words])
 
 
