@@ -28,7 +28,8 @@ from quarry.llm.common import hash_sample, held_out, tokenizer_path
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 24
-PIECE = 10
+PIECE = 7
+SLICE = 20_000
 START = "▁"
 FLOOR = 1e-9
 
@@ -106,11 +107,12 @@ class Lattice:
 
 
 class Model:
-    def __init__(self, langs: list[str], p: np.ndarray, cache_words: int = 1_000_000) -> None:
+    def __init__(self, langs: list[str], p: np.ndarray, cache_words: int = 500_000) -> None:
         self.langs, self.p, self.cache_words = langs, p, cache_words
         self.pieces: dict[str, int] = {}
         self.cache: dict[str, int] = {}
-        self.rows = np.zeros((0, len(langs)))
+        self.rows = np.zeros((1024, len(langs)), dtype=np.float32)
+        self.used = 0
 
     def __getstate__(self) -> dict:
         return {"langs": self.langs, "p": self.p, "cache_words": self.cache_words}
@@ -119,37 +121,70 @@ class Model:
         self.__init__(**state)
 
     def _learn(self, new: list[str]) -> None:
+        """Scores of unseen tokens, a slice at a time so that the lattices stay small."""
         if not self.pieces:
             self.pieces = vocabulary()
-        forms = [stretches(t) for t in new]
-        distinct = list(dict.fromkeys(f for own in forms for f in own))
-        at = {f: k for k, f in enumerate(distinct)}
-        logs = Lattice(distinct, self.pieces).forward(self.p) if distinct else np.zeros((0, len(self.langs)))
-        base = len(self.rows)
-        rows = np.zeros((len(new), len(self.langs)))
-        for k, own in enumerate(forms):
-            self.cache[new[k]] = base + k
-            for f in own:
-                rows[k] += logs[at[f]]
-        self.rows = np.concatenate([self.rows, rows])
-
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        tokens = [(t or "").lower().split() for t in texts]
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-            self.rows = self.rows[:0]
-        new = list({w for own in tokens for w in own if w not in self.cache})
-        if new:
-            self._learn(new)
-        out = []
-        for text, own in zip(texts, tokens, strict=True):
-            if not self.langs or not own or not LETTERS.search(text or ""):
-                out.append(("und", 0.0))
-                continue
-            total = self.rows[[self.cache[w] for w in own]].sum(axis=0)
-            best = int(total.argmax())
-            out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
-        return out
+        for i in range(0, len(new), SLICE):
+            part = new[i : i + SLICE]
+            forms = [stretches(t) for t in part]
+            distinct = list(dict.fromkeys(f for own in forms for f in own))
+            at = {f: k for k, f in enumerate(distinct)}
+            logs = Lattice(distinct, self.pieces).forward(self.p) if distinct else np.zeros((0, len(self.langs)))
+            if self.used + len(part) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((max(len(part), len(self.rows)), len(self.langs)), dtype=np.float32)])
+            for k, own in enumerate(forms):
+                self.cache[part[k]] = self.used + k
+                self.rows[self.used + k] = logs[[at[f] for f in own]].sum(axis=0) if own else 0
+            self.used += len(part)
+
+    def totals(self, text: str) -> np.ndarray:
+        """Log-probability of the text in each language."""
+        tokens = text.lower().split()
+        cache = self.cache
+        try:
+            at = [cache[w] for w in tokens]
+        except KeyError:
+            new = {w for w in tokens if w not in cache}
+            if len(cache) + 2 * len(new) > self.cache_words:
+                cache.clear()
+                self.used, new = 0, set(tokens)
+            bare = {w.rstrip(".,") for w in new}
+            self._learn([w for w in bare if w not in cache])
+            for w in new:
+                if w not in cache:
+                    cache[w] = cache[w.rstrip(".,")]
+            at = [cache[w] for w in tokens]
+        return self.rows[at].sum(axis=0, dtype=np.float64)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        if not self.langs or not text or not LETTERS.search(text):
+            return "und", 0.0
+        total = self.totals(text)
+        best = int(total.argmax())
+        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+
+    def predict_all(self, texts: Iterator[str | None]) -> list[tuple[str, float]]:
+        """Texts in runs whose unseen tokens are learned together."""
+        out: list[tuple[str, float]] = []
+        run: list[str | None] = []
+        size = 0
+        for t in texts:
+            run.append(t)
+            size += len(t or "")
+            if size > 2_000_000:
+                out += self._run(run)
+                run, size = [], 0
+        return out + self._run(run)
+
+    def _run(self, run: list[str | None]) -> list[tuple[str, float]]:
+        new: set[str] = set()
+        for t in run:
+            new.update((t or "").lower().split())
+        new = {w.rstrip(".,") for w in new if w not in self.cache}
+        new = {w for w in new if w not in self.cache}
+        if self.langs and len(self.cache) + 3 * len(new) <= self.cache_words:
+            self._learn(list(new))
+        return [self.predict(t) for t in run]
 
 
 def train(docs: DataFrame, sample_docs: int = 400, rounds: int = 4, smooth: float = 0.02) -> Model:
@@ -185,7 +220,7 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = shared.value.predict(b.column(b.num_columns - 1).to_pylist())
+            found = shared.value.predict_all(x.as_py() for x in b.column(b.num_columns - 1))
             columns = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*keep, "lang_pred", "score"])
 
