@@ -17,7 +17,7 @@ from quarry.llm.wordtokens import WordTokens
 def both():
     t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     t.encode_special_tokens = True
-    return WordTokens(cache_words=20_000), lambda s: np.array(t.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    return WordTokens(cache_words=5_000), lambda s: np.array(t.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def test_documents(both):
