@@ -217,14 +217,17 @@ def mask(docs: DataFrame) -> DataFrame:
     found = accepted(candidates(row, ["_row"]), keys).select("_row", "spans", F.col("_row.text").cast("string").alias("text"))
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["until"].alias("until"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(0).alias("n"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substr("text", acc["at"] + 1, s["at"] - acc["at"])
-        return F.when(s["at"] < acc["at"], acc).otherwise(F.struct(s["until"].alias("at"), F.concat(acc["out"], gap, names[s["kind"]]).alias("out")))
-
-    masked = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1, F.length("text"))))
-    text = F.when(F.size("spans") > 0, masked).otherwise(F.col("text"))
+        gap, name = F.substr("text", acc["at"] + 1, s["at"] - acc["at"]), names[s["kind"]]
+        size = acc["n"] + s["at"] - acc["at"] + F.length(name)
+        return F.when(s["at"] < acc["at"], acc).otherwise(F.struct(s["until"].alias("at"), F.concat(acc["out"], gap, name).alias("out"), size.alias("n")))
+
+    rest_of = F.aggregate(ordered, start, step)
+    found = found.withColumn("_m", F.when(F.size("spans") > 0, rest_of))
+    text = F.when(F.col("_m").isNotNull(), F.concat(F.col("_m.out"), F.substr("text", F.col("_m.at") + 1, F.length("text")))).otherwise(F.col("text"))
+    n_chars = F.when(F.col("_m").isNotNull(), (F.col("_m.n") + F.length("text") - F.col("_m.at")).cast("long"))
     rest = [F.col("_row")[c].alias(c) for c in docs.columns]
-    change = {"text": text, "n_chars": F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
+    change = {"text": text, "n_chars": n_chars.otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
     return found.select(*[change[c].alias(c) if change.get(c) is not None else r for c, r in zip(docs.columns, rest, strict=True)])
