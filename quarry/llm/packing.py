@@ -2,8 +2,8 @@
 
 1. One pass tokenises each document, cuts it at multiples of the sequence length and writes a small row
    for each piece (its place, length and checksum); token ids themselves are never shuffled.
-2. The pieces' lengths, rounded up to `grain` tokens, form a histogram of at most capacity/grain bins: the
-   only thing the driver sees, at any size of input.
+2. The pieces' lengths form a histogram of at most capacity rows: the only thing the driver sees, at any size
+   of input. They are rounded up to the finest of 1, 2, 4 or 8 tokens that leaves at most 512 bins.
 3. A linear program chooses how often to use each pattern (a multiset of bins that fits one sequence).
    Patterns are generated as columns: a knapsack dynamic program prices them against the duals.
 4. Patterns are rounded down; what is left is placed best-fit decreasing. Sequences of the rest that would
@@ -30,7 +30,8 @@ from quarry.llm.common import cut
 from quarry.llm.wordtokens import tokens
 
 CAPACITY = 4096
-GRAIN = 8
+GRAINS = (1, 2, 4, 8)
+MOST_BINS = 512
 END = np.array([2], dtype="<u4").tobytes()
 
 
@@ -87,6 +88,25 @@ def _price(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), column
 
 
+def _invert(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row exchanges. Elementwise, like all of solve(): the driver starts no BLAS threads beside the JVM's."""
+    n = len(a)
+    work = np.concatenate([a, np.eye(n)], axis=1)
+    for i in range(n):
+        p = i + int(np.abs(work[i:, i]).argmax())
+        if p != i:
+            work[[i, p]] = work[[p, i]]
+        work[i] /= work[i, i]
+        rows = np.flatnonzero(work[:, i])
+        rows = rows[rows != i]
+        work[rows] -= work[rows, i][:, None] * work[i]
+    return work[:, n:]
+
+
+def _times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,j->i", a, x)
+
+
 def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Revised simplex with generated columns: the basis' patterns (as columns) and how often each is used.
 
@@ -95,14 +115,14 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 1e-
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
-    x = inverse @ counts
+    x = _times(inverse, counts)
     for k in range(rounds):
         duals = inverse.sum(axis=0)
         value, column = _price(sizes, np.maximum(duals, 0), capacity)
         total = x.sum()
         if value <= 1 + 1e-9 or total - total / value <= gap * total:
             break
-        d = inverse @ column
+        d = _times(inverse, column)
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         r = int(ratio.argmin())
         if not np.isfinite(ratio[r]):
@@ -114,8 +134,8 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 1e-
         x = x - d * ratio[r]
         x[r] = ratio[r]
         if k % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            x = inverse @ counts
+            inverse = _invert(basis)
+            x = _times(inverse, counts)
         x = np.maximum(x, 0)
     return basis, x
 
@@ -149,11 +169,16 @@ def plan(histogram: dict[int, int], capacity: int, spare: float = 0.01) -> list[
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, spare: float = 0.01, bucket_rows: int = 500_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, spare: float = 0.01, bucket_rows: int = 500_000) -> DataFrame:
     """Pieces of docs with their sequence_id and offset: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = cut(document_pieces(docs, capacity).withColumn("bin", F.ceil(F.col("length") / grain).cast("int")))
-    histogram = {r.bin: r["count"] for r in pieces.groupBy("bin").count().collect()}  # capacity / grain rows at most
+    pieces = cut(document_pieces(docs, capacity))
+    lengths = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
+    grain = next((g for g in GRAINS if capacity % g == 0 and len({-(-n // g) for n in lengths}) <= MOST_BINS), GRAINS[-1])
+    histogram: Counter = Counter()
+    for n, count in lengths.items():
+        histogram[-(-n // grain)] += count
+    pieces = pieces.withColumn("bin", F.ceil(F.col("length") / grain).cast("int"))
     runs, taken, base = [], Counter(), 0
     for pattern, times, dissolve in plan(histogram, capacity // grain, spare):
         for b, a in pattern.items():
