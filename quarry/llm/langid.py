@@ -107,12 +107,16 @@ class Lattice:
 
 
 class Model:
-    def __init__(self, langs: list[str], p: np.ndarray, cache_words: int = 500_000) -> None:
+    """Piece probabilities and a bounded cache of token scores, in two generations: a token met again moves to the newer."""
+
+    def __init__(self, langs: list[str], p: np.ndarray, cache_words: int = 400_000) -> None:
         self.langs, self.p, self.cache_words = langs, p, cache_words
         self.pieces: dict[str, int] = {}
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((1024, len(langs)), dtype=np.float32)
         self.used = 0
+        self.older: dict[str, int] = {}
+        self.older_rows = self.rows[:0]
 
     def __getstate__(self) -> dict:
         return {"langs": self.langs, "p": self.p, "cache_words": self.cache_words}
@@ -120,74 +124,80 @@ class Model:
     def __setstate__(self, state: dict) -> None:
         self.__init__(**state)
 
+    def _room(self, n: int) -> None:
+        if self.used + n > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(n, len(self.rows)), len(self.langs)), dtype=np.float32)])
+
     def _learn(self, new: list[str]) -> None:
-        """Scores of unseen tokens, a slice at a time so that the lattices stay small."""
+        """Scores of tokens that are not in the cache, a slice at a time so that the lattices stay small."""
         if not self.pieces:
             self.pieces = vocabulary()
+        back = [w for w in new if w in self.older]
+        if back:
+            self._room(len(back))
+            self.rows[self.used : self.used + len(back)] = self.older_rows[[self.older[w] for w in back]]
+            self.cache.update(zip(back, range(self.used, self.used + len(back)), strict=True))
+            self.used += len(back)
+            new = [w for w in new if w not in self.older]
         for i in range(0, len(new), SLICE):
             part = new[i : i + SLICE]
             forms = [stretches(t) for t in part]
             distinct = list(dict.fromkeys(f for own in forms for f in own))
             at = {f: k for k, f in enumerate(distinct)}
             logs = Lattice(distinct, self.pieces).forward(self.p) if distinct else np.zeros((0, len(self.langs)))
-            if self.used + len(part) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros((max(len(part), len(self.rows)), len(self.langs)), dtype=np.float32)])
+            self._room(len(part))
             for k, own in enumerate(forms):
                 self.cache[part[k]] = self.used + k
-                self.rows[self.used + k] = logs[[at[f] for f in own]].sum(axis=0) if own else 0
+                if len(own) == 1:
+                    self.rows[self.used + k] = logs[at[own[0]]]
+                else:
+                    self.rows[self.used + k] = logs[[at[f] for f in own]].sum(axis=0) if own else 0
             self.used += len(part)
 
-    def totals(self, text: str) -> np.ndarray:
-        """Log-probability of the text in each language."""
-        tokens = text.lower().split()
-        cache = self.cache
-        try:
-            at = [cache[w] for w in tokens]
-        except KeyError:
-            new = {w for w in tokens if w not in cache}
-            if len(cache) + 2 * len(new) > self.cache_words:
-                cache.clear()
-                self.used, new = 0, set(tokens)
-            bare = {w.rstrip(".,") for w in new}
-            self._learn([w for w in bare if w not in cache])
-            for w in new:
-                if w not in cache:
-                    cache[w] = cache[w.rstrip(".,")]
-            at = [cache[w] for w in tokens]
-        return self.rows[at].sum(axis=0, dtype=np.float64)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not text or not LETTERS.search(text):
-            return "und", 0.0
-        total = self.totals(text)
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
-
     def predict_all(self, texts: Iterator[str | None]) -> list[tuple[str, float]]:
         """Texts in runs whose unseen tokens are learned together."""
         out: list[tuple[str, float]] = []
-        run: list[str | None] = []
+        run: list[list[str] | None] = []
         size = 0
         for t in texts:
-            run.append(t)
+            known = bool(self.langs and t and LETTERS.search(t))
+            run.append(t.lower().split() if known else None)
             size += len(t or "")
-            if size > 2_000_000:
+            if size > 1_000_000:
                 out += self._run(run)
                 run, size = [], 0
         return out + self._run(run)
 
-    def _run(self, run: list[str | None]) -> list[tuple[str, float]]:
-        new: set[str] = set()
-        for t in run:
-            new.update((t or "").lower().split())
-        new = {w.rstrip(".,") for w in new if w not in self.cache}
-        new = {w for w in new if w not in self.cache}
-        if self.langs and len(self.cache) + 3 * len(new) <= self.cache_words:
-            self._learn(list(new))
-        return [self.predict(t) for t in run]
+    def _run(self, run: list[list[str] | None]) -> list[tuple[str, float]]:
+        """Language and posterior of each text's tokens; None is a text without letters."""
+        places = [None if own is None else list(map(self.cache.get, own)) for own in run]
+        new = {w for own, at in zip(run, places, strict=True) if at is not None and None in at for w, i in zip(own, at, strict=True) if i is None}
+        if len(self.cache) + 2 * len(new) > self.cache_words and self.cache:
+            self.older, self.older_rows, self.cache = self.cache, self.rows[: self.used], {}
+            self.rows, self.used = np.zeros((1024, len(self.langs)), dtype=np.float32), 0
+            new = {w for own in run if own is not None for w in own}
+            places = [None if own is None else [None] * len(own) for own in run]
+        cache = self.cache
+        if new:
+            bare = {w.rstrip(".,") for w in new}
+            self._learn([w for w in bare if w not in cache])
+            for w in new:
+                if w not in cache:
+                    cache[w] = cache[w.rstrip(".,")]
+        out = []
+        for own, at in zip(run, places, strict=True):
+            if at is None:
+                out.append(("und", 0.0))
+                continue
+            if None in at:
+                at = [cache[w] if i is None else i for w, i in zip(own, at, strict=True)]
+            total = self.rows[at].sum(axis=0, dtype=np.float64)
+            best = int(total.argmax())
+            out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
+        return out
 
 
-def train(docs: DataFrame, sample_docs: int = 400, rounds: int = 4, smooth: float = 0.02) -> Model:
+def train(docs: DataFrame, sample_docs: int = 400, rounds: int = 4, smooth: float = 0.02, cache_words: int = 400_000) -> Model:
     """Learn from text and lang of documents outside the held-out fold; sample_docs bounds the rows a language gives."""
     rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
     sample = hash_sample(rows, "lang", sample_docs)
@@ -210,7 +220,7 @@ def train(docs: DataFrame, sample_docs: int = 400, rounds: int = 4, smooth: floa
     for _ in range(rounds):
         used = lattice.expected(p, weights)[:size] + smooth
         p[:size] = used / used.sum(axis=0)
-    return Model(langs, p)
+    return Model(langs, p, cache_words)
 
 
 def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
@@ -229,8 +239,8 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Da
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, least: float = 0.5, cache_words: int = 400_000) -> DataFrame:
     """docs without those whose language can't be told: no letters, or no language with a posterior of `least`."""
     row = docs.select(F.struct("*").alias("_row"), "text")
-    found = predict(row, train(docs), ["_row"]).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    found = predict(row, train(docs, cache_words=cache_words), ["_row"]).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
     return found.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -40,11 +40,11 @@ def binary_cuts(length: int) -> list[int]:
     return [1 << i for i in range(length.bit_length() - 1, -1, -1) if length >> i & 1]
 
 
-def document_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
+def document_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "word_bpe_49k.json", cache_words: int = 1_500_000) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, and parts_crc32 of its power-of-two cuts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens(vocabulary).encode
+        encode = tokens(vocabulary, cache_words).encode
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "parts_crc32")}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -169,10 +169,10 @@ def plan(histogram: dict[int, int], capacity: int, spare: float = 0.01) -> list[
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, spare: float = 0.01, bucket_rows: int = 500_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, spare: float = 0.01, bucket_rows: int = 500_000, cache_words: int = 1_500_000) -> DataFrame:
     """Pieces of docs with their sequence_id and offset: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = cut(document_pieces(docs, capacity))
+    pieces = cut(document_pieces(docs, capacity, cache_words=cache_words))
     lengths = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
     grain = next((g for g in GRAINS if capacity % g == 0 and len({-(-n // g) for n in lengths}) <= MOST_BINS), GRAINS[-1])
     histogram: Counter = Counter()

@@ -39,7 +39,8 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}  # words met lately
+        self.older: dict[str, bytes] = {}  # the generation before
         self.cache_words = cache_words
 
     def whole(self, text: str) -> bytes:
@@ -55,16 +56,20 @@ class WordTokens:
             return array("I", [t.id for t in self.model.tokenize(w)]).tobytes()
         return self.whole(w)
 
+    def _part(self, w: str) -> bytes:
+        found = self.cache.get(w)
+        if found is None:
+            found = self.cache[w] = self.older.get(w) or self.word(w)
+        return found
+
     def _learn(self, words: set[str]) -> None:
-        cache, word = self.cache, self.word
+        cache, older = self.cache, self.older
         for w in words:
-            if w[-1] in ".," and (stem := w[:-1]).isalpha():
-                for part in (stem, w[-1]):
-                    if part not in cache:
-                        cache[part] = word(part)
-                cache[w] = cache[stem] + cache[w[-1]]
-            elif w not in cache:
-                cache[w] = word(w)
+            found = older.get(w)
+            if found is None:
+                stem = w[:-1]
+                found = self._part(stem) + self._part(w[-1]) if w[-1] in ".," and stem.isalpha() else self.word(w)
+            cache[w] = found
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -73,25 +78,25 @@ class WordTokens:
         if text.isascii():
             text = text.lower()
         words = text.split()
-        cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            if len(words) > self.cache_words // 4:
+        ids = list(map(self.cache.get, words))
+        if None in ids:
+            if len(words) > self.cache_words:
                 return self.whole(text)
-            new = {w for w in words if w not in cache}
-            if len(cache) + 2 * len(new) > self.cache_words:
-                cache.clear()
+            new = {w for w, x in zip(words, ids, strict=True) if x is None}
+            if len(self.cache) + len(new) > self.cache_words:
+                # words that are met again come back from the older generation
+                self.older, self.cache = self.cache, {}
                 new = set(words)
             self._learn(new)
-            return b"".join([cache[w] for w in words])
+            ids = [self.cache[w] for w in words]
+        return b"".join(ids)
 
 
-_loaded: dict[str, WordTokens] = {}
+_loaded: dict[tuple[str, int], WordTokens] = {}
 
 
-def tokens(name: str = "word_bpe_49k.json") -> WordTokens:
-    """The worker's own instance."""
-    if name not in _loaded:
-        _loaded[name] = WordTokens(name)
-    return _loaded[name]
+def tokens(name: str = "word_bpe_49k.json", cache_words: int = 1_500_000) -> WordTokens:
+    """The worker's own instance. About 200 bytes a cached word, in two generations at most."""
+    if (name, cache_words) not in _loaded:
+        _loaded[name, cache_words] = WordTokens(name, cache_words)
+    return _loaded[name, cache_words]
