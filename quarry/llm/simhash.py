@@ -335,14 +335,87 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _matcher(similarity: float):
+    """mapInArrow body over rows (key, node, label, hashes) sorted by key: links (a, b) that join the labels of a key's members."""
+
+    def solve(node: list[int], label: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        ids = np.array(node, dtype=np.int64)
+        label = np.unique(np.array(label, dtype=np.int64), return_inverse=True)[1]
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        owner, flat = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+        shingle, count = np.unique(flat, return_inverse=True, return_counts=True)[1:]
+        holders = owner[np.argsort(shingle, kind="stable")]  # of each shingle in turn
+        first, ends = np.cumsum(count) - count, np.cumsum(sizes)
+        for i in range(len(sets)):
+            if (label == label[i]).all():
+                continue
+            own = shingle[ends[i] - sizes[i] : ends[i]]
+            n = count[own]
+            at = np.arange(n.sum()) + np.repeat(first[own] - (np.cumsum(n) - n), n)
+            both = np.bincount(holders[at], minlength=len(sets))
+            for j in np.flatnonzero((both >= similarity * (sizes + sizes[i] - both)) & (label != label[i])).tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    yield int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, ([], [], [])
+
+        def emit() -> pa.RecordBatch:
+            found = np.array(list(solve(*rows)), dtype=np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            hashes = batch.column(3)
+            for i, (k, node, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if k != key:
+                    if rows[0]:
+                        yield emit()
+                    key, rows = k, ([], [], [])
+                for to, x in zip(rows, (node, label, np.array(hashes[i].values)), strict=True):
+                    to.append(x)
+        if rows[0]:
+            yield emit()
+
+    return run
+
+
+def matches(members: DataFrame, docs: DataFrame, similarity: float, width: int, block_rows: int = 1024, block_shingles: int = 200_000) -> DataFrame:
+    """Links (a < b) between texts of a bucket: every two members (key, node, label) of unlike labels are compared exactly.
+
+    Members whose labels a link has joined are not compared again. A bucket above `block_rows` members or
+    `block_shingles` shingles is cut into sub-blocks, and every pair of sub-blocks is a group of its own.
+    """
+    spark = members.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.unique(shingle_hashes(x.as_py(), width)).view(np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "hashes"])
+
+    ids = members.select(F.col("node").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small(ids, 300_000), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = cut(texts.mapInArrow(run, "doc_id long, hashes array<long>"))
+    sized = members.join(sets.select(F.col("doc_id").alias("node"), F.size("hashes").alias("size")), "node")
+    need = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("size") / block_shingles)).cast("int")
+    heavy = sized.groupBy("key").agg(need.alias("cuts")).filter("cuts > 1")
+    cuts = F.coalesce(F.col("cuts"), F.lit(1))
+    mine = F.pmod(F.xxhash64("node"), cuts)
+    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), cuts.cast("bigint") - 1), lambda j: F.xxhash64("key", F.least(j, mine), F.greatest(j, mine))))
+    dealt = members.join(heavy, "key", "left").select(pair.alias("key"), "node", "label")
+    rows = dealt.join(sets, F.col("node") == F.col("doc_id")).select("key", "node", "label", "hashes")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_matcher(similarity), "a long, b long").distinct()
+
+
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each near-duplicate class: the one with the smallest id (one row of equal ids).
 
     Texts at a similarity of 0.8 differ in up to 18 of 64 bits, beyond any exact index. So links come from
     three sources: equal word sequences, whole fingerprints within `radius` bits (the Gray-order index), and
     pairs that share a partial fingerprint and whose shingle sets are then compared exactly. In a bucket of
-    equal partial fingerprints each text is compared with the smallest id; with 16 buckets a text, chances
-    are that a link which one bucket's choice passes over is found through another.
+    equal partial fingerprints each text is first compared with the smallest id, then every two of the others
+    that no link has joined yet.
     Rows without an id can't be told apart and are all kept.
     """
     with_id = docs.filter("doc_id is not null")
@@ -353,8 +426,14 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = 3, similarity: float
     buckets = texts.select("node", F.posexplode("parts").alias("i", "part")).select("node", F.xxhash64("i", "part").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
     pairs = cut(buckets.join(shared, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct())
-    edges = links(reps.select("node", "fp"), radius).union(same).union(verified(pairs, with_id, similarity, width))
+    edges = cut(links(reps.select("node", "fp"), radius).union(same).union(verified(pairs, with_id, similarity, width)))
     labels = components(edges)
+    others = buckets.join(shared.filter("n > 2"), "key").filter("node <> a").select("key", "node")
+    others = cut(others.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    mixed = others.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    members = cut(others.join(mixed, "key", "left_semi"))
+    if not members.isEmpty():
+        labels = components(edges.union(matches(members, with_id, similarity, width)))
     merged = labels.filter("label <> node").select("node")
     copies = found.join(texts.select(F.col("node").alias("first"), "words_key"), "words_key").filter("doc_id <> first").select("doc_id")
     gone = cut(merged.select(F.col("node").alias("doc_id")).union(copies).distinct())

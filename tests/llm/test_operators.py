@@ -119,6 +119,28 @@ def test_keep_one(docs):
     assert kept.columns == docs.columns and kept.filter("doc_id is null").count() == 1
 
 
+def test_keep_one_shared_passage(spark):
+    """Near copies are found though earlier texts, which are not their near copies, share most buckets with them."""
+    passage = words(7, 200)
+    own = lambda k, n: " ".join(f"u{k}x{i}" for i in range(n))
+    rows = [(i, f"{passage} {own(i, 90)}") for i in range(100)] + [(100 + i, f"{passage} {own(100 + i, 18)}") for i in range(50)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(101))
+
+
+def test_matches_in_blocks(spark):
+    rows = [(i, f"{words(7, 60)} u{i} v{i % 3} " + " ".join(f"w{i // 4}x{k}" for k in range(30))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    members = df.select(F.lit(1).cast("long").alias("key"), F.col("doc_id").alias("node"), F.col("doc_id").alias("label"))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {r.node: r.label for r in simhash.components(spark.createDataFrame(near, "a long, b long")).collect()}
+    for rows_each in (1024, 6):
+        got = simhash.matches(members, df, 0.8, 5, block_rows=rows_each)
+        assert {(r.a, r.b) for r in got.collect()} <= set(near)
+        assert {r.node: r.label for r in simhash.components(got).collect()} == want
+
+
 # --- 2 ------------------------------------------------------------------------------------------------------
 
 
