@@ -6,8 +6,8 @@ the product over its words. Probabilities come from expectation-maximisation wit
 over the words of a bounded sample: `sample_docs` documents of each language, chosen by hash among those
 outside the held-out fold. Everything else covers all rows and whole texts.
 
-Words are letter runs, lower-cased; longer ones are scored in stretches of `LONGEST` letters. Each distinct
-token is scored once per worker and kept in a bounded cache.
+Words are letter runs, lower-cased, whole whatever their length; sums are rescaled on the way, so long words
+stay in range. Each distinct token is scored once per worker and kept in a bounded cache.
 
 Nulls: a null or letterless text is `und` with score 0. A null lang is never learned; with no lang to learn
 every text is `und`. Rows with a null id are in no held-out fold. An empty table gives no rows.
@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from quarry.llm.common import hash_sample, held_out, tokenizer_path
 
 LETTERS = re.compile(r"[^\W\d_]+")
-LONGEST = 24
-PIECE = 7
 SLICE = 20_000
+#: A lattice holds so many places of words at a time.
+PLACES = 100_000
+#: Sums are rescaled at each so many places. FLOOR to the power of this plus the longest piece must be a double.
+RESCALE = 12
 START = "▁"
 FLOOR = 1e-9
 
@@ -40,69 +42,142 @@ def vocabulary(name: str = "piece_bpe_32k.model") -> dict[str, int]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(name))
     pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)))
-    return {p: k for k, p in enumerate(dict.fromkeys(p for p in pieces if len(p) <= PIECE))}
+    return {p: k for k, p in enumerate(dict.fromkeys(pieces))}
 
 
 def stretches(token: str) -> list[str]:
     """The word forms to score in a white-space token."""
-    out = []
-    for w in LETTERS.findall(token):
-        out.append(START + w[:LONGEST])
-        out += [w[i : i + LONGEST] for i in range(LONGEST, len(w), LONGEST)]
-    return out
+    return [START + w for w in LETTERS.findall(token)]
+
+
+def prefixes(pieces: dict[str, int]) -> dict[str, int]:
+    """A trie of the pieces: their ids, and -1 for beginnings that are none."""
+    return dict.fromkeys((p[:k] for p in pieces for k in range(1, len(p))), -1) | pieces
 
 
 class Lattice:
-    """All pieces that occur in each of the words, in a padded table by place; words of one length together."""
-
-    def __init__(self, words: list[str], pieces: dict[str, int]) -> None:
-        none, unknown = len(pieces), len(pieces) + 1  # an impossible piece, and a letter outside the vocabulary
-        self.groups: list[tuple[np.ndarray, int, dict[tuple[int, int], np.ndarray]]] = []
-        by: dict[int, list[int]] = defaultdict(list)
-        for k, w in enumerate(words):
-            by[len(w)].append(k)
-        get = pieces.get
-        for n, at in by.items():
-            group = [words[k] for k in at]
-            arcs = {}
-            for i in range(n):
-                for j in range(i + 1, min(n, i + PIECE) + 1):
-                    arcs[i, j] = np.array([get(w[i:j], unknown if j == i + 1 else none) for w in group], dtype=np.int32)
-            self.groups.append((np.array(at), n, arcs))
-        self.n = len(words)
+    """The pieces that occur in each of the words, by place; words in parts of like length."""
+
+    def __init__(self, words: list[str], pieces: dict[str, int], trie: dict[str, int] | None = None) -> None:
+        self.words, self.trie, self.unknown = words, trie or prefixes(pieces), len(pieces) + 1  # a letter outside the vocabulary
+        self.longest = max(map(len, pieces), default=1)
+        order = sorted(range(len(words)), key=lambda k: -len(words[k]))
+        self.parts: list[list[int]] = []
+        places = PLACES
+        for k in order:
+            places += len(words[k]) + 1
+            if places > PLACES:
+                self.parts.append([])
+                places = len(words[k]) + 1
+            self.parts[-1].append(k)
+        self.kept: list[tuple[np.ndarray, ...]] | None = None
+
+    def _arcs(self, part: list[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(place, length, rows, ids) of the pieces in a part's words, which are in descending length."""
+        get, longest, unknown = self.trie.get, self.longest, self.unknown
+        group = [self.words[k] for k in part]
+        active = len(group)
+        for i in range(len(group[0])):
+            while len(group[active - 1]) <= i:
+                active -= 1
+            rows: list[list[int]] = [[] for _ in range(longest + 1)]
+            ids: list[list[int]] = [[] for _ in range(longest + 1)]
+            for k in range(active):
+                w = group[k]
+                x = get(w[i])
+                rows[1].append(k)
+                ids[1].append(unknown if x is None or x < 0 else x)
+                if x is None:
+                    continue
+                for j in range(i + 2, min(len(w), i + longest) + 1):
+                    x = get(w[i:j])
+                    if x is None:
+                        break
+                    if x >= 0:
+                        rows[j - i].append(k)
+                        ids[j - i].append(x)
+            for length in range(1, longest + 1):
+                if rows[length]:
+                    yield i, length, np.array(rows[length], dtype=np.int32), np.array(ids[length], dtype=np.int32)
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """Log-probability of each word in each language."""
-        out = np.zeros((self.n, p.shape[1]))
-        for at, n, arcs in self.groups:
-            alpha = self._alpha(p, len(at), n, arcs)
-            out[at] = np.log(alpha[n])
+        out = np.zeros((len(self.words), p.shape[1]))
+        ring = self.longest + 1
+        for part in self.parts:
+            n = np.array([len(self.words[k]) for k in part])
+            alpha = np.zeros((ring, len(part), p.shape[1]))
+            alpha[0] = 1
+            scale = np.zeros(alpha.shape[1:])
+            done = -1
+            for i, length, rows, ids in self._arcs(part):
+                if i != done:  # the place before is left: words that end here are summed up
+                    self._leave(alpha, scale, n, out, part, done, i, ring)
+                    done = i
+                alpha[(i + length) % ring, rows] += alpha[i % ring, rows] * p[ids]
+            self._leave(alpha, scale, n, out, part, done, int(n[0]), ring)
         return out
 
     @staticmethod
-    def _alpha(p: np.ndarray, rows: int, n: int, arcs: dict) -> list[np.ndarray]:
-        alpha = [np.ones((rows, p.shape[1]))]
-        for j in range(1, n + 1):
-            total = np.zeros((rows, p.shape[1]))
-            for i in range(max(0, j - PIECE), j):
-                total += alpha[i] * p[arcs[i, j]]
-            alpha.append(total)
-        return alpha
+    def _leave(alpha: np.ndarray, scale: np.ndarray, n: np.ndarray, out: np.ndarray, part: list[int], done: int, i: int, ring: int) -> None:
+        """Clear place i - 1, take the sums of the words of i letters and rescale the others now and then."""
+        if done >= 0:
+            alpha[done % ring] = 0
+        alive = int(np.searchsorted(-n, -i, side="right"))  # words of i letters or more
+        ends = int(np.searchsorted(-n, -i, side="left"))
+        if ends < alive:
+            out[part[ends:alive]] = np.log(alpha[i % ring, ends:alive]) + scale[ends:alive]
+        if i and i % RESCALE == 0 and ends:
+            by = alpha[i % ring, :ends].copy()
+            alpha[:, :ends] /= by
+            scale[:ends] += np.log(by)
+
+    def _flat(self, part: list[int]) -> tuple[np.ndarray, ...]:
+        """A part's arcs in one table: (place, length, from, to) of each run, then row, id, place and end of each arc."""
+        found = list(self._arcs(part))
+        sizes = np.array([len(x[2]) for x in found])
+        stops = np.cumsum(sizes)
+        at, length = (np.array([x[c] for x in found], dtype=np.int64) for c in range(2))
+        runs = np.stack([at, length, stops - sizes, stops], axis=1)
+        return runs, np.concatenate([x[2] for x in found]), np.concatenate([x[3] for x in found]), np.repeat(at, sizes), np.repeat(at + length, sizes)
 
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """How often each piece is used in each language, over all segmentations; counts: words x languages."""
+        if self.kept is None:
+            self.kept = [self._flat(part) for part in self.parts]
         out = np.zeros_like(p)
-        for at, n, arcs in self.groups:
-            alpha = self._alpha(p, len(at), n, arcs)
-            beta = [np.zeros_like(alpha[0]) for _ in range(n)] + [np.ones_like(alpha[0])]
-            for i in range(n - 1, -1, -1):
-                for j in range(i + 1, min(n, i + PIECE) + 1):
-                    beta[i] += p[arcs[i, j]] * beta[j]
-            scale = counts[at] / alpha[n]
-            for (i, j), ids in arcs.items():
-                use = alpha[i] * p[ids] * beta[j] * scale
+        for part, (runs, rows, ids, at, to) in zip(self.parts, self.kept, strict=True):
+            n = np.array([len(self.words[k]) for k in part])
+            size = (int(n[0]) + 1, len(part), p.shape[1])
+            alpha, beta, ends = np.zeros(size), np.zeros(size), (n, np.arange(len(part)))
+            up, down = np.zeros(size), np.zeros(size)  # the logs that a place's sums have been divided by
+            alpha[0], beta[ends] = 1, 1
+            for i, length, a, b in runs.tolist():
+                if length == 1 and i:  # first arcs of a place: its sums are complete
+                    up[i] = up[i - 1]
+                    if i % RESCALE == 0:
+                        by = np.where(alpha[i] > 0, alpha[i], 1)
+                        alpha[i : i + self.longest + 1] /= by
+                        up[i] += np.log(by)
+                alpha[i + length, rows[a:b]] += alpha[i, rows[a:b]] * p[ids[a:b]]
+            up[-1] = up[-2]
+            scale = np.zeros(size[1:])
+            for i, length, a, b in runs[::-1].tolist():
+                beta[i, rows[a:b]] += p[ids[a:b]] * beta[i + length, rows[a:b]]
+                if length == 1:  # the last arcs of a place, going back
+                    down[i] = scale
+                    if i % RESCALE == 0:
+                        by = np.where((beta[i] > 0) & (n > i)[:, None], beta[i], 1)
+                        beta[i : i + self.longest + 1] /= by
+                        down[i : i + self.longest + 1] += np.log(by)
+                        scale += np.log(by)
+            whole = np.log(alpha[ends]) + up[ends]
+            for a in range(0, len(rows), PLACES):
+                r, k = rows[a : a + PLACES], ids[a : a + PLACES]
+                i, j = at[a : a + PLACES], to[a : a + PLACES]
+                use = alpha[i, r] * p[k] * beta[j, r] * np.exp(up[i, r] + down[j, r] - whole[r]) * counts[np.array(part)[r]]
                 for c in range(p.shape[1]):
-                    out[:, c] += np.bincount(ids, weights=use[:, c], minlength=len(p))
+                    out[:, c] += np.bincount(k, weights=use[:, c], minlength=len(p))
         return out
 
 
@@ -112,6 +187,7 @@ class Model:
     def __init__(self, langs: list[str], p: np.ndarray, cache_words: int = 400_000) -> None:
         self.langs, self.p, self.cache_words = langs, p, cache_words
         self.pieces: dict[str, int] = {}
+        self.trie: dict[str, int] = {}
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((1024, len(langs)), dtype=np.float32)
         self.used = 0
@@ -132,6 +208,7 @@ class Model:
         """Scores of tokens that are not in the cache, a slice at a time so that the lattices stay small."""
         if not self.pieces:
             self.pieces = vocabulary()
+            self.trie = prefixes(self.pieces)
         back = [w for w in new if w in self.older]
         if back:
             self._room(len(back))
@@ -144,7 +221,7 @@ class Model:
             forms = [stretches(t) for t in part]
             distinct = list(dict.fromkeys(f for own in forms for f in own))
             at = {f: k for k, f in enumerate(distinct)}
-            logs = Lattice(distinct, self.pieces).forward(self.p) if distinct else np.zeros((0, len(self.langs)))
+            logs = Lattice(distinct, self.pieces, self.trie).forward(self.p) if distinct else np.zeros((0, len(self.langs)))
             self._room(len(part))
             for k, own in enumerate(forms):
                 self.cache[part[k]] = self.used + k

@@ -361,6 +361,28 @@ def test_forward_is_the_sum_of_segmentations():
     assert np.allclose(letters, 5)
 
 
+def test_forward_has_whole_words_and_all_pieces():
+    """Long pieces count, words of any length are one lattice, and their sums don't run out of range."""
+    pieces = {"▁": 0, "a": 1, "aaaaaaaaaaaaaaa": 2, "▁aa": 3}
+    p = np.array([[0.1, 0.2], [1e-8, 1e-7], [0.3, 0.1], [0.2, 0.1], [0, 0], [1e-9, 1e-9]])
+
+    def log_total(word):
+        a = [np.zeros(2)]
+        for j in range(1, len(word) + 1):
+            arcs = [a[i] + np.log(p[pieces[word[i:j]]]) for i in range(j) if word[i:j] in pieces]
+            arcs += [a[j - 1] + np.log(1e-9)] if word[j - 1] not in pieces else []
+            a.append(np.logaddexp.reduce(arcs))
+        return a[-1]
+
+    forms = ["▁" + "a" * n for n in (1, 15, 16, 40, 400)] + ["▁" + "a" * 20 + "z" * 60, "b"]
+    lattice = langid.Lattice(forms, pieces)
+    assert np.allclose(lattice.forward(p), [log_total(w) for w in forms])
+    used = lattice.expected(p, np.ones((len(forms), 2)))
+    assert np.allclose(sum(used[i] * len(x) for x, i in pieces.items()) + used[5], sum(map(len, forms)))
+    assert langid.stretches("x" * 60 + "1ab") == ["▁" + "x" * 60, "▁ab"]
+    assert max(map(len, langid.vocabulary())) == 16
+
+
 def test_langid(spark, docs, empty):
     en, de = "the house is over there and that is what they said with this", "das haus ist da und das ist nicht was sie mit dem gesagt haben"
     rows = [(i, " ".join(np.random.default_rng(i).permutation((en if i % 2 else de).split())), "en" if i % 2 else "de") for i in range(200)]
