@@ -411,22 +411,24 @@ def matches(members: DataFrame, docs: DataFrame, similarity: float, width: int,
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each near-duplicate class: the one with the smallest id (one row of equal ids).
 
-    Texts at a similarity of 0.8 differ in up to 18 of 64 bits, beyond any exact index. So links come from
-    three sources: equal word sequences, whole fingerprints within `radius` bits (the Gray-order index), and
-    pairs that share a partial fingerprint and whose shingle sets are then compared exactly. In a bucket of
-    equal partial fingerprints each text is first compared with the smallest id, then every two of the others
-    that no link has joined yet.
+    Equal word sequences are one text. Texts at a similarity of 0.8 differ in up to 18 of 64 bits, beyond any
+    exact index, and texts that repeat a line agree in all bits whatever else they hold. So fingerprints only
+    give candidates: a bucket is the texts of an equal partial fingerprint, or those whose whole fingerprints
+    are connected within `radius` bits (the Gray-order index). Shingle sets are compared exactly: each text of a
+    bucket with the smallest id first, then every two of the others that no link has joined yet.
     Rows without an id can't be told apart and are all kept.
     """
     with_id = docs.filter("doc_id is not null")
     found = cut(sketches(with_id, width))
     texts = cut(found.groupBy("words_key").agg(F.min(F.struct("doc_id", "fp", "parts")).alias("x")).select(F.col("x.doc_id").alias("node"), "x.fp", "x.parts", "words_key"))
     reps = cut(texts.groupBy("fp").agg(F.min("node").alias("node")))
-    same = texts.join(reps.withColumnRenamed("node", "rep"), "fp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    buckets = texts.select("node", F.posexplode("parts").alias("i", "part")).select("node", F.xxhash64("i", "part").alias("key"))
+    families = components(cut(links(reps.select("node", "fp"), radius)))
+    classes = reps.join(families, "node", "left").select("fp", F.coalesce("label", "node").alias("family"))
+    whole = texts.join(classes, "fp").select("node", F.xxhash64(F.lit(-1), "family").alias("key"))
+    buckets = texts.select("node", F.posexplode("parts").alias("i", "part")).select("node", F.xxhash64("i", "part").alias("key")).union(whole)
     shared = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
     pairs = cut(buckets.join(shared, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct())
-    edges = cut(links(reps.select("node", "fp"), radius).union(same).union(verified(pairs, with_id, similarity, width)))
+    edges = cut(verified(pairs, with_id, similarity, width))
     labels = components(edges)
     others = buckets.join(shared.filter("n > 2"), "key").filter("node <> a").select("key", "node")
     others = cut(others.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))

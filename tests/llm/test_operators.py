@@ -128,6 +128,15 @@ def test_keep_one_shared_passage(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(101))
 
 
+def test_keep_one_repeated_line(spark):
+    """A line repeated inside texts decides all bits of their fingerprints, and none of the texts is a near copy."""
+    line, own = words(3, 11), lambda k: " ".join(f"u{k}x{i}" for i in range(100))
+    rows = [(i, " ".join([line] * 200 + [own(i)])) for i in range(30)] + [(30, " ".join([line] * 190 + [own(29)]))]
+    assert len({simhash.fingerprint(t, 5) for _, t in rows}) == 1
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
+
+
 def test_matches_in_blocks(spark):
     rows = [(i, f"{words(7, 60)} u{i} v{i % 3} " + " ".join(f"w{i // 4}x{k}" for k in range(30))) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
