@@ -2,8 +2,7 @@
 
 1. Candidates. Four strict patterns give the base spans (leftmost, non-overlapping for each kind); looser
    patterns (spelled-out addresses, numbers without a plus sign, long digit groups, IPv6) give further ones.
-   A pattern without look-around finds its matches where their text first occurs after the last match, so
-   positions follow from the matched strings in one fold.
+   Positions follow from the matched strings and the text between them in one fold.
 2. Labelers vote on each candidate: format (regex), gazetteer (known endings, prefixes and ranges), context
    for and context against (words just before it); each says yes (1), no (-1) or nothing (0).
 3. Expectation-maximisation over the counts of vote patterns (kinds x 3^4 rows at most, from all documents)
@@ -87,17 +86,21 @@ def _passes(kind: str, m: Column) -> Column:
 
 
 def _found(kind: str, text: Column, pattern: str, needs: str, base: bool) -> Column:
-    """Spans of a pattern, in order. Loose matches also start where their text next occurs."""
+    """Spans of a pattern, in order: each match follows the piece that a split at the matches leaves before it."""
     none = F.lit(None).cast("array<string>")
-    matches = F.when(text.rlike(needs), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
-    start = F.struct(F.lit(1).alias("next"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    needed = text.rlike(needs)
+    matches = F.when(needed, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
+    gaps = F.when(needed, F.split(text, pattern, -1)).otherwise(none)
+    start = F.struct(F.lit(0).alias("next"), F.array().cast(f"array<{SPAN}>").alias("spans"))
 
     def step(acc: Column, m: Column) -> Column:
-        at = F.call_function("locate", m, text, acc["next"])
-        span = F.struct(F.lit(KINDS.index(kind)).alias("kind"), (at - 1).alias("at"), (at - 1 + F.length(m)).alias("until"), m.alias("value"), F.lit(base).alias("base"))
-        return F.struct((at + F.length(m)).alias("next"), F.concat(acc["spans"], F.array(span)).cast(f"array<{SPAN}>").alias("spans"))
+        at = acc["next"] + m["gap"]
+        span = F.struct(F.lit(KINDS.index(kind)).alias("kind"), at.alias("at"), (at + F.length(m["value"])).alias("until"), m["value"].alias("value"), F.lit(base).alias("base"))
+        return F.struct((at + F.length(m["value"])).alias("next"), F.concat(acc["spans"], F.array(span)).cast(f"array<{SPAN}>").alias("spans"))
 
-    spans = F.aggregate(matches, start, step, lambda acc: acc["spans"])
+    # a split leaves one piece more than there are matches: the text after the last
+    placed = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(m.alias("value"), F.length(g).alias("gap")))
+    spans = F.aggregate(placed, start, step, lambda acc: acc["spans"])
     spans = F.filter(spans, lambda s: _passes(kind, s["value"])) if base and kind != "email" else spans
     return F.coalesce(spans, F.array().cast(f"array<{SPAN}>"))
 

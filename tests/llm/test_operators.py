@@ -478,6 +478,13 @@ def test_pii(spark, empty):
     assert pii.detect(empty).count() == 0
 
 
+def test_loose_spans_lie_where_they_matched(spark):
+    texts = ["Call +1-212-555-0143 or phone 212-555-0143", "order 9-212-555-0143 ; phone 212-555-0143", "😀 phone 212-555-0143, 212-555-0143"]
+    found = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"])
+    got = {r.doc_id: [(c["at"], c["until"]) for c in r.cands if c.kind == 3] for r in found.collect()}
+    assert got == {0: [(5, 20), (30, 42)], 1: [(29, 41)], 2: [(8, 20), (22, 34)]}
+
+
 def test_mask(spark):
     df = spark.createDataFrame([(1, "😀 a@b.co and 10.0.0.1!", 5, "x"), (2, "nothing", 7, "y"), (3, None, None, "z")], "doc_id long, text string, n_chars long, spans string")
     got = {r.doc_id: r for r in pii.mask(df).collect()}
