@@ -438,6 +438,15 @@ def test_unmarked_pages(spark):
     assert got[9].startswith("Home News Sport\n") and got[9].endswith("forever")
 
 
+def test_unmarked_pages_lose_only_what_repeats(spark):
+    """A common opening or a passage inside blocks goes, the rest of the block stays; copies of one page are one page."""
+    opening, inside = "According to a report published today by the office", "this sentence stands on many pages inside of their blocks"
+    rows = [(i, f"https://h.x/{i}", f"<p>{opening} {words(i, 20)}</p><p>{words(20 + i, 9)} {inside} {words(40 + i, 9)}</p>") for i in range(4)]
+    rows += [(10 + i, f"https://copy.x/{i}", f"<p>{words(90, 30)}</p>") for i in range(3)]
+    got = {r.page_id: r.text for r in pagetext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{words(i, 20)}\n{words(20 + i, 9)} {words(40 + i, 9)}" for i in range(4)} | {10 + i: words(90, 30) for i in range(3)}
+
+
 def test_no_pages(spark):
     assert pagetext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
