@@ -1,37 +1,44 @@
-"""SimHash near-duplicates (operator 1): a Gray-order hierarchical index behind pigeonhole blocks.
+"""SimHash near-duplicates (operator 1): a Gray-order hierarchical index.
 
 Fingerprints are 64 bits, kept as signed longs. Two link when they differ in at most `radius` bits.
 
 * Equal fingerprints are one node, so exact copies cost one row however many there are.
-* A pair within radius r agrees on one of r+1 disjoint blocks at least. More nodes take more, narrower
-  blocks (r+2, r+3): r+k blocks of which k agree give longer keys, so buckets stay small; exact in each case.
-* Inside a bucket the fingerprints lie in Gray-code order. Small buckets are compared by shifts; large
-  ones by a two-level index whose nodes hold the bits that all members share: a pair of nodes is pruned
-  as soon as the shared bits of both differ in more than r places.
-* A bucket above `bucket_rows` is cut into sub-blocks; every pair of sub-blocks is a task of its own.
-* Buckets emit a bounded-degree forest of their links, never all pairs; components come from min-label
+* All nodes are sorted by Gray rank (range partitioning) and cut into blocks. Index nodes are groups of
+  neighbours: FAN fingerprints, FAN such groups and so on up to the block, and blocks in turn. A node holds the
+  masked pattern that all below it share; a pair of nodes adds only the bits that its parents did not
+  share yet, and the differences accumulated on the way down prune the whole pair once they pass the radius.
+* Two fingerprints within the radius differ in at most half of it in one of their 32-bit halves. So the index is
+  built twice, with either half leading, and descends only with `radius // 2` differences in the leading half
+  (exact by the pigeonhole principle). Without that bound a block would meet cubically many others.
+* What all blocks share, at most `most_blocks` patterns, is gathered; each block then travels, packed, to
+  the blocks that no pattern rules out, and every pair of blocks is a task of its own, so no key is hot.
+* Pairs of blocks emit a bounded-degree forest of their links, never all pairs; components come from min-label
   propagation with pointer jumping over checkpointed tables.
 
 Nulls: a null text is an empty text (fingerprint zero). Rows with a null doc_id get the component of the
-rows that share their fingerprint, null where none of those has an id. Repeated rows come back once each. An empty table gives no rows.
+rows that share their fingerprint, null where none of those has an id. Repeated rows come back once each, ties
+(equal fingerprints, equal ids) have one class. Texts of any length are hashed whole, in flat memory beside their
+shingles. Only doc_id and text are read, so further columns of any name do no harm. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, small
 
 SEED = 42
-ROUND_CHARS = 4_000_000
-GROUP = 64
+FAN = 16
+CHILDREN = 32
+#: The leading half of a turned fingerprint.
+LEADING = np.uint64(0xFFFFFFFF00000000)
 UPPER = bytes(range(65, 91))
 FOLD = bytes.maketrans(UPPER, UPPER.lower())
 
@@ -89,155 +96,203 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
     return r
 
 
-def _index_pairs(fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i < j) of positions within radius, by the hierarchical index; fp in Gray order."""
-    n = len(fp)
-    g = -(-n // GROUP)
-    padded = np.concatenate([fp, np.repeat(fp[-1:], g * GROUP - n)]).reshape(g, GROUP)
-    ones, zeros = np.bitwise_and.reduce(padded, axis=1), np.bitwise_or.reduce(padded, axis=1)
-    shared = ones | ~zeros
-    up = -(-g // GROUP)
-    tail = up * GROUP - g
-    top_ones = np.bitwise_and.reduce(np.concatenate([ones, np.repeat(ones[-1:], tail)]).reshape(up, GROUP), axis=1)
-    top_zeros = np.bitwise_or.reduce(np.concatenate([zeros, np.repeat(zeros[-1:], tail)]).reshape(up, GROUP), axis=1)
-    top_shared = top_ones | ~top_zeros
-    for a in range(up):
-        near = np.flatnonzero(np.bitwise_count((top_ones[a] ^ top_ones[a:]) & top_shared[a] & top_shared[a:]) <= radius) + a
-        for b in near.tolist():
-            left = np.arange(a * GROUP, min(g, (a + 1) * GROUP))
-            right = np.arange(b * GROUP, min(g, (b + 1) * GROUP))
-            apart = np.bitwise_count((ones[left][:, None] ^ ones[right][None, :]) & shared[left][:, None] & shared[right][None, :])
-            for x, y in np.argwhere(apart <= radius).tolist():
-                p, q = int(left[x]), int(right[y])
-                if p > q:
-                    continue
-                i, j = np.nonzero(np.bitwise_count(padded[p][:, None] ^ padded[q][None, :]) <= radius)
-                i, j = i + p * GROUP, j + q * GROUP
-                keep = (i < j) & (j < n)
-                if keep.any():
-                    yield i[keep], j[keep]
+Pairs = Iterator[tuple[np.ndarray, np.ndarray]]
+
+
+def levels(ones: np.ndarray, some: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The index over neighbours, top first: at each node the bits that are one in all below it, and those that are alike in all."""
+    out = [(ones, ones | ~some)]
+    while len(ones) > 1:
+        pad = -len(ones) % FAN
+        ones = np.bitwise_and.reduce(np.concatenate([ones, np.repeat(ones[-1:], pad)]).reshape(-1, FAN), axis=1)
+        some = np.bitwise_or.reduce(np.concatenate([some, np.repeat(some[-1:], pad)]).reshape(-1, FAN), axis=1)
+        out.append((ones, ones | ~some))
+    return out[::-1]
+
+
+def descend(left: list, right: list, radius: int, same: bool = False, run: int = 4096) -> Pairs:
+    """Pairs of bottom places that no accumulated difference rules out: over `radius`, or over half of it in the leading bits."""
+    depth = max(len(left), len(right))
+    left, right = ([x[0]] * (depth - len(x)) + x for x in (left, right))
+    zero = np.zeros(1, dtype=np.int64)
+    stack = [(0, zero, zero, np.zeros(1, dtype=np.uint64), zero, zero)]
+    step = np.arange(FAN)
+    while stack:
+        at, a, b, known, lead, total = stack.pop()
+        if len(a) > run:
+            stack.append((at, *(x[run:] for x in (a, b, known, lead, total))))
+            a, b, known, lead, total = (x[:run] for x in (a, b, known, lead, total))
+        (ones_a, like_a), (ones_b, like_b) = left[at], right[at]
+        common = like_a[a] & like_b[b]
+        apart = (ones_a[a] ^ ones_b[b]) & common & ~known
+        lead = lead + np.bitwise_count(apart & LEADING)
+        total = total + np.bitwise_count(apart)
+        ok = (lead <= radius // 2) & (total <= radius)
+        a, b, common, lead, total = a[ok], b[ok], common[ok], lead[ok], total[ok]
+        if not len(a):
+            continue
+        if at == depth - 1:
+            yield a, b
+            continue
+        # a tree that is less deep stays at its top
+        grow_a, grow_b = (len(x[at + 1][0]) > 1 for x in (left, right))
+        u = (a[:, None] * FAN + step).reshape(len(a), -1, 1) if grow_a else a[:, None, None]
+        v = (b[:, None] * FAN + step).reshape(len(b), 1, -1) if grow_b else b[:, None, None]
+        u, v = np.broadcast_arrays(u, v)
+        here = (u < len(left[at + 1][0])) & (v < len(right[at + 1][0]))
+        if same:
+            here &= u <= v
+        row = np.nonzero(here)[0]
+        stack.append((at + 1, u[here], v[here], common[row], lead[row], total[row]))
 
 
 class _Forest:
-    """Union-find over positions; smaller position wins."""
+    """Union-find over places; the smaller place wins."""
 
     def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+        self.up = np.arange(n)
+
+    def _flat(self) -> None:
+        while not np.array_equal(nxt := self.up[self.up], self.up):
+            self.up = nxt
+
+    def join(self, pairs: Pairs) -> None:
+        for i, j in pairs:
+            self._flat()
+            new = self.up[i] != self.up[j]
+            for a, b in zip(i[new].tolist(), j[new].tolist(), strict=True):
+                a, b = self._find(a), self._find(b)
+                if a != b:
+                    self.up[max(a, b)] = min(a, b)
 
-    def find(self, x: int) -> int:
+    def _find(self, x: int) -> int:
         up = self.up
         while up[x] != x:
             up[x] = up[up[x]]
-            x = up[x]
+            x = int(up[x])
         return x
 
-    def join(self, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> None:
-        for i, j in pairs:
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                a, b = self.find(a), self.find(b)
-                if a != b:
-                    self.up[max(a, b)] = min(a, b)
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each component as a tree of at most CHILDREN children a node: no member becomes a hub."""
+        self._flat()
+        order = np.argsort(self.up, kind="stable")
+        root = self.up[order]
+        first = np.searchsorted(root, root)
+        nth = np.arange(len(order)) - first
+        at = np.flatnonzero(nth)
+        return order[first[at] + (nth[at] - 1) // CHILDREN], order[at]
+
+
+def block_edges(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray] | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of the links in one block (node, fp) or between two; fps turned, in Gray order."""
+    a = levels(left[1], left[1])
+    if right is None:
+        forest, node = _Forest(len(left[0])), left[0]
+        forest.join(descend(a, a, radius, same=True))
+    else:
+        shift, node = len(left[0]), np.concatenate([left[0], right[0]])
+        forest = _Forest(len(node))
+        forest.join((i, j + shift) for i, j in descend(a, levels(right[1], right[1]), radius))
+    i, j = forest.edges()
+    return node[i], node[j]
 
-    def edges(self, fan: int = 32) -> Iterator[tuple[int, int]]:
-        """Each component as a tree of at most `fan` children a node: no member becomes a hub."""
-        members: dict[int, list[int]] = {}
-        for x in range(len(self.up)):
-            members.setdefault(self.find(x), []).append(x)
-        for m in members.values():
-            for k in range(1, len(m)):
-                yield m[(k - 1) // fan], m[k]
-
-
-def _bucket_edges(node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(gray_rank(fp), kind="stable")
-    node, fp = node[order], fp[order]
-    forest = _Forest(len(fp))
-    forest.join(_index_pairs(fp, radius))
-    e = np.array(list(forest.edges()), dtype=np.int64).reshape(-1, 2)
-    return node[e[:, 0]], node[e[:, 1]]
-
-
-def _linker(radius: int, small: int = 48):
-    """mapInArrow body over rows (key, node, fp) sorted by key: the links of each key's forest."""
-
-    def solve(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.append(starts, len(key)))
-        out_a, out_b = [], []
-        for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
-            a, b = _bucket_edges(node[s : s + n], fp[s : s + n], radius)
-            out_a.append(a)
-            out_b.append(b)
-        few = np.repeat(sizes <= small, sizes)
-        k, v, f = key[few], node[few], fp[few]
-        for d in range(1, small):
-            if d >= len(k):
-                break
-            same = k[d:] == k[:-d]
-            if not same.any():
-                break
-            hit = np.flatnonzero(same & (np.bitwise_count(f[d:] ^ f[:-d]) <= radius))
-            out_a.append(v[hit])
-            out_b.append(v[hit + d])
-        return np.concatenate([[], *out_a]).astype(np.int64), np.concatenate([[], *out_b]).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
-        schema = ["a", "b"]
+def _packer(rows: int):
+    """mapInArrow body over (turn, rank, node, fp) in order: packed blocks of at most so many rows of one turn."""
 
-        def emit(rows: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = solve(rows[0], rows[1], rows[2].view(np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        made = 0
+
+        def emit(turn: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            nonlocal made
+            at = (TaskContext.get().partitionId() << 32) + made
+            made += 1
+            ones, some = (int(f.reduce(fp).view(np.int64)) for f in (np.bitwise_and, np.bitwise_or))
+            return pa.RecordBatch.from_pydict({"block": [at], "turn": [int(turn[0])], "ones": [ones], "some": [some], "nodes": [node.tobytes()], "fps": [fp.tobytes()]}, PACKED)
+
+        def flush(final: bool) -> Iterator[pa.RecordBatch]:
+            turn, node, fp = (np.concatenate([x[c] for x in held]) for c in range(3))
+            held.clear()
+            cuts = [0, *(np.flatnonzero(turn[1:] != turn[:-1]) + 1).tolist(), len(turn)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                while b - a >= rows or (a < b and (final or b < len(turn))):
+                    z = min(b, a + rows)
+                    yield emit(turn[a:z], node[a:z], fp[a:z])
+                    a = z
+                if a < b:
+                    held.append((turn[a:b], node[a:b], fp[a:b]))
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            if kept is not None:
-                rows = [np.concatenate([x, y]) for x, y in zip(kept, rows, strict=True)]
-            last = np.searchsorted(rows[0], rows[0][-1], side="left")  # keys are sorted within the task
-            kept = [x[last:] for x in rows]
-            if last:
-                yield emit([x[:last] for x in rows])
-        if kept is not None:
-            yield emit(kept)
+        for b in batches:
+            if b.num_rows:
+                held.append((b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy().view(np.uint64)))
+                if sum(len(x[0]) for x in held) >= rows:
+                    yield from flush(False)
+        if held:
+            yield from flush(True)
 
     return run
 
 
-def _blocks(nodes: int, radius: int, bucket_rows: int) -> list[int]:
-    """Masks of the pigeonhole keys: the fewest for which random fingerprints fill buckets of bucket_rows at most."""
-    for extra in range(1, 5):
-        n = radius + extra
-        edges = [64 * i // n for i in range(n + 1)]
-        masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
-        keys = [sum(c) for c in combinations(masks, extra)]
-        if nodes <= bucket_rows << min(m.bit_count() for m in keys):
-            break
-    return keys
+PACKED = pa.schema([("block", pa.int64()), ("turn", pa.int32()), ("ones", pa.int64()), ("some", pa.int64()), ("nodes", pa.binary()), ("fps", pa.binary())])
 
 
-def links(nodes: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 3, block_rows: int = 16_384, most_blocks: int = 16_384) -> DataFrame:
     """Links (a < b) that connect all of `nodes` (node long, fp long, distinct fps) within radius.
 
-    Not every pair: per bucket a spanning forest, so at most blocks x nodes rows come out.
+    Not every pair: a spanning forest of each pair of blocks. Blocks grow beyond `block_rows` where there would be more
+    than about `most_blocks` of them.
     """
     spark = nodes.sparkSession
-    masks = _blocks(nodes.count(), radius, bucket_rows)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = nodes.select(
-        "node",
-        "fp",
-        F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])).alias("key"),
-    )
-    heavy = keyed.groupBy("key").count().filter(F.col("count") > bucket_rows).select("key", F.ceil(F.col("count") / bucket_rows).cast("int").alias("cuts"))
-    cuts = F.coalesce(F.col("cuts"), F.lit(1))
-    mine = F.pmod(F.xxhash64("node"), cuts)
-    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), cuts.cast("bigint") - 1), lambda j: F.xxhash64("key", F.least(j, mine), F.greatest(j, mine))))
-    dealt = keyed.join(heavy, "key", "left").select(F.when(cuts > 1, F.lit(1)).alias("cut"), "key", "node", "fp", "cuts")
-    dealt = dealt.select(pair.alias("key"), "node", "fp")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_linker(radius), "a long, b long").distinct()
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = 2 * nodes.count()
+    rows = max(block_rows, -(-n // most_blocks))
+    turned = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
+    both = nodes.select("node", F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("fp").alias("fp")), F.struct(F.lit(1).alias("turn"), turned.alias("fp")))).alias("x")).select("node", "x.turn", "x.fp")
+    rank = F.col("fp")
+    for s in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
+    ranked = both.select("turn", rank.alias("rank"), "node", "fp")
+    # pieces of a block at most: a task packs its own range of ranks
+    parts = max(1, -(-n // rows))
+    blocks = cut(ranked.repartitionByRange(parts, "turn", "rank").sortWithinPartitions("turn", "rank", "node").mapInArrow(_packer(rows), "block long, turn int, ones long, some long, nodes binary, fps binary"))
+    tops = {}  # bounded: two patterns for each of most_blocks blocks and of the partitions' last ones
+    known = sorted((r.turn, r.block, r.ones, r.some) for r in blocks.select("turn", "block", "ones", "some").collect())
+    for turn in (0, 1):
+        own = [x for x in known if x[0] == turn]
+        patterns = [np.array([x[c] for x in own], dtype=np.int64).view(np.uint64) for c in (2, 3)]
+        tops[turn] = (np.array([x[1] for x in own], dtype=np.int64), levels(*patterns) if own else [])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block once for every block that it may link with."""
+        for b in batches:
+            for k in range(b.num_rows):
+                row = {c: b.column(c)[k] for c in ("block", "turn", "ones", "some", "nodes", "fps")}
+                mine = row["block"].as_py()
+                ids, top = tops[row["turn"].as_py()]
+                own = levels(*(np.array([row[c].as_py()], dtype=np.int64).view(np.uint64) for c in ("ones", "some")))
+                for _, j in descend(own, top, radius):
+                    for others in np.array_split(ids[j], -(-len(j) // 32)):
+                        m = len(others)
+                        columns = [pa.array(np.minimum(others, mine)), pa.array(np.maximum(others, mine)), pa.array(np.full(m, mine))]
+                        yield pa.RecordBatch.from_arrays([*columns, *(pa.array([row[c].as_py()] * m, pa.binary()) for c in ("nodes", "fps"))], ["lo", "hi", "mine", "nodes", "fps"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        for b in batches:
+            for k in range(b.num_rows):
+                lo, hi = b.column(0)[k].as_py(), b.column(1)[k].as_py()
+                own = (np.frombuffer(b.column(3)[k].as_py(), dtype=np.int64), np.frombuffer(b.column(4)[k].as_py(), dtype=np.uint64))
+                if lo != hi and (held is None or held[:2] != (lo, hi)):
+                    held = (lo, hi, own)
+                    continue
+                i, j = block_edges(own, None, radius) if lo == hi else block_edges(held[2], own, radius)
+                held = None
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
+
+    dealt = blocks.mapInArrow(deal, "lo long, hi long, mine long, nodes binary, fps binary")
+    pairs = dealt.repartition(max(shuffles, len(known)), "lo", "hi").sortWithinPartitions("lo", "hi", "mine")
+    return pairs.mapInArrow(link, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -293,155 +348,195 @@ def partial_fingerprints(hashes: np.ndarray, parts: int = 16, rows: int = 3) ->
     return [majority(x) for x in least.reshape(parts, rows)]
 
 
+#: Stands for a null id in the order of rows: after all others.
+LAST = 2**63 - 1
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(id, k1, k2, text): a row's id and two hashes of its text, which tell rows of equal id apart."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"), text.alias("text"))
+
+
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, fp, words_key, parts): whole and partial fingerprints, and a 128-bit digest of the word sequence."""
+    """(id, k1, k2, fp, words_key, parts): whole and partial fingerprints, and a 128-bit digest of the word sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp, keys, parts = [], [], []
-            for x in b.column(1):
-                text = x.as_py() or ""
+            for x in b.column(3):
+                text = x.as_py()
                 h = shingle_hashes(text, width)
                 fp.append(majority(h))
                 keys.append(xxhash.xxh3_128_digest(b" ".join(text.encode("utf-8", "surrogatepass").translate(FOLD).split())))
                 parts.append(partial_fingerprints(h) if len(h) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.list_(pa.int64()))], ["doc_id", "fp", "words_key", "parts"])
+            found = [pa.array(fp, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *found], ["id", "k1", "k2", "fp", "words_key", "parts"])
+
+    return _keyed(docs).mapInArrow(run, "id long, k1 long, k2 int, fp long, words_key binary, parts array<long>")
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, hashes): the distinct shingles of the texts of nodes (node, id, k1, k2); repeated rows give a set each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.unique(shingle_hashes(x.as_py(), width)).view(np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    rows = _keyed(docs).join(small(nodes, 300_000), ["id", "k1", "k2"]).select("node", "text")
+    return rows.mapInArrow(run, "node long, hashes array<long>")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], heads: int) -> Iterator[tuple[list, list[list], list[np.ndarray]]]:
+    """Runs of rows with equal leading columns: that key, the columns between as lists, and the arrays of the last one."""
+    key, rows, sets = None, [], []
+    for batch in batches:
+        hashes = batch.column(batch.num_columns - 1)
+        for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns - 1)), strict=True)):
+            if row[:heads] != key:
+                if rows:
+                    yield key, [list(c) for c in zip(*rows, strict=True)], sets
+                key, rows, sets = row[:heads], [], []
+            rows.append(row[heads:])
+            sets.append(np.array(hashes[i].values))
+    if rows:
+        yield key, [list(c) for c in zip(*rows, strict=True)], sets
+
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, words_key binary, parts array<long>")
+def _pieces(rows: DataFrame, key: str, sizes: DataFrame, piece_rows: int, piece_shingles: int) -> DataFrame:
+    """rows (key, node, ...) with the number of pieces that their key's rows are to be cut into."""
+    need = F.greatest(F.ceil(F.count("*") / piece_rows), F.ceil(F.sum("size") / piece_shingles)).cast("int")
+    heavy = rows.join(sizes, "node").groupBy(key).agg(need.alias("cuts")).filter("cuts > 1")
+    return rows.join(small(heavy), key, "left").withColumn("cuts", F.coalesce(F.col("cuts"), F.lit(1)))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The pairs (a, b) of ids whose texts' shingle sets have a Jaccard similarity of `similarity` or more."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(ids, 300_000), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    left, right = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+def _dealt(rows: DataFrame, *order: str) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, order[0]).sortWithinPartitions(*order)
+
+
+def star_matches(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: float, piece_rows: int = 1024, piece_shingles: int = 200_000) -> DataFrame:
+    """Links that join each node b of the pairs (a, b) with a, where their shingle sets are similar.
+
+    The partners of one a are dealt into pieces of a bounded size, each with its own copy of a's set, so that a
+    text with very many partners is no task of its own. A piece gives a bounded-degree tree.
+    """
+    cut_pairs = _pieces(pairs.select("a", F.col("b").alias("node")), "a", sizes, piece_rows, piece_shingles)
+    dealt = cut_pairs.select("a", "node", F.xxhash64("a", F.pmod(F.xxhash64("node"), "cuts")).alias("key"))
+    hubs = dealt.select("a", F.col("a").alias("node"), "key").distinct()
+    rows = dealt.unionByName(hubs).join(sets, "node").select("key", "a", (F.col("node") != F.col("a")).alias("partner"), "node", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}  # of the few hubs met last
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ok = []
-            for i, x in enumerate(a):
-                if x not in kept:
-                    if len(kept) >= 256:
-                        kept.clear()
-                    kept[x] = np.unique(shingle_hashes(batch.column(2)[i].as_py(), width))
-                mine, other = kept[x], np.unique(shingle_hashes(batch.column(3)[i].as_py(), width))
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                ok.append(both >= similarity * (len(mine) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, ok, strict=True) if k], pa.int64()), pa.array([x for x, k in zip(b, ok, strict=True) if k], pa.int64())], ["a", "b"])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def _matcher(similarity: float):
-    """mapInArrow body over rows (key, node, label, hashes) sorted by key: links (a, b) that join the labels of a key's members."""
-
-    def solve(node: list[int], label: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        for (_, a), (partner, node), own in _groups(batches, 2):
+            if partner[0]:
+                continue
+            found = [a]
+            for b, x in zip(node[1:], own[1:], strict=True):
+                both = len(np.intersect1d(own[0], x, assume_unique=True))
+                if b != a and both >= similarity * (len(own[0]) + len(x) - both):
+                    found.append(b)
+            links = [(min(found[(k - 1) // CHILDREN], found[k]), max(found[(k - 1) // CHILDREN], found[k])) for k in range(1, len(found))]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
+
+    return _dealt(rows, "key", "a", "partner", "node").mapInArrow(run, "a long, b long")
+
+
+def matches(members: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: float, piece_rows: int = 1024, piece_shingles: int = 200_000) -> DataFrame:
+    """Links (a < b) between texts of a bucket: every two members (key, node, label) of unlike labels are compared exactly.
+
+    Members whose labels a link has joined are not compared again. A large bucket is cut into pieces, and every pair of
+    pieces is a group of its own.
+    """
+    cut_members = _pieces(members, "key", sizes, piece_rows, piece_shingles)
+    cuts = F.col("cuts")
+    mine = F.pmod(F.xxhash64("node"), cuts)
+    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), cuts.cast("bigint") - 1), lambda j: F.xxhash64("key", F.least(j, mine), F.greatest(j, mine))))
+    rows = cut_members.select(pair.alias("key"), "node", "label").join(sets, "node").select("key", "node", "label", "hashes")
+
+    def solve(node: list[int], label: list[int], own_sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         ids = np.array(node, dtype=np.int64)
         label = np.unique(np.array(label, dtype=np.int64), return_inverse=True)[1]
-        sizes = np.array([len(x) for x in sets], dtype=np.int64)
-        owner, flat = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+        size = np.array([len(x) for x in own_sets], dtype=np.int64)
+        owner, flat = np.repeat(np.arange(len(size)), size), np.concatenate(own_sets)
         shingle, count = np.unique(flat, return_inverse=True, return_counts=True)[1:]
         holders = owner[np.argsort(shingle, kind="stable")]  # of each shingle in turn
-        first, ends = np.cumsum(count) - count, np.cumsum(sizes)
-        for i in range(len(sets)):
+        first, ends = np.cumsum(count) - count, np.cumsum(size)
+        for i in range(len(size)):
             if (label == label[i]).all():
                 continue
-            own = shingle[ends[i] - sizes[i] : ends[i]]
+            own = shingle[ends[i] - size[i] : ends[i]]
             n = count[own]
             at = np.arange(n.sum()) + np.repeat(first[own] - (np.cumsum(n) - n), n)
-            both = np.bincount(holders[at], minlength=len(sets))
-            for j in np.flatnonzero((both >= similarity * (sizes + sizes[i] - both)) & (label != label[i])).tolist():
+            both = np.bincount(holders[at], minlength=len(size))
+            for j in np.flatnonzero((both >= similarity * (size + size[i] - both)) & (label != label[i])).tolist():
                 if label[j] != label[i]:
                     label[label == label[j]] = label[i]
                     yield int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, ([], [], [])
-
-        def emit() -> pa.RecordBatch:
-            found = np.array(list(solve(*rows)), dtype=np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-        for batch in batches:
-            hashes = batch.column(3)
-            for i, (k, node, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
-                if k != key:
-                    if rows[0]:
-                        yield emit()
-                    key, rows = k, ([], [], [])
-                for to, x in zip(rows, (node, label, np.array(hashes[i].values)), strict=True):
-                    to.append(x)
-        if rows[0]:
-            yield emit()
+        for _, (node, label), own in _groups(batches, 1):
+            found = np.array(list(solve(node, label, own)), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
-    return run
+    return _dealt(rows, "key", "node").mapInArrow(run, "a long, b long").distinct()
 
 
-def matches(members: DataFrame, docs: DataFrame, similarity: float, width: int, block_rows: int = 1024, block_shingles: int = 200_000) -> DataFrame:
-    """Links (a < b) between texts of a bucket: every two members (key, node, label) of unlike labels are compared exactly.
-
-    Members whose labels a link has joined are not compared again. A bucket above `block_rows` members or
-    `block_shingles` shingles is cut into sub-blocks, and every pair of sub-blocks is a group of its own.
-    """
-    spark = members.sparkSession
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [np.unique(shingle_hashes(x.as_py(), width)).view(np.int64) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "hashes"])
-
-    ids = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small(ids, 300_000), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = cut(texts.mapInArrow(run, "doc_id long, hashes array<long>"))
-    sized = members.join(sets.select(F.col("doc_id").alias("node"), F.size("hashes").alias("size")), "node")
-    need = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("size") / block_shingles)).cast("int")
-    heavy = sized.groupBy("key").agg(need.alias("cuts")).filter("cuts > 1")
-    cuts = F.coalesce(F.col("cuts"), F.lit(1))
-    mine = F.pmod(F.xxhash64("node"), cuts)
-    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), cuts.cast("bigint") - 1), lambda j: F.xxhash64("key", F.least(j, mine), F.greatest(j, mine))))
-    dealt = members.join(heavy, "key", "left").select(pair.alias("key"), "node", "label")
-    rows = dealt.join(sets, F.col("node") == F.col("doc_id")).select("key", "node", "label", "hashes")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_matcher(similarity), "a long, b long").distinct()
+def representatives(docs: DataFrame, width: int = 5, radius: int = 3, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(id, k1, k2, words_key) of all rows, and the texts: words_key, id, k1, k2 of the first row with it, and label, which near copies share."""
+    found = cut(sketches(docs, width))
+    first = F.min(F.struct("id", "k1", "k2", "fp", "parts")).alias("x")
+    texts = cut(found.groupBy("words_key").agg(first).select("words_key", "x.*").withColumn("node", F.monotonically_increasing_id()))
+    reps = cut(texts.groupBy("fp").agg(F.min("node").alias("node")))
+    families = components(cut(links(reps.select("node", "fp"), radius)))
+    classes = reps.join(families, "node", "left").select("fp", F.coalesce("label", "node").alias("family"))
+    whole = texts.select("node", "fp").join(classes, "fp").select("node", F.xxhash64(F.lit(-1), "family").alias("key"))
+    buckets = cut(texts.select("node", F.posexplode("parts").alias("i", "part")).select("node", F.xxhash64("i", "part").alias("key")).union(whole))
+    shared = cut(buckets.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1"))
+    met = buckets.join(shared, "key")
+    pairs = cut(met.filter("node <> a").select("a", F.col("node").alias("b")).distinct())
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = shingle_sets(docs, cut(texts.join(ids, "node").select("node", "id", "k1", "k2")), width)
+    repeats = found.groupBy("id", "k1", "k2").count().filter("count > 1")
+    sets = cut(sets if repeats.isEmpty() else sets.dropDuplicates(["node"]))
+    sizes = sets.select("node", F.size("hashes").alias("size"))
+    edges = cut(star_matches(pairs, sets, sizes, similarity))
+    labels = components(edges)
+    others = met.filter("n > 2 and node <> a").select("key", "node")
+    others = cut(others.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    unlike = others.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    members = cut(others.join(unlike, "key", "left_semi"))
+    if not members.isEmpty():
+        labels = components(edges.union(matches(members, sets, sizes, similarity)))
+    texts = texts.select("words_key", "id", "k1", "k2", "node").join(labels, "node", "left")
+    return found.select("id", "k1", "k2", "words_key"), cut(texts.select("words_key", "id", "k1", "k2", F.coalesce("label", "node").alias("label")))
 
 
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each near-duplicate class: the one with the smallest id (one row of equal ids).
+    """docs with one row of each near-duplicate class: the one with the smallest id.
 
     Equal word sequences are one text. Texts at a similarity of 0.8 differ in up to 18 of 64 bits, beyond any
     exact index, and texts that repeat a line agree in all bits whatever else they hold. So fingerprints only
     give candidates: a bucket is the texts of an equal partial fingerprint, or those whose whole fingerprints
     are connected within `radius` bits (the Gray-order index). Shingle sets are compared exactly: each text of a
-    bucket with the smallest id first, then every two of the others that no link has joined yet.
-    Rows without an id can't be told apart and are all kept.
+    bucket with the bucket's first one, then every two of the others that no link has joined yet.
+
+    Rows of equal id are told apart by their texts, so different texts of one id are different documents; among ties
+    the smaller hash of the text stays. A null id comes after all others. Rows equal in id and text are one document; if
+    their other columns differ, the row with the smallest hash stays. A null text is an empty one. Columns of any other
+    names and types are kept as they are. An empty table stays empty.
     """
-    with_id = docs.filter("doc_id is not null")
-    found = cut(sketches(with_id, width))
-    texts = cut(found.groupBy("words_key").agg(F.min(F.struct("doc_id", "fp", "parts")).alias("x")).select(F.col("x.doc_id").alias("node"), "x.fp", "x.parts", "words_key"))
-    reps = cut(texts.groupBy("fp").agg(F.min("node").alias("node")))
-    families = components(cut(links(reps.select("node", "fp"), radius)))
-    classes = reps.join(families, "node", "left").select("fp", F.coalesce("label", "node").alias("family"))
-    whole = texts.join(classes, "fp").select("node", F.xxhash64(F.lit(-1), "family").alias("key"))
-    buckets = texts.select("node", F.posexplode("parts").alias("i", "part")).select("node", F.xxhash64("i", "part").alias("key")).union(whole)
-    shared = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    pairs = cut(buckets.join(shared, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct())
-    edges = cut(verified(pairs, with_id, similarity, width))
-    labels = components(edges)
-    others = buckets.join(shared.filter("n > 2"), "key").filter("node <> a").select("key", "node")
-    others = cut(others.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
-    mixed = others.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    members = cut(others.join(mixed, "key", "left_semi"))
-    if not members.isEmpty():
-        labels = components(edges.union(matches(members, with_id, similarity, width)))
-    merged = labels.filter("label <> node").select("node")
-    copies = found.join(texts.select(F.col("node").alias("first"), "words_key"), "words_key").filter("doc_id <> first").select("doc_id")
-    gone = cut(merged.select(F.col("node").alias("doc_id")).union(copies).distinct())
-    left = docs.join(small(gone, 300_000), "doc_id", "left_anti").select(*docs.columns)
-    twice = cut(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if twice.isEmpty():
-        return left
-    again = left.join(small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return left.join(small(twice), "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    rows, texts = representatives(docs, width, radius, similarity)
+    best = texts.groupBy("label").agg(F.min(F.struct("id", "words_key", "k1", "k2")).alias("x")).select("x.id", "x.k1", "x.k2")
+    counted = cut(rows.groupBy("id", "k1", "k2").agg(F.count("*").alias("n")).join(best.withColumn("stays", F.lit(True)), ["id", "k1", "k2"], "left"))
+    keyed = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = keyed.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"))
+    gone = counted.filter("stays is null").select("id", "k1", "k2")
+    left = keyed.join(small(gone, 300_000), ["id", "k1", "k2"], "left_anti")
+    twice = cut(counted.filter("stays and n > 1").select("id", "k1", "k2"))
+    if not twice.isEmpty():
+        again = left.join(small(twice, 300_000), ["id", "k1", "k2"], "left_semi")
+        one = again.groupBy("id", "k1", "k2").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row")
+        left = left.join(small(twice, 300_000), ["id", "k1", "k2"], "left_anti").select("_row").unionByName(one)
+    return left.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

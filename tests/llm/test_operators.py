@@ -80,20 +80,48 @@ def clusters(seed, centres, each):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("centres", "each", "bucket_rows"), [(40, 12, 4096), (1, 400, 4096), (2, 300, 64), (30, 4, 2)])
-def test_simhash_index(spark, centres, each, bucket_rows):
-    """Dense and sparse clusters, buckets small and cut, narrow and wide keys: the same components."""
+@pytest.mark.parametrize(("centres", "each", "block_rows"), [(40, 12, 16_384), (1, 400, 64), (2, 300, 37), (30, 4, 5)])
+def test_simhash_index(spark, centres, each, block_rows):
+    """Dense and sparse clusters in few and many blocks: the same components."""
     fps = dict(enumerate(clusters(centres, centres, each)))
     nodes = spark.createDataFrame([(i, f - 2**64 if f >> 63 else f) for i, f in fps.items()], "node long, fp long")
-    labels = {r.node: r.label for r in simhash.components(simhash.links(nodes, 3, bucket_rows)).collect()}
+    labels = {r.node: r.label for r in simhash.components(simhash.links(nodes, 3, block_rows)).collect()}
     assert {i: labels.get(i, i) for i in fps} == components_brute(fps)
 
 
-def test_index_pairs():
-    fp = np.sort(np.array(clusters(5, 30, 40), dtype=np.uint64))
-    fp = fp[np.argsort(simhash.gray_rank(fp))]
-    got = {(int(a), int(b)) for i, j in simhash._index_pairs(fp, 3) for a, b in zip(i, j, strict=True)}
-    assert got == {(int(i), int(j)) for i, j in np.argwhere(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3) if i < j}
+def in_gray_order(fps):
+    fp = np.array(fps, dtype=np.uint64)
+    return fp[np.argsort(simhash.gray_rank(fp))]
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 6])
+def test_index_finds_all_pairs(radius):
+    """Both turns together: exactly the pairs within the radius."""
+    fps = clusters(5, 30, 40)
+    got = set()
+    for turned in (fps, [(f << 32 | f >> 32) & (2**64 - 1) for f in fps]):
+        fp = in_gray_order(turned)
+        index = simhash.levels(fp, fp)
+        for i, j in simhash.descend(index, index, radius, same=True):
+            near = np.bitwise_count(fp[i] ^ fp[j])
+            assert (near <= radius).all()
+            back = (lambda f: f) if turned is fps else (lambda f: (f << 32 | f >> 32) & (2**64 - 1))
+            got |= {frozenset((back(int(fp[x])), back(int(fp[y])))) for x, y in zip(i.tolist(), j.tolist(), strict=True) if x != y}
+    assert got == {frozenset((a, b)) for k, a in enumerate(fps) for b in fps[k + 1 :] if (a ^ b).bit_count() <= radius}
+
+
+def test_index_prunes_groups():
+    """Far fewer nodes are visited than there are pairs."""
+    fp = in_gray_order(np.random.default_rng(1).integers(0, 2**63, 20_000).tolist())
+    index = simhash.levels(fp, fp)
+    met = []
+    bitwise_count = np.bitwise_count
+    simhash.np.bitwise_count = lambda x: met.append(len(x)) or bitwise_count(x)
+    try:
+        assert all((i == j).all() for i, j in simhash.descend(index, index, 3, same=True))
+    finally:
+        simhash.np.bitwise_count = bitwise_count
+    assert sum(met) / 2 < 0.05 * 20_000**2 / 2
 
 
 def test_long_chain(spark):
@@ -144,10 +172,37 @@ def test_matches_in_blocks(spark):
     sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
     near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     want = {r.node: r.label for r in simhash.components(spark.createDataFrame(near, "a long, b long")).collect()}
+    own = df.select(F.col("doc_id").alias("node"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"))
+    sets_of = simhash.shingle_sets(df, own, 5).cache()
+    sizes = sets_of.select("node", F.size("hashes").alias("size"))
     for rows_each in (1024, 6):
-        got = simhash.matches(members, df, 0.8, 5, block_rows=rows_each)
+        got = simhash.matches(members, sets_of, sizes, 0.8, piece_rows=rows_each)
         assert {(r.a, r.b) for r in got.collect()} <= set(near)
         assert {r.node: r.label for r in simhash.components(got).collect()} == want
+    stars = spark.createDataFrame([(a, b) for a in (0, 9) for b in range(40) if a != b], "a long, b long")
+    for rows_each in (1024, 3):
+        got = simhash.components(simhash.star_matches(stars, sets_of, sizes, 0.8, piece_rows=rows_each)).collect()
+        linked = spark.createDataFrame([(a, b) for a, b in near if a in (0, 9) or b in (0, 9)], "a long, b long")
+        assert {r.node: r.label for r in got} == {r.node: r.label for r in simhash.components(linked).collect()}
+
+
+def test_keep_one_equal_ids(spark):
+    """Different texts of one id stay; rows equal in id and text are one; further columns of any name come back."""
+    one, other, near = words(1, 60), words(2, 60), edit(words(1, 60), 5, 0.01)
+    rows = [(1, one, "p", 1), (1, other, "q", 2), (1, one, "p", 1), (1, one, "r", 0), (2, near, "s", 3), (None, one, "t", 4), (None, words(3, 40), "u", 5), (None, words(4, 40), "v", 6), (None, words(4, 40), "v", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string, label int")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == sorted([(1, one), (1, other), (0, words(3, 40)), (0, words(4, 40))])
+    assert sorted(map(str, kept.collect())) == sorted(map(str, simhash.keep_one(df.repartition(3)).collect()))
+
+
+def test_simhash_empty_and_long(spark, empty):
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+    long = " ".join(f"x{i}" for i in range(300_000))
+    df = spark.createDataFrame([(1, long), (2, long + " y"), (3, None), (4, "")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [1, 3]
 
 
 # --- 2 ------------------------------------------------------------------------------------------------------
