@@ -43,27 +43,51 @@ def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
-def hash_sample(rows: DataFrame, stratum: str, per_stratum: int, key: str = "doc_id", buckets: int = 4096) -> DataFrame:
-    """About per_stratum rows of each stratum, chosen by a hash of the key: the same rows on every run.
+def hash_sample(rows: DataFrame, stratum: str, per_stratum: int, key: list[str], bits: int = 12, levels: int = 3) -> DataFrame:
+    """At most per_stratum rows of each stratum, at least half as many if there are so many: the same rows on every run.
 
-    The hash space is cut into buckets; one map-side combined count by (stratum, bucket) gives the
-    largest number of leading buckets that stays within the bound (one bucket at least). Only counts
-    reach the driver: strata x buckets at most.
+    A row's place is a hash of its key columns. Nested histograms (map-side combined counts by stratum and bucket, then
+    of the boundary bucket by the next bits) give each stratum the threshold below which its rows are taken. Rows that share
+    the one place on the boundary are equal in their keys; they are taken, up to the bound, only where there is nothing below.
+    Only counts reach the driver: strata x 2^bits at a time.
     """
-    b = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(buckets))
-    counts: dict = {}
-    for r in rows.groupBy(F.col(stratum).alias("s"), b.alias("b")).count().collect():
-        counts.setdefault(r.s, {})[r.b] = r["count"]
-    keep = F.lit(False)
-    for s, by in counts.items():
-        total, last = 0, 0
-        for i in range(buckets):
-            total += by.get(i, 0)
-            if total > per_stratum and i:
-                break
-            last = i
-        keep = keep | (F.col(stratum).eqNullSafe(F.lit(s)) & (b <= last))
-    return rows.filter(keep)
+    h, s = F.shiftrightunsigned(F.xxhash64(*key, F.lit("sample")), 64 - bits * levels), F.col(stratum)
+    below: dict = {}  # stratum: (hashes below this are taken, how many rows that is)
+    refine: dict = {}  # stratum: boundary bucket
+    for level in range(levels):
+        shift = bits * (levels - 1 - level)
+        bucket = F.shiftrightunsigned(h, shift)
+        part = rows if not level else rows.filter(_any(s, {x: F.shiftrightunsigned(h, shift + bits) == b for x, b in refine.items()}))
+        counts: dict = {}
+        for r in part.groupBy(s.alias("s"), bucket.alias("b")).count().collect():
+            counts.setdefault(r.s, {})[r.b] = r["count"]
+        refine = {}
+        for x, by in counts.items():
+            taken = below.get(x, (0, 0))[1]
+            last = max(by) + 1
+            for b in sorted(by):
+                if taken + by[b] > per_stratum:
+                    last = b
+                    if 2 * taken < per_stratum:
+                        refine[x] = b
+                    break
+                taken += by[b]
+            below[x] = (last << shift, taken)
+        if not refine:
+            break
+    chosen = rows.filter(_any(s, {x: h < F.lit(t) for x, (t, _) in below.items()}))
+    for x, b in refine.items():
+        if not below[x][1]:
+            chosen = chosen.unionByName(rows.filter(s.eqNullSafe(F.lit(x)) & (h == F.lit(b))).limit(per_stratum))
+    return chosen
+
+
+def _any(stratum: Column, conditions: dict) -> Column:
+    """Whether the condition of a row's stratum holds."""
+    out = F.lit(False)
+    for x, c in conditions.items():
+        out = out | (stratum.eqNullSafe(F.lit(x)) & c)
+    return out
 
 
 def tokenizer_path(name: str) -> str:

@@ -10,7 +10,9 @@ Words are letter runs, lower-cased, whole whatever their length; sums are rescal
 stay in range. Each distinct token is scored once per worker and kept in a bounded cache.
 
 Nulls: a null or letterless text is `und` with score 0. A null lang is never learned; with no lang to learn
-every text is `und`. Rows with a null id are in no held-out fold. An empty table gives no rows.
+every text is `und`. Rows with a null id are in no held-out fold. Repeated rows and equal ids come back each; of
+languages that tie the first by name is told. Very long texts and words are scored whole, in flat memory. Columns of any
+other names do no harm. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -277,7 +279,7 @@ class Model:
 def train(docs: DataFrame, sample_docs: int = 400, rounds: int = 4, smooth: float = 0.02, cache_words: int = 400_000) -> Model:
     """Learn from text and lang of documents outside the held-out fold; sample_docs bounds the rows a language gives."""
     rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    sample = hash_sample(rows, "lang", sample_docs)
+    sample = hash_sample(rows, "lang", sample_docs, ["doc_id", "text"])
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).filter("w <> ''").groupBy("lang", "w").count()
     table = words.toArrow()  # bounded by the sample
     langs = sorted(set(table.column("lang").to_pylist()))
