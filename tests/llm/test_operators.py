@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quarry.llm import fingerprint, langid, mixing, packing, pagetext, pii, simhash, tokencount, topk, toxicity
+from quarry.llm.common import hash_sample
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(400)]
@@ -399,6 +400,46 @@ def test_restore():
         assert chars.restore(token) == word
 
 
+def restore_brute(chars, token):
+    """The best score over all readings of a token, spelled out one by one."""
+    best = []
+
+    def read(i, state, score):
+        if i == len(token):
+            best.append(score + chars.step(state, "$"))
+            return
+        options, skip = chars.letters(token, i)
+        for x, cost in options:
+            read(i + 1, state[1] + x, score + chars.step(state, x) - cost)
+        if skip is not None:
+            read(i + 1, state, score - skip)
+        if token[i] == " " and state != "^^":
+            read(i + 1, "^^", score + chars.step(state, "$") - toxicity.COST["break"])
+
+    read(0, "^^", 0.0)
+    return max(best)
+
+
+def test_restore_is_the_best_of_all_readings():
+    chars = toxicity.CharModel({"idiot": 50, "stupid": 50, "house": 80, "scum": 30, "letter": 40, "a": 60, "you": 60})
+    r = np.random.default_rng(3)
+    for token in ["s***d", "*****", "6|8!1", "a s c u m", "1!1!1!", "((**))", *("".join(r.choice(list("ab1!6*. s8|"), 7)) for _ in range(60))]:
+        assert chars.best(token)[0] == pytest.approx(restore_brute(chars, token), abs=1e-9)
+    for run, words_in in [("a s t u p i d", "a stupid"), ("y o u s c u m", "you scum"), ("s c u m", "scum")]:
+        assert chars.restore(run) == words_in
+    assert chars.restore("stupid" * 3000).count("stupid") == 3000
+
+
+def test_hash_sample(spark):
+    """Within the bound for strata of few and many rows, and where all rows are one."""
+    rows = [("a", i) for i in range(9000)] + [("b", i) for i in range(7)] + [("c", 1)] * 5000 + [(None, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "s string, doc_id long")
+    for bits in (12, 4):
+        got = hash_sample(df, "s", 100, ["doc_id"], bits=bits).groupBy("s").count().collect()
+        n = {r.s: r["count"] for r in got}
+        assert 50 <= n["a"] <= 100 and n["b"] == 7 and n["c"] == 100 and 50 <= n[None] <= 100
+
+
 # --- 8 ------------------------------------------------------------------------------------------------------
 
 
@@ -549,17 +590,69 @@ def test_loose_spans_lie_where_they_matched(spark):
     assert got == {0: [(5, 20), (30, 42)], 1: [(29, 41)], 2: [(8, 20), (22, 34)]}
 
 
+def spans_brute(text):
+    """All candidate spans as (kind, at, until, base), each kind's base ones first."""
+    out = []
+    for k, (kind, _) in enumerate(PATTERNS):
+        base = [tuple(map(int, x.split(":")[1:])) for x in base_brute(text).split(",") if x.startswith(kind + ":")]
+        out += [(k, a, z, True) for a, z in base]
+        loose = [m.span() for m in re.finditer(pii.LOOSE[kind], text, re.ASCII)]
+        out += [(k, a, z, False) for a, z in loose if not any(b < z and a < e for b, e in base)]
+    return out
+
+
+MANY = "é phone 212-555-0143; a@b.co 10.0.0.1 card 4111-1111-1111-1111 " * 300
+
+
+def test_all_candidates(spark):
+    texts = [t or "" for t in TEXTS] + [
+        "Call +1-212-555-0143 or phone 212-555-0143", "order 9-212-555-0143 ; phone 212-555-0143", "😀 phone 212-555-0143, 212-555-0143", "joe [at] mail [dot] org, a@b.c1@d.e", MANY,
+        "2001:0db8:0000:0000:0000:ff00:0042:8329 host", "x" * 200_000 + " a@b.co", "1.2.3." * 30_000, "a.b@c" * 1000 + "@d.e",
+    ]
+    found = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"])
+    for r in found.collect():
+        assert [(c.kind, c["at"], c.until, c.base) for c in r.cands] == spans_brute(texts[r.doc_id]), texts[r.doc_id][:80]
+
+
 def test_mask(spark):
-    df = spark.createDataFrame([(1, "😀 a@b.co and 10.0.0.1!", 5, "x"), (2, "nothing", 7, "y"), (3, None, None, "z")], "doc_id long, text string, n_chars long, spans string")
+    df = spark.createDataFrame([(1, "😀 a@b.co and 10.0.0.1!", 5, "x"), (2, "nothing", 7, "y"), (3, None, None, "z"), (3, None, None, "z")], "doc_id long, text string, n_chars long, spans string")
     got = {r.doc_id: r for r in pii.mask(df).collect()}
     assert (got[1].text, got[1].n_chars, got[1].spans) == ("😀 <email> and <ip>!", 19, "x")
     assert (got[2].text, got[2].n_chars, got[3].text, got[3].n_chars) == ("nothing", 7, None, None)
+    assert pii.mask(df).count() == 4 and pii.mask(df.limit(0)).count() == 0
+
+
+def masked_brute(text, spans):
+    """The spans' places merged where they overlap, each replaced by the kind of its first."""
+    out, last, kind = "", 0, None
+    for k, a, z in sorted(spans, key=lambda s: (s[1], s[2], s[0])):
+        if kind is not None and a < last:
+            last = max(last, z)
+            continue
+        out += text[last:a] + f"<{pii.KINDS[k]}>"
+        last, kind = z, k
+    return out + text[last:]
+
+
+def test_mask_leaves_nothing(spark):
+    """Whole spans go, also where they overlap and where there are hundreds of them."""
+    texts = ["tel 1-555-123-4567 phone 555-123-4567 end", "+4111 1111 1111 1111 and +1 212 555 0143", MANY, "4111 1111 1111 1111" * 3 + " +4111 1111 1111 111 1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: [(s.kind, s["at"], s.until) for s in r.spans] for r in pii.detect(df).collect()}
+    got = {r.doc_id: r.text for r in pii.mask(df).collect()}
+    assert got == {i: masked_brute(t, spans[i]) for i, t in enumerate(texts)}
+    assert "555" not in got[0].replace("1-555-123-4567", "") and not re.search("[0-9]{3}", got[1])
 
 
 def test_em():
-    """Labelers that agree get a high posterior, those that vote no a low one."""
-    patterns = {(0, 1, 1, 1, 0): 500, (0, -1, -1, 0, -1): 500, (0, 1, 1, 0, 0): 200, (0, -1, -1, 0, 0): 200}
-    post = pii.em(patterns)
+    """Labelers that agree get a high posterior, those that vote no a low one; the classifier follows, and learns from shapes."""
+    votes = {(0, 1, 1, 1, 0): 500, (0, -1, -1, 0, -1): 500, (0, 1, 1, 0, 0): 200, (0, -1, -1, 0, 0): 200}
+    post = pii.em(votes)
     assert post[0, 1, 1, 1, 0] > 0.9 and post[0, -1, -1, 0, -1] < 0.1
-    probability = pii.classifier(patterns, post)
-    assert probability[0, 1, 1, 0, 0] > 0.5 > probability[0, -1, -1, 0, 0]
+    shape = {True: (3, 1, 1, 1), False: (5, 2, 2, 2)}
+    patterns = {(p[0], *(v + 1 for v in p[1:]), *shape[post[p] > 0.5]): n for p, n in votes.items()}
+    w = pii.classifier(patterns, post)
+    logit = lambda p: sum(w[i] for i in pii._places(p[0], p[1:]))
+    assert {pii.votes_of(p): logit(p) > 0 for p in patterns} == {p: post[p] > 0.5 for p in votes}
+    unseen = (0, 2, 2, 1, 1)
+    assert logit((*unseen, *shape[True])) > logit((*unseen, *shape[False]))
