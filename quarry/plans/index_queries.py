@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from quarry.operators import index
 from quarry.plans import sqltext as S
 from quarry.plans import tables
 from quarry.sources import export
+from quarry.sources.tables import shared_folder
 from quarry.streaming import changefeed
 
 
@@ -111,11 +114,7 @@ def stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of changes, folded into the latest state of each user, read back."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-stream-")
-    base = f"{base.rstrip('/')}/changefeed-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/changefeed-{uuid.uuid4().hex}"
     fields = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     changes = spark.readStream.schema(fields).parquet(_stream_folder(spark, sf_dir, base))
     changefeed.keep_table(changes.withColumn("seq", F.col("event_id")), f"{base}/table", f"{base}/checkpoint", ["user_id"]).awaitTermination()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import time
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -13,11 +15,26 @@ from quarry import schema
 SCHEMAS: dict[str, str] = {"pages": schema.PAGES, "chunks": schema.CHUNKS, "products": schema.PRODUCTS, "state": schema.STATE}
 
 
+@lru_cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="quarry-shared-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir; a temporary one in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _own_folder()
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """df computed once, in the reliable checkpoint folder (spark.checkpoint.dir; a temporary one only where that is unset)."""
+    """df computed once, in the session's reliable checkpoint folder, which survives the loss of any executor."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
