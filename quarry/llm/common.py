@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.tables import materialise, shared_folder  # noqa: F401
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,15 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the reliable checkpoint folder and cut its lineage.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests, a laptop) is a
-    temporary one chosen. Reliable checkpoints survive the loss of any executor.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-ckpt-"))
-    return df.checkpoint(eager=True)
+    """Materialise df in the session's reliable checkpoint folder and cut its lineage; the loss of any executor does no harm."""
+    return materialise(df)
 
 
 def small(df: DataFrame, rows: int = 20_000) -> DataFrame:

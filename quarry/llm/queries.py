@@ -24,7 +24,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.edited(table(spark, sf_dir, "documents"))
+    return fingerprint.classified(table(spark, sf_dir, "documents"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.token_counts(tokencount.token_files(table(spark, sf_dir, "documents"))).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    return tokencount.count_documents(table(spark, sf_dir, "documents"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

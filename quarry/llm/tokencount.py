@@ -1,29 +1,38 @@
 """Token counts (operator 6): a separator scan over flat token files.
 
-A token file is nothing but 16- or 32-bit ids, each document ended by an end-of-document id; there is no
-index. Files are scanned in blocks: in each, one vectorised comparison finds the separators. A prefix scan
-over the blocks' small summaries (lengths and last separators) stitches documents that cross boundaries, so
-no block waits for another. Memory is one block, whatever the file's or a document's length.
-
-Nulls: a null text is an empty document of 0 tokens. Repeated rows and null ids are counted like others. An
-empty table or file gives no rows; a file that doesn't end in a separator has one last, unclosed document.
+A token file is nothing but ids of a fixed width, each document ended by an end-of-document id; there is no
+index. Files are read in blocks of a bounded size: in each, one vectorised comparison finds the separators, and with
+them where each document of the block starts and ends. A prefix scan over the blocks' small summaries (lengths, numbers of
+separators, last separators) stitches documents that cross boundaries, so no block waits for another and no
+document is ever gathered. Memory is one block, whatever the file's or a document's length.
+
+Files are written by Spark's text sink, each document a line of raw ids and the line's end the end-of-document id. That id
+must therefore be valid UTF-8: ids are big-endian 16-bit numbers and the end is 0xC480, an id that the vocabulary leaves
+free. Which document is which in a file (file, ordinal, doc_id) is a table of its own that the scan doesn't use.
+
+Nulls: a null text is an empty document of 0 tokens. Repeated rows, equal and null ids are counted like others, in the
+table's order, so there are no ties. Texts of any length, and columns of any other names, do no harm. An empty table or
+file gives no rows; a file that doesn't end in a separator has one last, unclosed document.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import tokenizer_path
+from quarry.llm.common import cut, shared_folder, small, tokenizer_path
 
-END = 50256
+END = 0xC480
 BLOCK = 1 << 20
+KIND = ">u2"
+#: Files up to so many bytes are read whole, by Spark; byte ranges are read of larger ones.
+WHOLE = 1 << 28
 
 _loaded: dict = {}
 
@@ -40,91 +49,95 @@ def encoder(name: str = "byte_bpe_50k.tiktoken"):
     return _loaded[name]
 
 
-def token_files(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """docs as flat token files in blocks: file, block, data (little-endian uint16) and ids of the documents that end in it.
-
-    Each input partition becomes one file, documents in its order, so docs should be a scan or a
-    checkpoint: a partition that is read again then gives the same file.
-    """
+def write_token_files(docs: DataFrame, path: str) -> DataFrame:
+    """Writes docs as flat token files under path, one for each partition; returns (file, ordinal, doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder().encode_ordinary
-        file, number = TaskContext.get().partitionId(), 0
-        parts: list[np.ndarray] = []
-        held, ends = 0, []  # ends: (tokens up to and with the separator, id)
-
-        def flush(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal parts, held, ends, number
-            whole = np.concatenate([np.zeros(0, dtype="<u2"), *parts])
-            stop = len(whole) if final else len(whole) // block * block
-            for a in range(0, stop, block):
-                z = min(a + block, stop)
-                ids = [i for at, i in ends if a < at <= z]
-                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([number], pa.int64()), pa.array([whole[a:z].tobytes()], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], ["file", "block", "data", "ids"])
-                number += 1
-            parts, held, ends = [whole[stop:]], len(whole) - stop, [(at - stop, i) for at, i in ends if at > stop]
-
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                t = np.array([*encode(text.as_py()), END], dtype="<u2")
-                parts.append(t)
-                held += len(t)
-                ends.append((held, doc_id))
-                if held >= block:
-                    yield from flush(False)
-        yield from flush(True)
+            data = [np.array(encode(x.as_py()), dtype=KIND).tobytes() for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "file int, block long, data binary, ids array<long>")
+    encoded = cut(rows.mapInArrow(run, "doc_id long, data binary"))
+    # the checkpoint fixes partitions and their order, so names and files agree
+    encoded.select(F.col("data").cast("string").alias("value")).write.option("lineSep", END.to_bytes(2, "big").decode()).text(path)
+    place = F.monotonically_increasing_id()
+    return encoded.select(F.shiftright(place, 33).cast("int").alias("file"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"), "doc_id")
+
+
+def read_token_files(spark: SparkSession, path: str, kind: str = KIND, block: int = BLOCK, whole: int = WHOLE) -> DataFrame:
+    """(file, block, data): blocks of the flat binary files under path.
 
+    Files above `whole` bytes are read by byte ranges, each range by the task that scans it; their path must then be one that
+    pyarrow's file systems open (local, hdfs, s3, gs).
+    """
+    size = block * np.dtype(kind).itemsize
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length > 0")
+    number = F.expr(f"sequence(0L, (length - 1) div {size})")
+    cuts = F.transform(number, lambda i: F.struct(i.alias("block"), F.substring(F.col("content"), (i * size + 1).cast("int"), F.lit(size)).alias("data")))
+    short = files.filter(F.col("length") <= whole).select(F.col("path").alias("file"), F.explode(cuts).alias("x")).select("file", "x.block", "x.data")
+    large = files.filter(F.col("length") > whole).select(F.col("path").alias("file"), F.explode(number).alias("block"))
+    if large.isEmpty():
+        return short
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            for i in range(b.num_rows):
+                store, name = fs.FileSystem.from_uri(b.column(0)[i].as_py())
+                with store.open_input_file(name) as f:
+                    f.seek(b.column(1)[i].as_py() * size)
+                    data = f.read(size)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([data], pa.binary())], ["file", "block", "data"])
 
-def read_token_files(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """Blocks of the binary token files under path. A file is loaded whole before it is cut: keep files under 1 GB."""
-    size = block * width
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", F.length("content").alias("n"))
-    cuts = files.select("file", "content", F.explode(F.expr(f"sequence(0L, cast(greatest(ceil(n / {size}) - 1, 0) as bigint))")).alias("block"))
-    return cuts.select("file", "block", F.expr(f"substring(content, cast(block * {size} + 1 as int), {size})").alias("data"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return short.unionByName(large.repartition(parts, "file", "block").mapInArrow(run, "file string, block long, data binary"))
 
 
-def scan(blocks: DataFrame, end: int = END, width: int = 2) -> DataFrame:
-    """Each block's summary: its length, separators, tokens before the first and after the last, and counts between them."""
-    with_ids = "ids" in blocks.columns
-    kind = {2: "<u2", 4: "<u4"}[width]
+def scan(blocks: DataFrame, end: int = END, kind: str = KIND) -> DataFrame:
+    """Each block's summary: its length, separators, the last one's place, and the documents (k, start, stop) that end in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for data in b.column(2):
-                t = np.frombuffer(data.as_py(), dtype=kind)
+            for i in range(b.num_rows):
+                t = np.frombuffer(b.column(2)[i].as_buffer(), dtype=kind)
                 at = np.flatnonzero(t == end)
-                row = (len(t), len(at), int(at[0]) if len(at) else None, len(t) - 1 - int(at[-1]) if len(at) else None, (np.diff(at) - 1).tolist())
-                for column, v in zip(out, row, strict=True):
-                    column.append(v)
-            columns = [b.column(0), b.column(1), *(pa.array(v, pa.int64()) for v in out[:4]), pa.array(out[4], pa.list_(pa.int64())), b.column(3) if with_ids else pa.array([None] * b.num_rows, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["file", "block", "length", "separators", "head", "tail", "between", "ids"])
+                ended = [pa.array(np.arange(len(at))), pa.array(np.concatenate([[0], at[:-1] + 1])[: len(at)].astype(np.int64)), pa.array(at)]
+                ended = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.StructArray.from_arrays(ended, ["k", "start", "stop"]))
+                told = [pa.array([v], pa.int64()) for v in (len(t), len(at), int(at[-1]) if len(at) else None)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), *told, ended], ["file", "block", "length", "separators", "last", "ended"])
 
-    rows = blocks.select("file", "block", "data", *(["ids"] if with_ids else []))
+    rows = blocks.select("file", "block", "data")
     file = rows.schema["file"].dataType.simpleString()
-    return rows.mapInArrow(run, f"file {file}, block long, length long, separators long, head long, tail long, between array<long>, ids array<long>")
+    return rows.mapInArrow(run, f"file {file}, block long, length long, separators long, last long, ended array<struct<k:long,start:long,stop:long>>")
 
 
-def token_counts(blocks: DataFrame, end: int = END, width: int = 2) -> DataFrame:
-    """A row for each document of the files: file, ordinal, start, n_tokens (without the separator), closed, and doc_id where known."""
+def token_counts(blocks: DataFrame, end: int = END, kind: str = KIND) -> DataFrame:
+    """A row for each document of the files: file, ordinal, start, n_tokens (without the separator), closed."""
+    found = cut(scan(blocks, end, kind))
     order = Window.partitionBy("file").orderBy("block")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
-    s = scan(blocks, end, width)
+    s = found.select("file", "block", "length", "separators", "last")
     s = s.withColumn("before", F.coalesce(F.sum("length").over(past), F.lit(0))).withColumn("nth", F.coalesce(F.sum("separators").over(past), F.lit(0)))
-    s = s.withColumn("ended", F.when(F.col("separators") > 0, F.col("before") + F.col("length") - F.col("tail")))
-    s = s.withColumn("opened", F.coalesce(F.last("ended", ignorenulls=True).over(past), F.lit(0)))  # where the document at the block's start began
-    s = s.withColumn("last", F.lead("block").over(order).isNull())
-    first = F.col("before") + F.col("head") - F.col("opened")
-    counts = F.when(F.col("separators") > 0, F.concat(F.array(first), F.col("between"))).otherwise(F.array().cast("array<bigint>"))
-    # an unclosed document at a file's end
-    ends_at = F.coalesce("ended", "opened")
-    rest = F.col("before") + F.col("length") - ends_at
-    all_counts = F.when(F.col("last") & (rest > 0), F.concat(counts, F.array(rest))).otherwise(counts)
-    rows = s.select("file", "nth", "opened", "separators", "ids", all_counts.alias("counts"))
-    rows = rows.select("*", F.posexplode("counts").alias("k", "n_tokens"))
-    start = F.col("opened") + F.aggregate(F.slice("counts", 1, F.col("k")), F.lit(0).cast("bigint"), lambda a, x: a + x + 1)
-    doc_id = F.when(F.col("k") < F.size("ids"), F.get("ids", F.col("k")))
-    return rows.select("file", (F.col("nth") + F.col("k")).alias("ordinal"), start.alias("start"), "n_tokens", (F.col("k") < F.col("separators")).alias("closed"), doc_id.alias("doc_id"))
+    s = s.withColumn("open", F.col("before") + F.col("last") + 1)
+    s = s.withColumn("opened", F.coalesce(F.last("open", ignorenulls=True).over(past), F.lit(0)))  # where the document at the block's start began
+    s = cut(s.withColumn("final", F.lead("block").over(order).isNull()))
+    rows = found.select("file", "block", "ended").join(small(s.select("file", "block", "before", "nth", "opened")), ["file", "block"])
+    rows = rows.select("file", "before", "nth", "opened", F.explode("ended").alias("x"))
+    start = F.when(F.col("x.k") == 0, F.col("opened")).otherwise(F.col("before") + F.col("x.start"))
+    closed = rows.select("file", (F.col("nth") + F.col("x.k")).alias("ordinal"), start.alias("start"), (F.col("before") + F.col("x.stop") - start).alias("n_tokens"), F.lit(True).alias("closed"))
+    begun, stop = F.coalesce("open", "opened"), F.col("before") + F.col("length")
+    rest = s.filter("final").filter(stop > begun)
+    return closed.unionByName(rest.select("file", (F.col("nth") + F.col("separators")).alias("ordinal"), begun.alias("start"), (stop - begun).alias("n_tokens"), F.lit(False).alias("closed")))
+
+
+def count_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, file, ordinal, start, n_tokens of each row of docs, by way of token files in the session's shared folder."""
+    spark = docs.sparkSession
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    names = write_token_files(docs, path)
+    found = token_counts(read_token_files(spark, path))
+    number = F.regexp_extract(F.col("file"), r"part-([0-9]+)-[^/]*$", 1).cast("int")
+    return found.select(number.alias("file"), "ordinal", "start", "n_tokens").join(names, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small tables with the awkward cases in them."""
 
 import hashlib
+import os
 import re
 import zlib
 
@@ -308,6 +309,19 @@ def test_exact_classes(spark):
     assert sorted((r.class_id, r.copies) for r in fingerprint.exact_classes(df).collect()) == [(1, 2), (3, 1), (4, 2)]
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_classified(docs, empty, monkeypatch, weak):
+    """Classes are those of equal canonical bytes, also where digests clash."""
+    if weak:
+        monkeypatch.setattr(fingerprint, "digest", lambda data: f"{len(data) % 3:032x}")
+    text = [(r.doc_id, fingerprint.canonical(r.text or "")) for r in docs.collect()]
+    got = fingerprint.classified(docs).collect()
+    want = sorted((-1 if i is None else i, min(j for j, u in text if u == t and j is not None) if any(u == t and j is not None for j, u in text) else None, sum(u == t for _, u in text)) for i, t in text)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.class_id, r.copies) for r in got) == want
+    assert all((r.near_next == 1.0) <= (r.copies > 1) for r in got)
+    assert fingerprint.classified(empty).count() == 0
+
+
 # --- 5 ------------------------------------------------------------------------------------------------------
 
 
@@ -349,27 +363,41 @@ def test_resample(docs):
 # --- 6 ------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block", [1 << 20, 64, 7])
-def test_token_counts(docs, empty, block):
+@pytest.mark.parametrize(("block", "whole"), [(1 << 20, 1 << 28), (64, 1 << 28), (7, 100)])
+def test_token_counts(spark, docs, empty, tmp_path, block, whole):
+    """Files written, read back in blocks or by byte ranges, and counted: what the encoder gives, in the files' order."""
     encode = tokencount.encoder().encode_ordinary
     want = sorted((r.doc_id if r.doc_id is not None else -1, len(encode(r.text or ""))) for r in docs.collect())
-    got = tokencount.token_counts(tokencount.token_files(docs, block)).collect()
-    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens) for r in got) == want
+    names = tokencount.write_token_files(docs, str(tmp_path / "files"))
+    got = tokencount.token_counts(tokencount.read_token_files(spark, str(tmp_path / "files"), block=block, whole=whole))
     by = {}
-    for r in got:
-        by.setdefault(r.file, []).append((r.ordinal, r.start, r.n_tokens))
+    for r in got.collect():
+        assert r.closed
+        by.setdefault(int(r.file.split("part-")[1].split("-")[0]), []).append((r.ordinal, r.start, r.n_tokens))
     for rows in by.values():
         at = 0
         for k, (ordinal, start, n) in enumerate(sorted(rows)):
             assert (ordinal, start) == (k, at)
             at += n + 1
-    assert tokencount.token_counts(tokencount.token_files(empty)).count() == 0
+    ids = {(r.file, r.ordinal): r.doc_id for r in names.collect()}
+    assert sorted((ids[f, o] if ids[f, o] is not None else -1, n) for f, rows in by.items() for o, _, n in rows) == want
+    total = sum((tmp_path / "files" / f).stat().st_size for f in os.listdir(tmp_path / "files") if f.startswith("part-"))
+    assert total == sum(2 * (n + 1) for _, n in want)  # nothing but ids in the files
+
+
+def test_count_documents(docs, empty):
+    encode = tokencount.encoder().encode_ordinary
+    key = lambda r: (r[0] if r[0] is not None else -1, r[1])
+    assert sorted(key((r.doc_id, r.n_tokens)) for r in tokencount.count_documents(docs).collect()) == sorted(key((r.doc_id, len(encode(r.text or "")))) for r in docs.collect())
+    assert tokencount.count_documents(empty).count() == 0
 
 
 def test_token_files(spark, tmp_path):
     np.array([1, 2, 9, 9, 3, 4, 5], dtype="<u4").tofile(tmp_path / "a.bin")
-    got = tokencount.token_counts(tokencount.read_token_files(spark, str(tmp_path), 4, 2), 9, 4).orderBy("ordinal").collect()
-    assert [(r.start, r.n_tokens, r.closed) for r in got] == [(0, 2, True), (3, 0, True), (4, 3, False)]
+    for whole in (1000, 8):
+        blocks = tokencount.read_token_files(spark, str(tmp_path), "<u4", 2, whole)
+        got = tokencount.token_counts(blocks, 9, "<u4").orderBy("ordinal").collect()
+        assert [(r.start, r.n_tokens, r.closed) for r in got] == [(0, 2, True), (3, 0, True), (4, 3, False)]
 
 
 # --- 7 ------------------------------------------------------------------------------------------------------
@@ -517,6 +545,16 @@ def test_langid(spark, docs, empty):
         ("", ""),
         (None, ""),
         ("<nav>x</nav>", ""),
+        ('<body><form action="/"><div>menu</div><article><p>a<p>b</article></form>', "a\nb"),
+        ('<body class="has-sidebar"><div class="no-sidebar"><article>a</article></div><div class="sidebar">s</div>', "a"),
+        ('<div id="related-topics"><main><p>a</p></main></div>', "a"),
+        ('<div class="wrapper sidebar"><article>teaser</article></div><article>a</article>', "a"),
+        ('<main><p>long text of the article</p><div class="related"><article>teaser</article></div></main>', "long text of the article"),
+        ("<form><p>the whole page is a form</p><fieldset>login</fieldset></form>", "the whole page is a form\nlogin"),
+        ('<article><h1>T</h1><div class="post share-enabled"><p>all of the text is in here</p></div></article>', "T\nall of the text is in here"),
+        ('<article><p>text with <span class="ad">buy</span> an advert</p></article>', "text with an advert"),
+        ('<article><p>one <a class="share">x</p><p>two</p></article>', "one\ntwo"),
+        ("<article>" + "<p>x y</p>" * 20_000 + "</article>", "\n".join(["x y"] * 20_000)),
     ],
 )
 def test_pagetext(spark, html, text):
@@ -543,6 +581,37 @@ def test_unmarked_pages_lose_only_what_repeats(spark):
     assert got == {i: f"{words(i, 20)}\n{words(20 + i, 9)} {words(40 + i, 9)}" for i in range(4)} | {10 + i: words(90, 30) for i in range(3)}
 
 
+def repeats_brute(pages, run, least):
+    """Of each page's tokens, those in a stretch of `run` tokens or more that stands on `least` distinct pages of the host."""
+    out = {}
+    for url, tokens in pages:
+        held = {tuple(u) for v, u in pages if pagetext.host_of(v) == pagetext.host_of(url)}
+        gone = [False] * len(tokens)
+        for a in range(len(tokens) - run + 1):
+            part = tuple(tokens[a : a + run])
+            if sum(any(u[k : k + run] == part for k in range(len(u) - run + 1)) for u in held) >= least:
+                gone[a : a + run] = [True] * run
+        out[url] = [t for t, g in zip(tokens, gone, strict=True) if not g]
+    return out
+
+
+def test_unmarked_pages_brute(spark):
+    """All repeated stretches of random pages of two hosts, repeated rows among them."""
+    r = np.random.default_rng(8)
+    shared = [[f"s{k}x{i}" for i in range(int(r.integers(8, 30)))] for k in range(6)]
+    pages = []
+    for i in range(24):
+        tokens = []
+        for _ in range(5):
+            tokens += [f"p{i}w{int(x)}" for x in r.integers(0, 50, int(r.integers(9, 25)))] + (shared[int(r.integers(6))] if r.random() < 0.6 else [])
+        pages.append((f"https://h{i % 2}.x/{i}", tokens + [f"end{i}x{k}" for k in range(9)]))
+    pages += [(u + "?again", t) for u, t in pages[:3] for _ in range(1)]
+    rows = [(i, u, f"<p>{' '.join(t)}</p>") for i, (u, t) in enumerate(pages)]
+    got = {x.url: x.text.split() for x in pagetext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = repeats_brute(pages, pagetext.RUN, 3)
+    assert got == want and sum(map(len, want.values())) < sum(len(t) for _, t in pages)
+
+
 def test_no_pages(spark):
     assert pagetext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -607,7 +676,7 @@ MANY = "é phone 212-555-0143; a@b.co 10.0.0.1 card 4111-1111-1111-1111 " * 300
 def test_all_candidates(spark):
     texts = [t or "" for t in TEXTS] + [
         "Call +1-212-555-0143 or phone 212-555-0143", "order 9-212-555-0143 ; phone 212-555-0143", "😀 phone 212-555-0143, 212-555-0143", "joe [at] mail [dot] org, a@b.c1@d.e", MANY,
-        "2001:0db8:0000:0000:0000:ff00:0042:8329 host", "x" * 200_000 + " a@b.co", "1.2.3." * 30_000, "a.b@c" * 1000 + "@d.e",
+        "2001:0db8:0000:0000:0000:ff00:0042:8329 host", "x" * 3000 + " a@b.co", "1.2.3." * 300, "a.b@c" * 100 + "@d.e",
     ]
     found = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"])
     for r in found.collect():
@@ -622,6 +691,13 @@ def test_mask(spark):
     assert pii.mask(df).count() == 4 and pii.mask(df.limit(0)).count() == 0
 
 
+def test_long_runs(spark):
+    """Runs without an end take time in proportion to their length."""
+    found = pii.candidates(spark.createDataFrame([(0, "x" * 300_000 + " a@b.co"), (1, "7" * 300_000 + " 1.2.3.4")], "doc_id long, text string"), ["doc_id"])
+    got = {r.doc_id: [(c.kind, c["at"], c.until) for c in r.cands] for r in found.collect()}
+    assert got == {0: [(0, 300_001, 300_007)], 1: [(1, 300_001, 300_008)]}
+
+
 def masked_brute(text, spans):
     """The spans' places merged where they overlap, each replaced by the kind of its first."""
     out, last, kind = "", 0, None
