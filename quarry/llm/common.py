@@ -22,6 +22,13 @@ def cut(df: DataFrame) -> DataFrame:
     return materialise(df)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is not needed any more."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """df to be broadcast if it is seen to have no more than so many rows; else df as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

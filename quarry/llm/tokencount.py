@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, shared_folder, small, tokenizer_path
+from quarry.llm.common import cut, remove, shared_folder, small, tokenizer_path
 
 END = 0xC480
 BLOCK = 1 << 20
@@ -50,20 +50,20 @@ def encoder(name: str = "byte_bpe_50k.tiktoken"):
 
 
 def write_token_files(docs: DataFrame, path: str) -> DataFrame:
-    """Writes docs as flat token files under path, one for each partition; returns (file, ordinal, doc_id)."""
+    """Writes docs as flat token files under path, one for each partition; returns (file, ordinal, doc_id).
+
+    docs should be a scan or a checkpoint, whose partitions and their order stay the same when they are read again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder().encode_ordinary
         for b in batches:
-            data = [np.array(encode(x.as_py()), dtype=KIND).tobytes() for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.array(encode(x.as_py()), dtype=KIND).tobytes() for x in b.column(0)], pa.binary())], ["data"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    encoded = cut(rows.mapInArrow(run, "doc_id long, data binary"))
-    # the checkpoint fixes partitions and their order, so names and files agree
+    encoded = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "data binary")
     encoded.select(F.col("data").cast("string").alias("value")).write.option("lineSep", END.to_bytes(2, "big").decode()).text(path)
     place = F.monotonically_increasing_id()
-    return encoded.select(F.shiftright(place, 33).cast("int").alias("file"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"), "doc_id")
+    return cut(docs.select(F.shiftright(place, 33).cast("int").alias("file"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"), F.col("doc_id").cast("long").alias("doc_id")))
 
 
 def read_token_files(spark: SparkSession, path: str, kind: str = KIND, block: int = BLOCK, whole: int = WHOLE) -> DataFrame:
@@ -115,7 +115,7 @@ def scan(blocks: DataFrame, end: int = END, kind: str = KIND) -> DataFrame:
 
 
 def token_counts(blocks: DataFrame, end: int = END, kind: str = KIND) -> DataFrame:
-    """A row for each document of the files: file, ordinal, start, n_tokens (without the separator), closed."""
+    """A row for each document of the files: file, ordinal, start, n_tokens (without the separator), closed. The files are read here, once."""
     found = cut(scan(blocks, end, kind))
     order = Window.partitionBy("file").orderBy("block")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -139,5 +139,10 @@ def count_documents(docs: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     names = write_token_files(docs, path)
     found = token_counts(read_token_files(spark, path))
+    remove(spark, path)
     number = F.regexp_extract(F.col("file"), r"part-([0-9]+)-[^/]*$", 1).cast("int")
-    return found.select(number.alias("file"), "ordinal", "start", "n_tokens").join(names, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    found = found.select(number.alias("file"), "ordinal", "start", "n_tokens")
+    ends = found.groupBy("file").agg(F.count("*").alias("n")).join(names.groupBy("file").agg(F.count("*").alias("m")), "file", "full")
+    if not ends.filter(~F.col("n").eqNullSafe(F.col("m"))).isEmpty():
+        raise RuntimeError("the documents' partitions changed between two reads: checkpoint them first")
+    return found.join(names, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
