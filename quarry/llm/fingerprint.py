@@ -81,11 +81,15 @@ def shared_classes(docs: DataFrame, digests: DataFrame) -> DataFrame:
     return found
 
 
-def _joined(rows: DataFrame, classes: DataFrame, salts: int = 16) -> DataFrame:
+def _joined(rows: DataFrame, classes: DataFrame, salts: int = 16, most: int = 300_000) -> DataFrame:
     """rows (fingerprint, also, doc_id, ...) with class_id and copies."""
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")  # a class may hold a third of all rows
-    spread = classes.select("of", F.col("also").alias("too"), F.col("class_id").alias("first"), F.col("copies").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    found = rows.join(small(spread, 300_000), (F.col("fingerprint") == F.col("of")) & (F.col("also") == F.col("too")) & (salt == F.col("salt")), "left")
+    named = classes.select("of", F.col("also").alias("too"), F.col("class_id").alias("first"), F.col("copies").alias("n"))
+    equal = (F.col("fingerprint") == F.col("of")) & (F.col("also") == F.col("too"))
+    if named.limit(most + 1).count() <= most:
+        found = rows.join(F.broadcast(named), equal, "left")
+    else:  # a class may hold a third of all rows
+        spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        found = rows.join(spread, equal & (F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int") == F.col("salt")), "left")
     return found.select(*rows.columns, F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("class_id"), F.coalesce("n", F.lit(1)).alias("copies"))
 
 

@@ -319,6 +319,8 @@ def test_classified(docs, empty, monkeypatch, weak):
     want = sorted((-1 if i is None else i, min(j for j, u in text if u == t and j is not None) if any(u == t and j is not None for j, u in text) else None, sum(u == t for _, u in text)) for i, t in text)
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.class_id, r.copies) for r in got) == want
     assert all((r.near_next == 1.0) <= (r.copies > 1) for r in got)
+    spread = fingerprint._joined(rows := fingerprint.edited(docs), fingerprint.shared_classes(docs, rows), most=0)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.class_id, r.copies) for r in spread.collect()) == want
     assert fingerprint.classified(empty).count() == 0
 
 
