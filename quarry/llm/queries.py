@@ -71,5 +71,43 @@ def queries() -> dict:
     }
 
 
+#: Every pair of a query and another row, scored and ranked.
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
+
+#: Targets by water filling; each source's rows in the order of their hashes, up to what is left of its target.
+MIXING_SQL = """
+WITH sized AS (
+  SELECT doc_id, source AS src, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substring(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+by_source AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY src),
+weighted AS (SELECT *, ([1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE])[CAST((row_number() OVER (ORDER BY src NULLS LAST) - 1) % 3 + 1 AS INT)] AS w, source_size * 3.0::DOUBLE AS cap FROM by_source),
+reached AS (SELECT *, cap / w AS reach, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM weighted),
+levels AS (
+  SELECT *, (total - sum(cap) OVER up) / sum(w) OVER down AS level, lead(reach) OVER (ORDER BY reach, src NULLS FIRST) AS next FROM reached
+  WINDOW up AS (ORDER BY reach, src NULLS FIRST ROWS UNBOUNDED PRECEDING), down AS (ORDER BY reach, src NULLS FIRST ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+level AS (
+  SELECT CASE WHEN min(total) / sum(w) <= min(reach) THEN min(total) / sum(w) ELSE coalesce(min(level) FILTER (WHERE level >= reach AND level <= next), max(reach)) END AS level FROM levels),
+targets AS (SELECT src, source_size, least(cap, w * (SELECT level FROM level)) AS target FROM weighted),
+plan AS (
+  SELECT *, CAST(floor(target) AS BIGINT) - times * source_size AS rest
+  FROM (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS times FROM targets)),
+places AS (
+  SELECT *, sum(words) OVER (PARTITION BY src ORDER BY h) - words AS before FROM (SELECT src, h, sum(size) AS words, count(*) AS sharers FROM sized GROUP BY src, h)),
+edge AS (
+  SELECT p.src, p.h AS edge_at, CAST(floor((rest - before) / sharers) AS BIGINT) AS part FROM places p JOIN plan ON p.src IS NOT DISTINCT FROM plan.src
+  WHERE before <= rest AND before + words > rest)
+SELECT doc_id, size, source_size, target,
+  CAST(times * size + CASE WHEN h < edge_at THEN size WHEN h = edge_at THEN least(part, size) ELSE 0 END AS BIGINT) AS taken
+FROM sized JOIN plan ON sized.src IS NOT DISTINCT FROM plan.src LEFT JOIN edge ON sized.src IS NOT DISTINCT FROM edge.src"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_topk": TOPK_SQL, "op5_mixing": MIXING_SQL}
