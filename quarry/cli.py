@@ -36,8 +36,6 @@ def search(args) -> str:
 
 
 def export(args) -> str:
-    from pyspark.sql import functions as F
-
     from quarry.operators import index
     from quarry.sources import export as out
 
@@ -46,7 +44,7 @@ def export(args) -> str:
         raise LookupError(f"no index for {args.site!r}: crawl it first")
     if args.format == "markdown":
         return f"{out.copy_kb(e.config.data_dir, args.site, args.out)} files"
-    pages, chunks = (e.store.read(t).filter(F.col("site") == args.site) for t in ("pages", "chunks"))
+    pages, chunks = (e.store.read(t, args.site) for t in ("pages", "chunks"))
     return f"{out.export_jsonl(index.all_chunks(chunks, pages), args.out)} chunks"
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict
 
 import pandas as pd
@@ -22,26 +22,28 @@ def _record(p: product.Product | None) -> dict | None:
     return None if p is None else {k: asdict(p)[k] for k in FIELDS}
 
 
-def understand(url: str | None, page: str | None) -> dict:
-    """Everything that can be read from one page. Links and products are read before boilerplate is pruned."""
+def understand(url: str | None, page: str | None, ask: Callable[[str], str] | None = None) -> dict:
+    """Everything that can be read from one page. Links and products are read before boilerplate is pruned; ask is a language model's turn."""
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
     url, doc = url or "", parse(page or "")
-    found = {"links": content.links(doc, url), "platform": product.platform_of(doc), "product": _record(product.extract(doc, url)), "items": [_record(p) for p in product.extract_list(doc, url)]}
+    sold = product.extract(doc, url)
+    if sold is None and ask is not None:
+        sold = product.extract_with_model(page or "", url, ask)
+    found = {"links": content.links(doc, url), "platform": product.platform_of(doc), "product": _record(sold), "items": [_record(p) for p in product.extract_list(doc, url)]}
     out = content.extract("", url, doc)
     headings = [{"level": level, "text": text} for level, text in out.headings]
     return {"title": out.title, "description": out.description, "lang": out.lang, "markdown": out.markdown, "hash": out.hash, "headings": headings, **found}
 
 
-def _understood(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for urls, pages in batches:
-        yield pd.DataFrame([understand(u, p) for u, p in zip(urls, pages, strict=True)], columns=NAMES)
+def extracted(url: Column | str, page: Column | str, ask: Callable[[str], str] | None = None) -> Column:
+    def understood(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for urls, pages in batches:
+            yield pd.DataFrame([understand(u, p, ask) for u, p in zip(urls, pages, strict=True)], columns=NAMES)
 
+    return F.pandas_udf(understood, schema.EXTRACTED, F.PandasUDFType.SCALAR_ITER)(url, page)
 
-def extracted(url: Column | str, page: Column | str) -> Column:
-    return F.pandas_udf(_understood, schema.EXTRACTED, F.PandasUDFType.SCALAR_ITER)(url, page)
 
-
-def extract_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def extract_pages(pages: DataFrame, url: str = "url", html: str = "html", ask: Callable[[str], str] | None = None) -> DataFrame:
     """pages' other columns with the extraction's fields as columns of the same names."""
     rest = [c for c in pages.columns if c != html]
-    return pages.select(*rest, extracted(F.col(url), F.col(html)).alias("_x")).select(*rest, "_x.*")
+    return pages.select(*rest, extracted(F.col(url), F.col(html), ask).alias("_x")).select(*rest, "_x.*")

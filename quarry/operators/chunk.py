@@ -28,26 +28,39 @@ def sections(df: DataFrame, keys: list[str], markdown: str = "markdown") -> Data
     return lines.withColumn("heading_path", path).groupBy(*keys, "section", "heading_path").agg(body.alias("body")).filter(F.length(F.trim(F.regexp_replace("body", r"\s", ""))) > 0)
 
 
-def pieces(df: DataFrame, keys: list[str], text: str, target: int = 1200, overlap: int = 100) -> DataFrame:
-    """df's keys with piece (from 0) and piece_text: windows that start every target - overlap code points.
-
-    A window's start does not depend on where the one before was cut, so this is one explode. Cuts move back
-    to the last white space among the final 50 code points. Below an overlap of 50 such a cut loses text.
-    """
+def _plan(target: int, overlap: int) -> tuple[int, int]:
+    """Length of a window and the step between two."""
     target = 1200 if target <= 0 else target
-    overlap = overlap if 0 <= overlap < target else 0
-    step = target - overlap
-    rows = df.select(*keys, _trim(F.col(text)).alias("_t"))
-    n = F.length("_t")
-    count = F.when(n > target, 1 + F.ceil((n - target) / F.lit(float(step)))).otherwise(F.lit(1)).cast("int")
-    rows = rows.select(*keys, "_t", F.explode(F.sequence(F.lit(0), count - 1)).alias("piece"))
-    start = F.col("piece") * step
+    return target, target - (overlap if 0 <= overlap < target else 0)
+
+
+def _numbers(t: Column, target: int, step: int) -> Column:
+    """The windows of a text, from 0."""
+    n = F.length(t)
+    return F.sequence(F.lit(0), F.when(n > target, F.ceil((n - target) / F.lit(float(step)))).otherwise(F.lit(0)).cast("int"))
+
+
+def _window(t: Column, piece: Column, target: int, step: int) -> Column:
+    """A window's text: it starts at a fixed place and ends at the last white space among its final 50 code points, if any."""
+    n, start = F.length(t), piece * step
     end = F.least(start + target, n)
     first = F.greatest(end - LOOK_BACK + 1, F.lit(1))  # the look-back's first place, counted from 0
-    tail = F.substr(F.col("_t"), first + 1, end - first + 1)
+    tail = F.substr(t, first + 1, end - first + 1)
     room = F.length(F.regexp_extract(tail, r"(?s)^(.*)\s", 1))
     cut = F.when((end < n) & tail.rlike(r"\s"), first + room).otherwise(end)
-    return rows.select(*keys, "piece", F.substr(F.col("_t"), start + 1, cut - start).alias("piece_text"))
+    return F.substr(t, start + 1, cut - start)
+
+
+def pieces(df: DataFrame, keys: list[str], text: str, target: int = 1200, overlap: int = 100) -> DataFrame:
+    """df's keys with piece (from 0) and piece_text: windows that start every target - overlap code points.
+
+    A window's start does not depend on where the one before was cut, so this is one explode. Below an overlap of 50
+    a cut at white space loses text.
+    """
+    target, step = _plan(target, overlap)
+    rows = df.select(*keys, _trim(F.col(text)).alias("_t"))
+    rows = rows.select(*keys, "_t", F.explode(_numbers(F.col("_t"), target, step)).alias("piece"))
+    return rows.select(*keys, "piece", _window(F.col("_t"), F.col("piece"), target, step).alias("piece_text"))
 
 
 def _trim(c: Column) -> Column:
@@ -63,7 +76,8 @@ def chunk_pages(df: DataFrame, keys: list[str], markdown: str = "markdown", targ
 
 
 def chunk_texts(df: DataFrame, keys: list[str], text: str = "text", target: int = 1200, overlap: int = 100) -> DataFrame:
-    """chunk_pages for texts without headings: no section pass and no shuffle but the one that numbers the chunks."""
-    parts = pieces(df, keys, text, target, overlap).withColumn("chunk", _trim(F.col("piece_text"))).filter("chunk <> ''")
-    order = Window.partitionBy(*keys).orderBy("piece")
-    return parts.select(*keys, (F.row_number().over(order) - 1).alias("ord"), F.lit("").alias("heading_path"), F.col("chunk").alias("text"))
+    """chunk_pages for texts without headings: a text's chunks are numbered in place, so nothing is shuffled."""
+    target, step = _plan(target, overlap)
+    rows = df.select(*keys, _trim(F.col(text)).alias("_t"))
+    cuts = F.transform(_numbers(F.col("_t"), target, step), lambda i: _trim(_window(F.col("_t"), i, target, step)))
+    return rows.select(*keys, F.posexplode(F.filter(cuts, lambda x: x != "")).alias("ord", "text")).select(*keys, "ord", F.lit("").alias("heading_path"), "text")

@@ -1,6 +1,7 @@
 """Index tables: postings, statistics, sequence numbers, upserts, the items feed.
 
-All statistics are kept by site. postings holds a row for each term of a row of an indexed table, with the
+All statistics are kept by site. A stored index is postings sorted by term and one row of statistics; a chunk carries its
+length, so statistics never read texts again. postings holds a row for each term of a row of an indexed table, with the
 term's weighted frequency, so a search is a filtered scan and one small aggregation.
 """
 
@@ -41,10 +42,21 @@ def _with(w: float):
     return lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
 
 
+def doc_len(weights: dict[str, float]) -> Column:
+    """The terms of all the columns of a row."""
+    return sum((F.size(terms(F.coalesce(F.col(c), F.lit("")))) for c in weights), F.lit(0)).cast("long")
+
+
 def corpus_stats(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """site, n (rows of the index) and total_len (terms of all rows): one row for each site."""
-    length = sum((F.size(terms(F.coalesce(F.col(c), F.lit("")))) for c in weights), F.lit(0))
-    return rows.groupBy("site").agg(F.count("*").alias("n"), F.sum(length.cast("long")).alias("total_len"))
+    """site, n (rows of the index) and total_len (terms of all rows): one row for each site. Lengths that rows carry are not counted again."""
+    length = F.col("doc_len") if "doc_len" in rows.columns else doc_len(weights)
+    return rows.groupBy("site").agg(F.count("*").alias("n"), F.sum(length).alias("total_len"))
+
+
+def by_term(found: DataFrame) -> DataFrame:
+    """Postings laid out for lookups: ranges of terms (a very common term spans several), each sorted, so that a filter on
+    the term reaches few row groups."""
+    return found.repartitionByRange("site", "term", "page_url").sortWithinPartitions("site", "term", "page_url")
 
 
 def page_postings(chunks: DataFrame, pages: DataFrame) -> DataFrame:

@@ -90,13 +90,13 @@ _COUNTERS = """WITH s AS (SELECT CASE WHEN page_id % 5 = 1 THEN 'skipped' WHEN p
   SELECT count(*) AS visited, count(*) FILTER (WHERE status = 'fetched') AS fetched, count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'failed') AS failed FROM s"""
 
 
-def bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bfs(spark: SparkSession, sf_dir: str, max_pages: int | None = None) -> DataFrame:
     ids = tables.read(spark, sf_dir, "documents").select("doc_id")
     text = lambda c: c.cast("string")
     links = ids.select(text(F.col("doc_id")).alias("src"), F.explode(F.array(F.col("doc_id") * 2 + 1, F.col("doc_id") * 3 + 2, F.floor(F.col("doc_id") / 2))).alias("d")).select("src", text(F.col("d")).alias("dst"))
     seeds = spark.createDataFrame([("0", 0), ("7", 1)], "url string, depth int")
     known = ids.select(text(F.col("doc_id")).alias("url"))
-    return crawl.bfs(seeds, links.join(known, F.col("dst") == F.col("url"), "left_semi"), 5).select("url", F.col("depth").cast("bigint").alias("depth"))
+    return crawl.bfs(seeds, links.join(known, F.col("dst") == F.col("url"), "left_semi"), 5, max_pages).select("url", F.col("depth").cast("bigint").alias("depth"))
 
 
 _BFS = """WITH RECURSIVE l AS (SELECT doc_id AS s, unnest([doc_id * 2 + 1, doc_id * 3 + 2, doc_id // 2]) AS d FROM documents), k AS (SELECT s, d FROM l WHERE d IN (SELECT doc_id FROM documents)),
@@ -129,6 +129,7 @@ QUERIES = {
     "state_diff_unchanged": (unchanged, f"SELECT url, hash FROM ({S.pages()}) WHERE doc_id % 5 <> 0 AND doc_id % 3 <> 0"),
     "crawl_counters": (counters, _COUNTERS),
     "bfs_frontier": (bfs, _BFS),
+    "bfs_max_pages": (lambda spark, d: bfs(spark, d, 25), f"SELECT * FROM ({_BFS}) ORDER BY depth, url LIMIT 25"),
     "sitemap_urls": (sitemap, "SELECT 'urlset' AS kind, url FROM pages"),
     "rate_limit_schedule": (politeness, f"SELECT page_id, 2.5::DOUBLE * (row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1) AS due FROM pages"),
 }

@@ -18,10 +18,11 @@ from quarry.streaming import changefeed
 
 def _items(since: int, limit: int, kind: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        feed = index.items(tables.pages(spark, sf_dir), tables.products(spark, sf_dir), since, limit, kind)
+        sold = tables.products(spark, sf_dir).filter("p_partkey % 3 <> 0")  # some pages have no product
+        feed = index.items(tables.pages(spark, sf_dir), sold, since, limit, kind)
         return feed.select("url", "type", "title", "hash", "seq", "price", "availability", "extraction_method")
 
-    p, q = S.pages(), S.products()
+    p, q = S.pages(), f"SELECT * FROM ({S.products()}) WHERE p_partkey % 3 <> 0"
     keep = {"page": "AND q.page_url IS NULL", "product": "AND q.page_url IS NOT NULL"}.get(kind, "")
     sql = f"""SELECT p.url, CASE WHEN q.page_url IS NULL THEN 'page' ELSE 'product' END AS type, CASE WHEN coalesce(q.name, '') <> '' THEN q.name ELSE p.title END AS title, p.hash,
       greatest(p.seq, coalesce(q.seq, 0)) AS seq, q.price, q.availability, q.extraction_method FROM ({p}) p LEFT JOIN ({q}) q ON p.url = q.page_url
@@ -30,9 +31,11 @@ def _items(since: int, limit: int, kind: str):
 
 
 def site_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = index.site_stats(tables.pages(spark, sf_dir), tables.chunks(spark, sf_dir), tables.products(spark, sf_dir))
+    seen = F.when(F.col("p_partkey") % 4 == 0, F.expr(f"timestamp'{tables.CRAWLED}' + make_interval(0, 0, 0, 0, 0, 0, p_partkey % 500)"))
+    s = index.site_stats(tables.pages(spark, sf_dir), tables.chunks(spark, sf_dir), tables.products(spark, sf_dir).withColumn("verified_at", seen))
     at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-    return s.select("site", "pages", "chunks", "products", at("first_crawled"), at("last_crawled"))
+    methods_of = F.array_join(F.transform(F.array_sort(F.map_entries("extraction_methods")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return s.select("site", "pages", "chunks", "products", at("first_crawled"), at("last_crawled"), at("last_verified"), methods_of.alias("methods"))
 
 
 def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,14 +119,14 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of changes, folded into the latest state of each user, read back."""
     base = f"{shared_folder(spark)}/changefeed-{uuid.uuid4().hex}"
     fields = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    changes = spark.readStream.schema(fields).parquet(_stream_folder(spark, sf_dir, base))
+    changes = spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).parquet(_stream_folder(spark, sf_dir, base))
     changefeed.keep_table(changes.withColumn("seq", F.col("event_id")), f"{base}/table", f"{base}/checkpoint", ["user_id"]).awaitTermination()
-    return spark.read.parquet(f"{base}/table/v=0").select("user_id", "event_id", "event_type", "value")
+    return changefeed.read_table(spark, f"{base}/table").select("user_id", "event_id", "event_type", "value")
 
 
 def _stream_folder(spark: SparkSession, sf_dir: str, base: str) -> str:
-    """A folder that a file stream can follow: the log, appended."""
-    spark.read.parquet(f"{sf_dir}/events.parquet").write.mode("append").parquet(f"{base}/log")
+    """A folder that a file stream can follow: the log in four files, a micro-batch each."""
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(4, "event_id").write.mode("append").parquet(f"{base}/log")
     return f"{base}/log"
 
 
@@ -141,6 +144,8 @@ QUERIES = {
     "items_pages_only": _items(0, 200, "page"),
     "items_products_only": _items(0, 200, "product"),
     "site_stats": (site_stats, f"""SELECT '{S.SITE}' AS site, (SELECT count(*) FROM documents) AS pages, (SELECT count(*) FROM ({S.chunks()})) AS chunks, (SELECT count(*) FROM part) AS products,
+        (SELECT strftime(max(TIMESTAMP '{tables.CRAWLED}' + to_seconds(p_partkey % 500)), '%Y-%m-%d %H:%M:%S') FROM part WHERE p_partkey % 4 = 0) AS last_verified,
+        (SELECT string_agg(extraction_method || '=' || n, ',' ORDER BY extraction_method) FROM (SELECT extraction_method, count(*) AS n FROM ({S.products()}) GROUP BY 1)) AS methods,
         strftime(min(t), '%Y-%m-%d %H:%M:%S') AS first_crawled, strftime(max(t), '%Y-%m-%d %H:%M:%S') AS last_crawled FROM (SELECT TIMESTAMP '{tables.CRAWLED}' + to_seconds(doc_id % 1000) AS t FROM documents)"""),
     "extraction_method_counts": (methods, f"SELECT extraction_method, count(*) AS n FROM ({S.products()}) GROUP BY 1"),
     "upsert_latest": (upsert_latest, _UPSERT),

@@ -19,15 +19,15 @@ def _shown(df: DataFrame) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(search(tables.search_index(spark, sf_dir, False), QUERY))
+    return _shown(search(tables.stored_index(spark, sf_dir, False), QUERY))
 
 
 def _search(query: str, kind: str = "", with_products: bool = True):
-    return lambda spark, d: _shown(search(tables.search_index(spark, d, with_products), query, 10, kind)), S.search(query, 10, kind, with_products)
+    return lambda spark, d: _shown(search(tables.stored_index(spark, d, with_products), query, 10, kind)), S.search(query, 10, kind, with_products)
 
 
 def soft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(search_soft(tables.search_index(spark, sf_dir, False), SOFT_QUERY))
+    return _shown(search_soft(tables.stored_index(spark, sf_dir, False), SOFT_QUERY))
 
 
 def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +64,8 @@ def _chunks(target: int, overlap: int):
     return run, f"SELECT page_url, ord, text FROM ({S.chunks(target, overlap)})"
 
 
-#: A document as markdown: its lines, every third one a heading of a level given by its place.
-_MARKED = "array_join(transform(split(text, '\\n', -1), (l, i) -> if(i % 3 = 0, concat(repeat('#', cast(i / 3 as int) % 3 + 1), ' ', substring(l, 1, 20)), l)), '\\n')"
+#: A document as markdown: all its lines, before every third one a heading of a level given by its place.
+_MARKED = "array_join(transform(split(text, '\\n', -1), (l, i) -> if(i % 3 = 0, concat(repeat('#', cast(i / 3 as int) % 3 + 1), ' ', substring(l, 1, 20), '\\n', l), l)), '\\n')"
 
 
 def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,9 @@ def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _breadcrumb_sql() -> str:
-    lines = f"SELECT url, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM ({S.pages()})"
+    mark = "CASE WHEN (i - 1) % 3 = 0 THEN repeat('#', CAST(((i - 1) // 3) % 3 + 1 AS INT)) || ' ' || substring(l, 1, 20) || chr(10) || l ELSE l END"
+    marked = f"SELECT url, string_split(array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: {mark}), chr(10)), chr(10)) AS m FROM ({S.pages()})"
+    lines = f"SELECT url, unnest(m) AS line, generate_subscripts(m, 1) - 1 AS i FROM ({marked})"
     path = ", ".join(f"coalesce(last_value(CASE WHEN lv = {n} THEN ti WHEN lv > 0 AND lv < {n} THEN '' END IGNORE NULLS) OVER w, '') AS h{n}" for n in (1, 2, 3))
     head = "regexp_matches(line, '^#{1,6}\\s+(.*)$')"
     return f"""
@@ -82,7 +84,7 @@ def _breadcrumb_sql() -> str:
       SELECT url, section, array_to_string(list_filter([max(h1), max(h2), max(h3)], lambda x: x <> ''), ' > ') AS heading_path, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE lv = 0) AS text FROM (
         SELECT *, sum(CASE WHEN lv > 0 THEN 1 ELSE 0 END) OVER w AS section, {path} FROM (
           SELECT *, CASE WHEN {head} THEN length(regexp_extract(line, '^(#{{1,6}})\\s', 1)) ELSE 0 END AS lv, trim(regexp_extract(line, '^#{{1,6}}\\s+(.*)$', 1)) AS ti FROM (
-            SELECT url, i, CASE WHEN i % 3 = 0 THEN repeat('#', CAST((i // 3) % 3 + 1 AS INT)) || ' ' || substring(l, 1, 20) ELSE l END AS line FROM ({lines})))
+            SELECT * FROM ({lines})))
         WINDOW w AS (PARTITION BY url ORDER BY i ROWS UNBOUNDED PRECEDING)) GROUP BY url, section''', "url, section, heading_path")}) WHERE text <> ''"""
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import chunk, index
 from quarry.operators.search import SearchIndex
+from quarry.sources.tables import materialise, shared_folder
 
 SITE = "docs.example"
 CRAWLED = "2024-01-01 00:00:00"
@@ -48,3 +51,28 @@ def search_index(spark: SparkSession, sf_dir: str, with_products: bool = True, t
         p = products(spark, sf_dir)
         out.products, out.product_postings, out.product_stats = p, index.product_postings(p), index.corpus_stats(p, index.PRODUCT_WEIGHTS)
     return out
+
+
+_STORED: dict[tuple, str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str, with_products: bool = True) -> SearchIndex:
+    """search_index() as a search finds it: tables stored once for each version of the input, postings sorted by term."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    names = ["documents", "part"]
+    files = [path(f"{sf_dir}/{n}.parquet") for n in names]
+    changed = [f.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(f).getModificationTime() for f in files]
+    key = (spark.sparkContext.applicationId, sf_dir, *changed)
+    if key not in _STORED:
+        root = f"{shared_folder(spark)}/search-index-{uuid.uuid4().hex}"
+        rows = materialise(index.indexed_chunks(chunks(spark, sf_dir), pages(spark, sf_dir)).withColumn("doc_len", index.doc_len(index.PAGE_WEIGHTS)))
+        sold = products(spark, sf_dir)
+        tables = {
+            "chunks": rows, "postings": index.by_term(index.postings(rows.drop("doc_len"), ["site", "page_url", "ord"], index.PAGE_WEIGHTS)), "stats": index.corpus_stats(rows, index.PAGE_WEIGHTS),
+            "products": sold, "product_postings": index.by_term(index.product_postings(sold)), "product_stats": index.corpus_stats(sold, index.PRODUCT_WEIGHTS),
+        }
+        for name, df in tables.items():
+            df.write.parquet(f"{root}/{name}")
+        _STORED[key] = root
+    found = [spark.read.parquet(f"{_STORED[key]}/{n}") for n in ("chunks", "postings", "stats", "products", "product_postings", "product_stats")]
+    return SearchIndex(*(found if with_products else found[:3]))

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 HEADINGS = "array<struct<level:int,text:string>>"
 PAGES = ("site string, url string, title string, description string, lang string, hash string, crawled_at timestamp, etag string, last_modified string, seq bigint")
-CHUNKS = ("site string, page_url string, ord int, heading_path string, text string")
+CHUNKS = ("site string, page_url string, ord int, heading_path string, text string, doc_len bigint")
+#: Lookup tables of a search, sorted by term.
+POSTINGS = "site string, term string, page_url string, ord int, doc_len bigint, f double"
+PRODUCT_POSTINGS = "site string, term string, page_url string, doc_len bigint, f double"
+STATS = "site string, n bigint, total_len bigint"
 PRODUCTS = (
     "site string, page_url string, name string, description string, price double, currency string, availability string, image string, extraction_method string, raw_json string, verified_at timestamp, seq bigint"
 )

@@ -94,10 +94,13 @@ class Api:
         site, query = asked.get("site"), asked.get("query")
         if not site or not query:
             return 400, {"error": "site and query are required"}
+        limit = asked.get("limit") or 0
+        if isinstance(limit, bool) or not isinstance(limit, int):
+            return 400, {"error": "limit must be an integer"}
         began = time.monotonic()
         self.metrics.add("search_requests_total")
         try:
-            out = self.engine.answer(str(site), str(query), int(asked.get("limit") or 0), str(asked.get("type") or ""), bool(asked.get("fresh")), bool(asked.get("force_cold")))
+            out = self.engine.answer(str(site), str(query), limit, str(asked.get("type") or ""), bool(asked.get("fresh")), bool(asked.get("force_cold")))
         except Exception as e:  # a request must be answered, whatever failed below
             self.metrics.add("search_errors_total")
             return 500, {"error": str(e)[:500]}

@@ -1,18 +1,20 @@
-"""Stored tables: versioned Parquet folders partitioned by site, and cut points in a plan."""
+"""Stored tables: versioned Parquet folders of each site, and cut points in a plan."""
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import time
 from functools import lru_cache
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from quarry import schema
 
-SCHEMAS: dict[str, str] = {"pages": schema.PAGES, "chunks": schema.CHUNKS, "products": schema.PRODUCTS, "state": schema.STATE}
+SCHEMAS: dict[str, str] = {"pages": schema.PAGES, "chunks": schema.CHUNKS, "products": schema.PRODUCTS, "state": schema.STATE, "postings": schema.POSTINGS, "product_postings": schema.PRODUCT_POSTINGS, "stats": schema.STATS, "product_stats": schema.STATS}
 
 
 @lru_cache
@@ -39,41 +41,75 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Tables under one folder, as <root>/<table>/<version>; the newest complete version counts.
+    """Tables of each site under <root>/<site>/tables/<version>/<table>; the newest manifest says which version of each counts.
 
-    A version is complete when Spark's _SUCCESS marker is there, so readers never see half a write and a
-    failed write leaves the old version in place.
+    A write puts the changed tables of one site into a new version and then renames a manifest into place, which names the
+    folder of every table of that site. So readers see all tables of one write or none, a failed write leaves the old state,
+    tables that did not change are not copied, and no write touches another site.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def versions(self, table: str) -> list[str]:
-        fs, path = self._fs()
-        folder = path(f"{self.root}/{table}")
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return sorted(n for n in names if fs.exists(path(f"{self.root}/{table}/{n}/_SUCCESS")))
-
-    def read(self, table: str) -> DataFrame:
-        """The table, empty if it was never written; columns added since are null."""
-        found = self.versions(table)
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def _folder(self, site: str) -> str:
+        return f"{self.root}/{quote(site, safe='')}"
+
+    def _manifests(self, site: str) -> list[str]:
+        return [n for n in self._names(f"{self._folder(site)}/manifests") if n.endswith(".json")]
+
+    def _manifest(self, site: str, name: str) -> dict[str, str]:
+        """Versions by table."""
+        stream = self._fs.open(self._path(f"{self._folder(site)}/manifests/{name}"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def sites(self) -> list[str]:
+        """Sites with tables, in order of their names."""
+        return sorted(site for site in map(unquote, self._names(self.root)) if self._manifests(site))
+
+    def read(self, table: str, site: str | None = None) -> DataFrame:
+        """A table of one site or of all, empty if it was never written; columns added since are null."""
         wanted = StructType.fromDDL(SCHEMAS[table])
+        found = []
+        for s in [site] if site is not None else self.sites():
+            names = self._manifests(s)
+            version = self._manifest(s, names[-1]).get(table) if names else None
+            if version:
+                found.append(f"{self._folder(s)}/tables/{version}/{table}")
         if not found:
             return self.spark.createDataFrame([], wanted)
-        return self.spark.read.schema(wanted).parquet(f"{self.root}/{table}/{found[-1]}")
-
-    def write(self, table: str, df: DataFrame, keep: int = 2) -> str:
-        version = f"{time.time_ns():020d}"
-        out = f"{self.root}/{table}/{version}"
-        df.select(*StructType.fromDDL(SCHEMAS[table]).fieldNames()).write.partitionBy("site").parquet(out)
-        fs, path = self._fs()
-        for old in self.versions(table)[:-keep]:
-            fs.delete(path(f"{self.root}/{table}/{old}"), True)
-        return out
+        return self.spark.read.schema(wanted).parquet(*found)
+
+    def write(self, site: str, tables: dict[str, DataFrame], keep: int = 2) -> str:
+        """Writes a site's tables as its next version; `keep` manifests and what they name are kept."""
+        version, folder = f"{time.time_ns():020d}", self._folder(site)
+        names = self._manifests(site)
+        manifest = self._manifest(site, names[-1]) if names else {}
+        for table, df in tables.items():
+            df.select(*StructType.fromDDL(SCHEMAS[table]).fieldNames()).write.parquet(f"{folder}/tables/{version}/{table}")
+            manifest[table] = version
+        draft = self._path(f"{folder}/manifests/{version}.draft")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        self._fs.rename(draft, self._path(f"{folder}/manifests/{version}.json"))
+        self._clean(site, keep)
+        return version
+
+    def _clean(self, site: str, keep: int) -> None:
+        folder, names = self._folder(site), self._manifests(site)
+        used = {v for n in names[-keep:] for v in self._manifest(site, n).values()}
+        for old in names[:-keep]:
+            self._fs.delete(self._path(f"{folder}/manifests/{old}"), False)
+        for version in self._names(f"{folder}/tables"):
+            if version not in used and version < names[-1]:
+                self._fs.delete(self._path(f"{folder}/tables/{version}"), True)

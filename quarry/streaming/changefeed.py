@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -41,6 +41,15 @@ def keep_table(changes: DataFrame, path: str, checkpoint: str, keys: list[str],
     return changes.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of a table that keep_table() keeps."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = folder(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder(path))]
+    versions = [int(n.removeprefix("v=")) for n in names if n.startswith("v=") and fs.exists(folder(f"{path}/{n}/_SUCCESS"))]
+    return spark.read.parquet(f"{path}/v={max(versions)}")
+
+
 def due_sites(crawls: DataFrame, interval: str = "24 hours") -> DataFrame:
     """Streaming state of re-crawls: (site, last) from a stream of (site, crawled_at); late crawls only raise the maximum."""
     return crawls.groupBy("site").agg(F.max("crawled_at").alias("last")).withColumn("due", F.col("last") + F.expr(f"interval {interval}"))

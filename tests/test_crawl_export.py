@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry import cli, config
 from quarry.engine import Engine, search_url
-from quarry.operators import crawl
+from quarry.operators import crawl, search
 from quarry.server import Api, server
 from quarry.sources import export
 from quarry.sources.fetch import Fetched
@@ -149,7 +149,8 @@ def shop(url, *args, **kw):
 
 
 def test_engine_and_api(spark, tmp_path):
-    e = Engine(spark, config.Config(data_dir=str(tmp_path), crawl=config.Crawl(rate_limit_rps=100)), shop)
+    asked = '{"is_product": true, "name": "Told by a model", "price": 2}'
+    e = Engine(spark, config.Config(data_dir=str(tmp_path), crawl=config.Crawl(rate_limit_rps=100)), shop, lambda text: asked if text.startswith("Map") else "no")
     assert e.crawl("shop.example") == {"visited": 4, "fetched": 3, "skipped": 0, "failed": 0}
     assert e.crawl("https://shop.example") == {"visited": 4, "fetched": 0, "skipped": 3, "failed": 0}
     assert e.sites() == ["shop.example"]
@@ -157,18 +158,33 @@ def test_engine_and_api(spark, tmp_path):
     assert (got[0]["url"], got[0]["type"], got[0]["price"]) == ("https://shop.example/p", "product", 5.0)
     with pytest.raises(LookupError):
         e.search("none.example", "x")
+    assert [(r["url"], r["extraction_method"]) for r in e.search("shop.example", "told", kind="product")] == [("https://shop.example/map", "llm")]
+    found = e.index_of("shop.example")
+    plan = search.bm25(found.chunk_postings, found.chunk_stats, ["site", "page_url", "ord"], search.strict_terms("walking"))._jdf.queryExecution().toString()
+    assert "EqualTo(term,walking)" in plan
+    assert export.copy_kb(str(tmp_path), "shop.example", str(tmp_path / "kb")) == 3
+    assert (tmp_path / "kb" / "p.md").read_text().endswith("\n\nshoe\n")
+    other = Engine(spark, e.config, lambda url, *a, **k: Fetched(url, 200, body=f"<title>T</title><main>{WORDS}</main>".encode(), content_type="text/html") if url == "https://else.example/" else Fetched(url, 404))
+    before = e.store._manifests("shop.example")
+    assert other.crawl("else.example")["fetched"] == 1 and other.sites() == ["else.example", "shop.example"]
+    assert e.store._manifests("shop.example") == before and e.store.read("pages").count() == 4
+    changed = SHOP | {"https://shop.example/map": f"<title>Map</title><main>{WORDS} fresh</main>"}
+    later = Engine(spark, e.config, lambda url, *a, **k: Fetched(url, 200, body=changed[url].encode(), content_type="text/html") if url in changed else Fetched(url, 404), e.ask)
+    assert later.crawl("shop.example")["fetched"] == 1 and [r["url"] for r in e.search("shop.example", "fresh")] == ["https://shop.example/map"]
+    assert e.store.read("stats", "shop.example").first().n == e.store.read("chunks", "shop.example").count()
     api = Api(e)
     live = api.handle("POST", "/v1/search", b'{"site":"shop.example","query":"walking shoe","fresh":true}')
     assert live[0] == 200 and live[1]["source"] == "index+live" and live[1]["results"][0]["verified"]
     items = api.handle("GET", "/v1/sites/shop.example/items?since_seq=0&type=product")[1]
-    assert [i["title"] for i in items["items"]] == ["Walking shoe"]
+    assert sorted(i["title"] for i in items["items"]) == ["Told by a model", "Walking shoe"]
+    assert api.handle("POST", "/v1/search", b'{"site":"shop.example","query":"x","limit":"many"}')[0] == 400
     assert api.handle("GET", "/v1/sites/none/items?since_seq=7")[1] == {"items": [], "next_seq": 7}
     assert api.handle("GET", "/v1/sites/s/items?limit=x")[0] == 400 and api.handle("POST", "/v1/search", b"{}")[0] == 400
-    assert 'quarry_index_products{site="shop.example"} 1' in api.handle("GET", "/metrics")[1]
+    assert 'quarry_index_products{site="shop.example"} 2' in api.handle("GET", "/metrics")[1]
     assert api.handle("GET", "/nowhere")[0] == 404
     e.config.token = "t"
     assert api.handle("GET", "/v1/sites")[0] == 401 and api.handle("GET", "/healthz")[0] == 200
-    assert api.handle("GET", "/v1/sites", token="Bearer t")[1]["sites"][0]["pages"] == 3
+    assert api.handle("GET", "/v1/sites", token="Bearer t")[1]["sites"][1]["pages"] == 3
     e.config.token = ""
     http = server(api, "127.0.0.1", 0)
     threading.Thread(target=http.serve_forever, daemon=True).start()
