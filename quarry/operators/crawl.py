@@ -104,10 +104,10 @@ def parse_robots(text: str, user_agent: str) -> Robots:
 def robots_rules(robots: DataFrame, user_agent: str) -> DataFrame:
     """(site, pattern, re, allow, length) of each site's robots text (site, text): files are read where they are."""
 
-    def rules(text):
-        return [(p, pattern_regex(p), allow, len(p.encode())) for p, allow in parse_robots(text or "", user_agent).rules]
+    def rules(text: str | None) -> list[dict]:
+        return [{"pattern": p, "re": pattern_regex(p), "allow": allow, "length": len(p.encode())} for p, allow in parse_robots(text or "", user_agent).rules]
 
-    parse = F.udf(rules, "array<struct<pattern:string,re:string,allow:boolean,length:int>>")
+    parse = F.pandas_udf(lambda texts: texts.map(rules), "array<struct<pattern:string,re:string,allow:boolean,length:int>>", F.PandasUDFType.SCALAR)
     return robots.select("site", F.explode(parse("text")).alias("r")).select("site", "r.*")
 
 
