@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,38 @@ def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """rows joined with a table of distinct keys, where one key may have a large part of the rows and no task may have them all.
+
+    A small table is broadcast; else its rows are repeated for each salt and rows are dealt to the salts by all their columns.
+    """
+    if table.limit(300_001).count() <= 300_000:
+        return rows.join(F.broadcast(table), key, how)
+    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).join(spread, [key, "_salt"], how).drop("_salt")
+
+
+def lean(spark: SparkSession, rows: int = 1000) -> None:
+    """Small Arrow batches: whole texts travel in them, in the JVM's and the workers' memory beside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def tidy(run):
+    """A mapInArrow body that gives the worker's unused memory back when its task is over, as workers outlive tasks."""
+
+    def body(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return body
+
+
 def held_out(doc_id: str | Column) -> Column:
     """The fold that is never learned from: crc32 of the id as text, modulo 5, is 0."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, small
+from quarry.llm.common import cut, small, tidy
 
 NO_ID = -(2**63)
 
@@ -64,7 +64,7 @@ def canonical_digests(docs: DataFrame) -> DataFrame:
             canon = [canonical(x.as_py() or "") for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(digest, canon), pa.string()), pa.array(map(second, canon), pa.int64()), pa.array(canon, pa.binary())], ["doc_id", "fingerprint", "also", "canon"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string, also long, canon binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fingerprint string, also long, canon binary")
 
 
 def shared_classes(docs: DataFrame, digests: DataFrame) -> DataFrame:
@@ -162,8 +162,8 @@ def edited(docs: DataFrame, per_range: int = 1000, most_ranges: int = 65_536) ->
                 held = None if halo else (at, doc_id, text, mine)
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names)
 
-    dealt = keyed.mapInArrow(deal, "at int, halo boolean, doc_id long, packed binary")
+    dealt = keyed.mapInArrow(tidy(deal), "at int, halo boolean, doc_id long, packed binary")
     parts = max(ranges, 1)
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = dealt.repartition(min(parts, max(shuffles, parts // 64)), "at").sortWithinPartitions("at", "halo", F.col("doc_id").desc(), "packed")
-    return ordered.mapInArrow(edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, also long")
+    return ordered.mapInArrow(tidy(edit), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, also long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hash_sample, held_out, tokenizer_path
+from quarry.llm.common import hash_sample, held_out, tidy, tokenizer_path
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SLICE = 20_000
@@ -315,7 +315,7 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Da
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, least: float = 0.5, cache_words: int = 400_000) -> DataFrame:

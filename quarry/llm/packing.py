@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut
+from quarry.llm.common import cut, tidy
 from quarry.llm.wordtokens import tokens
 
 CAPACITY = 4096
@@ -65,7 +65,7 @@ def document_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str =
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.list_(pa.int64()) if k == "parts_crc32" else pa.int64()) for k, v in out.items()], list(out))
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, parts_crc32 array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def _price(sizes: np.ndarray, worth: np.ndarray, capacity: int, most: int = 8) -> list[np.ndarray]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import fingerprint, langid, mixing, packing, pagetext, pii, simhash, tokencount, topk, toxicity
-from quarry.llm.common import held_out, table
+from quarry.llm.common import held_out, lean, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +56,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_list", 256).alias("base_sha256"), F.col("span_list").alias("spans"))
 
 
+def _lean(run):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lean(spark)
+        return run(spark, sf_dir)
+
+    return query
+
+
 def queries() -> dict:
-    return {
+    found = {
         "op1_simhash": op1_simhash,
         "op2_topk": op2_topk,
         "op3_packing": op3_packing,
@@ -69,6 +77,7 @@ def queries() -> dict:
         "op9_pagetext": op9_pagetext,
         "op10_pii": op10_pii,
     }
+    return {name: _lean(run) for name, run in found.items()}
 
 
 #: Every pair of a query and another row, scored and ranked.

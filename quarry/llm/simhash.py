@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, small
+from quarry.llm.common import cut, small, spread_join, tidy
 
 SEED = 42
 FAN = 16
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fp = [fingerprint(x.as_py(), width) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -255,7 +255,7 @@ def links(nodes: DataFrame, radius: int = 3, block_rows: int = 16_384, most_bloc
     ranked = both.select("turn", rank.alias("rank"), "node", "fp")
     # pieces of a block at most: a task packs its own range of ranks
     parts = max(1, -(-n // rows))
-    blocks = cut(ranked.repartitionByRange(parts, "turn", "rank").sortWithinPartitions("turn", "rank", "node").mapInArrow(_packer(rows), "block long, turn int, ones long, some long, nodes binary, fps binary"))
+    blocks = cut(ranked.repartitionByRange(parts, "turn", "rank").sortWithinPartitions("turn", "rank", "node").mapInArrow(tidy(_packer(rows)), "block long, turn int, ones long, some long, nodes binary, fps binary"))
     tops = {}  # bounded: two patterns for each of most_blocks blocks and of the partitions' last ones
     known = sorted((r.turn, r.block, r.ones, r.some) for r in blocks.select("turn", "block", "ones", "some").collect())
     for turn in (0, 1):
@@ -290,9 +290,9 @@ def links(nodes: DataFrame, radius: int = 3, block_rows: int = 16_384, most_bloc
                 held = None
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
 
-    dealt = blocks.mapInArrow(deal, "lo long, hi long, mine long, nodes binary, fps binary")
+    dealt = blocks.mapInArrow(tidy(deal), "lo long, hi long, mine long, nodes binary, fps binary")
     pairs = dealt.repartition(max(shuffles, len(known)), "lo", "hi").sortWithinPartitions("lo", "hi", "mine")
-    return pairs.mapInArrow(link, "a long, b long").distinct()
+    return pairs.mapInArrow(tidy(link), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -373,7 +373,7 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
             found = [pa.array(fp, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *found], ["id", "k1", "k2", "fp", "words_key", "parts"])
 
-    return _keyed(docs).mapInArrow(run, "id long, k1 long, k2 int, fp long, words_key binary, parts array<long>")
+    return _keyed(docs).mapInArrow(tidy(run), "id long, k1 long, k2 int, fp long, words_key binary, parts array<long>")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -385,7 +385,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["node", "hashes"])
 
     rows = _keyed(docs).join(small(nodes, 300_000), ["id", "k1", "k2"]).select("node", "text")
-    return rows.mapInArrow(run, "node long, hashes array<long>")
+    return rows.mapInArrow(tidy(run), "node long, hashes array<long>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], heads: int) -> Iterator[tuple[list, list[list], list[np.ndarray]]]:
@@ -408,7 +408,7 @@ def _pieces(rows: DataFrame, key: str, sizes: DataFrame, piece_rows: int, piece_
     """rows (key, node, ...) with the number of pieces that their key's rows are to be cut into."""
     need = F.greatest(F.ceil(F.count("*") / piece_rows), F.ceil(F.sum("size") / piece_shingles)).cast("int")
     heavy = rows.join(sizes, "node").groupBy(key).agg(need.alias("cuts")).filter("cuts > 1")
-    return rows.join(small(heavy), key, "left").withColumn("cuts", F.coalesce(F.col("cuts"), F.lit(1)))
+    return spread_join(rows, heavy, key, "left").withColumn("cuts", F.coalesce(F.col("cuts"), F.lit(1)))
 
 
 def _dealt(rows: DataFrame, *order: str) -> DataFrame:
@@ -416,7 +416,7 @@ def _dealt(rows: DataFrame, *order: str) -> DataFrame:
     return rows.repartition(parts, order[0]).sortWithinPartitions(*order)
 
 
-def star_matches(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: float, piece_rows: int = 1024, piece_shingles: int = 200_000) -> DataFrame:
+def star_matches(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: float, piece_rows: int = 256, piece_shingles: int = 100_000) -> DataFrame:
     """Links that join each node b of the pairs (a, b) with a, where their shingle sets are similar.
 
     The partners of one a are dealt into pieces of a bounded size, each with its own copy of a's set, so that a
@@ -439,10 +439,10 @@ def star_matches(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, similarity
             links = [(min(found[(k - 1) // CHILDREN], found[k]), max(found[(k - 1) // CHILDREN], found[k])) for k in range(1, len(found))]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
 
-    return _dealt(rows, "key", "a", "partner", "node").mapInArrow(run, "a long, b long")
+    return _dealt(rows, "key", "a", "partner", "node").mapInArrow(tidy(run), "a long, b long")
 
 
-def matches(members: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: float, piece_rows: int = 1024, piece_shingles: int = 200_000) -> DataFrame:
+def matches(members: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: float, piece_rows: int = 512, piece_shingles: int = 100_000) -> DataFrame:
     """Links (a < b) between texts of a bucket: every two members (key, node, label) of unlike labels are compared exactly.
 
     Members whose labels a link has joined are not compared again. A large bucket is cut into pieces, and every pair of
@@ -479,7 +479,7 @@ def matches(members: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: f
             found = np.array(list(solve(node, label, own)), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
-    return _dealt(rows, "key", "node").mapInArrow(run, "a long, b long").distinct()
+    return _dealt(rows, "key", "node").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def representatives(docs: DataFrame, width: int = 5, radius: int = 3, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -493,7 +493,7 @@ def representatives(docs: DataFrame, width: int = 5, radius: int = 3, similarity
     whole = texts.select("node", "fp").join(classes, "fp").select("node", F.xxhash64(F.lit(-1), "family").alias("key"))
     buckets = cut(texts.select("node", F.posexplode("parts").alias("i", "part")).select("node", F.xxhash64("i", "part").alias("key")).union(whole))
     shared = cut(buckets.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1"))
-    met = buckets.join(shared, "key")
+    met = spread_join(buckets, shared, "key")
     pairs = cut(met.filter("node <> a").select("a", F.col("node").alias("b")).distinct())
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = shingle_sets(docs, cut(texts.join(ids, "node").select("node", "id", "k1", "k2")), width)
@@ -505,7 +505,7 @@ def representatives(docs: DataFrame, width: int = 5, radius: int = 3, similarity
     others = met.filter("n > 2 and node <> a").select("key", "node")
     others = cut(others.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
     unlike = others.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    members = cut(others.join(unlike, "key", "left_semi"))
+    members = cut(spread_join(others, unlike, "key"))
     if not members.isEmpty():
         labels = components(edges.union(matches(members, sets, sizes, similarity)))
     texts = texts.select("words_key", "id", "k1", "k2", "node").join(labels, "node", "left")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, remove, shared_folder, small, tokenizer_path
+from quarry.llm.common import cut, remove, shared_folder, small, tidy, tokenizer_path
 
 END = 0xC480
 BLOCK = 1 << 20
@@ -60,7 +60,7 @@ def write_token_files(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([np.array(encode(x.as_py()), dtype=KIND).tobytes() for x in b.column(0)], pa.binary())], ["data"])
 
-    encoded = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "data binary")
+    encoded = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(tidy(run), "data binary")
     encoded.select(F.col("data").cast("string").alias("value")).write.option("lineSep", END.to_bytes(2, "big").decode()).text(path)
     place = F.monotonically_increasing_id()
     return cut(docs.select(F.shiftright(place, 33).cast("int").alias("file"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"), F.col("doc_id").cast("long").alias("doc_id")))
@@ -93,7 +93,7 @@ def read_token_files(spark: SparkSession, path: str, kind: str = KIND, block: in
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([data], pa.binary())], ["file", "block", "data"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return short.unionByName(large.repartition(parts, "file", "block").mapInArrow(run, "file string, block long, data binary"))
+    return short.unionByName(large.repartition(parts, "file", "block").mapInArrow(tidy(run), "file string, block long, data binary"))
 
 
 def scan(blocks: DataFrame, end: int = END, kind: str = KIND) -> DataFrame:
@@ -111,7 +111,7 @@ def scan(blocks: DataFrame, end: int = END, kind: str = KIND) -> DataFrame:
 
     rows = blocks.select("file", "block", "data")
     file = rows.schema["file"].dataType.simpleString()
-    return rows.mapInArrow(run, f"file {file}, block long, length long, separators long, last long, ended array<struct<k:long,start:long,stop:long>>")
+    return rows.mapInArrow(tidy(run), f"file {file}, block long, length long, separators long, last long, ended array<struct<k:long,start:long,stop:long>>")
 
 
 def token_counts(blocks: DataFrame, end: int = END, kind: str = KIND) -> DataFrame:
