@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import langid, mixing, packing, pii, simhash
+from quarry.llm.common import lean
 from quarry.sources.tables import shared_folder
 
 #: Words that a worker remembers in a stage: workers outlive stages, so their caches add up.
@@ -19,26 +20,31 @@ CACHE = 100_000
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
+    lean(spark)
     return langid.keep_known(docs, cache_words=CACHE)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    lean(spark)
     return simhash.keep_one(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, found spans replaced by their kind."""
+    lean(spark)
     return pii.mask(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; a part of a document counts as once from half of it on."""
+    lean(spark)
     return mixing.resample(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences."""
+    lean(spark)
     return packing.pack(docs, cache_words=CACHE)
 
 
