@@ -442,17 +442,25 @@ def star_matches(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, similarity
     return _dealt(rows, "key", "a", "partner", "node").mapInArrow(tidy(run), "a long, b long")
 
 
-def matches(members: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: float, piece_rows: int = 512, piece_shingles: int = 100_000) -> DataFrame:
+def matches(members: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: float, piece_rows: int = 256, piece_shingles: int = 100_000) -> DataFrame:
     """Links (a < b) between texts of a bucket: every two members (key, node, label) of unlike labels are compared exactly.
 
-    Members whose labels a link has joined are not compared again. A large bucket is cut into pieces, and every pair of
-    pieces is a group of its own.
+    Members whose labels a link has joined are not compared again. A bucket's most frequent label (its main members) needs no
+    comparison within itself, so only the rest meet each other and the main members. Both are cut into pieces of a bounded
+    size, and every pair of pieces that must meet is a group of its own.
     """
-    cut_members = _pieces(members, "key", sizes, piece_rows, piece_shingles)
-    cuts = F.col("cuts")
-    mine = F.pmod(F.xxhash64("node"), cuts)
-    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), cuts.cast("bigint") - 1), lambda j: F.xxhash64("key", F.least(j, mine), F.greatest(j, mine))))
-    rows = cut_members.select(pair.alias("key"), "node", "label").join(sets, "node").select("key", "node", "label", "hashes")
+    frequent = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    parted = spread_join(members, frequent, "key").withColumn("main", F.col("label") == F.col("main")).join(sizes, "node")
+    need = lambda which: F.greatest(F.ceil(F.count_if(which) / piece_rows), F.ceil(F.sum(F.when(which, F.col("size")).otherwise(0)) / piece_shingles), F.lit(1)).cast("int")
+    cuts = parted.groupBy("key").agg(need(F.col("main")).alias("mains"), need(~F.col("main")).alias("rests"))
+    parted = spread_join(parted.select("key", "node", "label", "main"), cuts, "key")
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests")))
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n).cast("bigint") - 1)
+    with_rest = F.transform(upto("rests"), lambda j: F.xxhash64("key", F.lit("main"), mine, j))
+    with_main = F.transform(upto("mains"), lambda i: F.xxhash64("key", F.lit("main"), i, mine))
+    among = F.transform(upto("rests"), lambda j: F.xxhash64("key", F.lit("rest"), F.least(j, mine), F.greatest(j, mine)))
+    groups = F.explode(F.when(F.col("main"), with_rest).otherwise(F.concat(with_main, among)))
+    rows = parted.select(groups.alias("key"), "node", "label").join(sets, "node").select("key", "node", "label", "hashes")
 
     def solve(node: list[int], label: list[int], own_sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         ids = np.array(node, dtype=np.int64)
