@@ -291,7 +291,7 @@ def links(nodes: DataFrame, radius: int = 3, block_rows: int = 16_384, most_bloc
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
 
     dealt = blocks.mapInArrow(tidy(deal), "lo long, hi long, mine long, nodes binary, fps binary")
-    pairs = dealt.repartition(max(shuffles, len(known)), "lo", "hi").sortWithinPartitions("lo", "hi", "mine")
+    pairs = dealt.repartition(max(shuffles, len(known) // 2), "lo", "hi").sortWithinPartitions("lo", "hi", "mine")
     return pairs.mapInArrow(tidy(link), "a long, b long").distinct()
 
 
@@ -442,18 +442,23 @@ def star_matches(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, similarity
     return _dealt(rows, "key", "a", "partner", "node").mapInArrow(tidy(run), "a long, b long")
 
 
-def matches(members: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: float, piece_rows: int = 256, piece_shingles: int = 100_000) -> DataFrame:
+def unlike_buckets(members: DataFrame, sizes: DataFrame, piece_rows: int = 256, piece_shingles: int = 100_000) -> DataFrame:
+    """(key, common, mains, rests) of the buckets whose members (key, node, label) have unlike labels: the most frequent label,
+    and into how many pieces the members that have it, and the rest, are to be cut."""
+    by = members.join(sizes, "node").groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    whole = by.groupBy("key").agg(F.max(F.struct("n", "s", "label")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s")).filter("main.n < n")
+    pieces = lambda n, s: F.greatest(F.ceil(n / piece_rows), F.ceil(s / piece_shingles), F.lit(1)).cast("int")
+    return cut(whole.select("key", F.col("main.label").alias("common"), pieces(F.col("main.n"), F.col("main.s")).alias("mains"), pieces(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("rests")))
+
+
+def matches(members: DataFrame, buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links (a < b) between texts of a bucket: every two members (key, node, label) of unlike labels are compared exactly.
 
     Members whose labels a link has joined are not compared again. A bucket's most frequent label (its main members) needs no
     comparison within itself, so only the rest meet each other and the main members. Both are cut into pieces of a bounded
     size, and every pair of pieces that must meet is a group of its own.
     """
-    frequent = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    parted = spread_join(members, frequent, "key").withColumn("main", F.col("label") == F.col("main")).join(sizes, "node")
-    need = lambda which: F.greatest(F.ceil(F.count_if(which) / piece_rows), F.ceil(F.sum(F.when(which, F.col("size")).otherwise(0)) / piece_shingles), F.lit(1)).cast("int")
-    cuts = parted.groupBy("key").agg(need(F.col("main")).alias("mains"), need(~F.col("main")).alias("rests"))
-    parted = spread_join(parted.select("key", "node", "label", "main"), cuts, "key")
+    parted = spread_join(members, buckets, "key").withColumn("main", F.col("label") == F.col("common"))
     mine = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests")))
     upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n).cast("bigint") - 1)
     with_rest = F.transform(upto("rests"), lambda j: F.xxhash64("key", F.lit("main"), mine, j))
@@ -512,10 +517,9 @@ def representatives(docs: DataFrame, width: int = 5, radius: int = 3, similarity
     labels = components(edges)
     others = met.filter("n > 2 and node <> a").select("key", "node")
     others = cut(others.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
-    unlike = others.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    members = cut(spread_join(others, unlike, "key"))
-    if not members.isEmpty():
-        labels = components(edges.union(matches(members, sets, sizes, similarity)))
+    unlike = unlike_buckets(others, sizes)
+    if not unlike.isEmpty():
+        labels = components(edges.union(matches(others, unlike, sets, similarity)))
     texts = texts.select("words_key", "id", "k1", "k2", "node").join(labels, "node", "left")
     return found.select("id", "k1", "k2", "words_key"), cut(texts.select("words_key", "id", "k1", "k2", F.coalesce("label", "node").alias("label")))
 

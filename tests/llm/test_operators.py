@@ -178,7 +178,7 @@ def test_matches_in_blocks(spark):
     sets_of = simhash.shingle_sets(df, own, 5).cache()
     sizes = sets_of.select("node", F.size("hashes").alias("size"))
     for rows_each in (1024, 6):
-        got = simhash.matches(members, sets_of, sizes, 0.8, piece_rows=rows_each)
+        got = simhash.matches(members, simhash.unlike_buckets(members, sizes, rows_each), sets_of, 0.8)
         assert {(r.a, r.b) for r in got.collect()} <= set(near)
         assert {r.node: r.label for r in simhash.components(got).collect()} == want
     stars = spark.createDataFrame([(a, b) for a in (0, 9) for b in range(40) if a != b], "a long, b long")
