@@ -4,10 +4,11 @@
    for each piece (its place, length and checksum); token ids themselves are never shuffled.
 2. The pieces' lengths form a histogram of at most capacity rows: the only thing the driver sees, at any size
    of input. They are rounded up to the finest of 1, 2, 4 or 8 tokens that leaves at most 512 bins.
-3. A linear program chooses how often to use each pattern (a multiset of bins that fits one sequence).
-   Patterns are generated as columns: a knapsack dynamic program prices them against the duals.
+3. A linear program chooses how often to use each pattern (a multiset of bins that fits one sequence). It starts from
+   greedily filled patterns; further ones are generated as columns: a knapsack dynamic program prices them against the duals.
 4. Patterns are rounded down; what is left is placed best-fit decreasing. Sequences of the rest that would
-   be padded by more than `spare` are dissolved: their pieces are cut at powers of two, which need no padding.
+   be padded by more than `spare` are dissolved: their pieces are cut at powers of two, and the parts of all of them, largest
+   first, fill sequences to the last token. The parts of the last one are sequences of their own if its padding exceeded `spare` of all tokens.
 5. Pieces are ranked within their bin (counts by hash bucket, then ranks within a bucket) and the ranks
    are looked up in the patterns' runs, a table bounded by the number of bins.
 
@@ -34,6 +35,8 @@ from quarry.llm.wordtokens import tokens
 CAPACITY = 4096
 GRAINS = (1, 2, 4, 8)
 MOST_BINS = 512
+#: Pricings of a plan: about 15 ms each on the driver.
+MOST_PRICINGS = 100
 END = np.array([2], dtype="<u4").tobytes()
 
 
@@ -116,29 +119,52 @@ def _times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,j->i", a, x)
 
 
-def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
+def _greedy(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
+    """A first basis: the largest size left, filled up with the largest that fit, used in parts until one size is spent.
+
+    Each pattern holds sizes that no earlier one has spent, so the patterns in their order are a triangular matrix.
+    """
+    m = len(sizes)
+    left, todo = counts.astype(float).copy(), set(range(m))
+    basis = np.zeros((m, m))
+    for j in range(m):
+        lead = max(todo)
+        column, room = np.zeros(m), capacity - int(sizes[lead])
+        column[lead] = 1
+        for i in np.flatnonzero(left[: lead + 1] > 0)[::-1].tolist() if left[lead] > 0 else [lead]:
+            column[i] += room // int(sizes[i])
+            room %= int(sizes[i])
+        used = np.flatnonzero(column)
+        share = left[used] / column[used]
+        spent = int(used[share.argmin()])
+        left[used] -= share.min() * column[used]
+        left[spent] = 0
+        todo.remove(spent)
+        left[np.array([i for i in used if i not in todo], int)] = 0
+        basis[:, j] = column
+    return basis
+
+
+def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 1e-3, most: int = MOST_PRICINGS) -> tuple[np.ndarray, np.ndarray, float]:
     """Revised simplex with generated columns: the basis' patterns (as columns), how often each is used, and the gap left.
 
     Each pricing gives several columns, which enter while their reduced cost lasts. It stops when the bound from the best
-    column, or the number of tokens, proves the plan within `gap` of the optimum, when no column improves it, or when 500
-    pricings have not improved it by a millionth; the gap that is left is returned. Counts are moved by tiny different
-    amounts, so few pivots leave the plan as it was.
+    column, or the number of tokens, proves the plan within `gap` of the optimum, when no column improves it, or after `most`
+    pricings; the gap that is left is returned. Counts are moved by tiny different amounts, so few pivots leave the plan as it was.
     """
     m = len(sizes)
-    basis = np.diag((capacity // sizes).astype(float))
-    inverse = np.diag(1.0 / np.diag(basis))
     moved = counts * (1 + 1e-7 * (np.arange(m) + 1) / m) + 1e-6 * (np.arange(m) + 1) / m
-    x, duals = _times(inverse, moved), inverse.sum(axis=0)
+    basis = _greedy(sizes, moved, capacity)
+    inverse = _invert(basis)
+    x, duals = np.maximum(_times(inverse, moved), 0), inverse.sum(axis=0)
     pivots, bound, left = 0, float(sizes @ moved) / capacity, 1.0  # no plan beats the tokens there are
-    best, since = np.inf, 0
-    while True:
+    for _ in range(most):
         columns = _price(sizes, np.maximum(duals, 0), capacity)
         total = float(x.sum())
         value = float(np.maximum(duals, 0) @ columns[0]) if columns else 1.0
         bound = max(bound, total / value)
         left = 1 - bound / total
-        best, since = (total, 0) if total < best * (1 - 1e-6) else (best, since + 1)
-        if not columns or left <= gap or since > 500:
+        if not columns or left <= gap:
             break
         entered = 0
         for column in columns:
@@ -228,13 +254,21 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, spare: float = 0.01, bucket_
         .withColumn("offset", F.sum("length").over(within) - F.col("length"))
         .select(*columns, F.col("sequence_id").cast("long").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
     )
+    # what is dissolved is less than one use of each pattern; its parts, largest first, fill sequences without a gap, as each size divides the next
     top = capacity.bit_length() - 1
     size = F.element_at(F.expr(f"filter(transform(sequence({top}, 0), i -> shiftleft(1L, i)), p -> (length & p) <> 0)"), (F.col("k") + 1).cast("int"))
-    width = capacity.bit_length()
-    single = placed.filter("dissolve").select("*", F.posexplode("parts_crc32").alias("k", "crc")).withColumn("size", size)
-    ahead = F.col("length") - F.expr("length % (size * 2)")  # the larger powers come first
-    single = single.select(
+    parts = placed.filter("dissolve").select(*columns, F.posexplode("parts_crc32").alias("k", "crc")).withColumn("size", size)
+    tokens_of = F.col("count") * F.col("size")
+    larger = parts.groupBy("size").count().select("size", (F.sum(tokens_of).over(Window.orderBy(F.col("size").desc())) - tokens_of).alias("larger"), F.sum(tokens_of).over(Window.partitionBy()).alias("all"))
+    nth = F.row_number().over(Window.partitionBy("size").orderBy("doc_id", "start", "ids_crc32", "doc_tokens", "k")) - 1
+    parts = parts.withColumn("nth", nth).join(F.broadcast(larger), "size").withColumn("at", F.col("larger") + F.col("nth") * F.col("size"))
+    ahead = F.col("length") - F.expr("length % (size * 2)")  # the larger powers of a piece come first
+    # the parts of the last, short sequence are sequences of their own where its padding would tell
+    tail = F.col("all") % capacity
+    alone = (F.col("at") >= F.col("all") - tail) & (capacity - tail > spare * sum(n * count for n, count in lengths.items()))
+    sequence = F.when(alone, F.col("at") - (F.col("all") - tail) + F.floor(F.col("all") / capacity)).otherwise(F.floor(F.col("at") / capacity))
+    single = parts.select(
         "doc_id", (F.col("start") + ahead).alias("start"), F.col("size").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens",
-        (F.lit(base).cast("long") + (F.col("bin") * F.lit(max(histogram.values(), default=0) + 1) + F.col("rank")) * width + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
+        (F.lit(base) + sequence).cast("long").alias("sequence_id"), F.when(alone, 0).otherwise(F.col("at") % capacity).cast("long").alias("offset"),
     )
     return whole.unionByName(single)

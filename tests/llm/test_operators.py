@@ -1,8 +1,10 @@
 """Each operator against a brute-force version on small tables with the awkward cases in them."""
 
+import collections
 import hashlib
 import os
 import re
+import time
 import zlib
 
 import numpy as np
@@ -278,6 +280,14 @@ def test_packing_plan():
             used[b] = used.get(b, 0) + a * times
     assert used == hist
     assert sum(t for _, t, dissolve in plan if not dissolve) <= 1.003 * sizes.sum() / 512 + 1
+    began = time.perf_counter()
+    huge = packing.plan({b: 10**8 + b for b in range(1, 513)}, 512)
+    assert time.perf_counter() - began < 15
+    held = collections.Counter()
+    for pattern, times, _ in huge:
+        assert sum(b * a for b, a in pattern.items()) <= 512
+        held.update({b: a * times for b, a in pattern.items()})
+    assert held == {b: 10**8 + b for b in range(1, 513)}
     assert packing.plan({}, 512) == [] and packing.binary_cuts(1000) == [512, 256, 128, 64, 32, 8]
 
 
