@@ -318,13 +318,17 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """One row per row of docs: doc_id, fp (signed long), rep (smallest id with that fp), component_id."""
+    """One row per row of docs: doc_id, fp (signed long), rep (smallest id with that fp), component_id.
+
+    A fingerprint is a node whether or not one of its rows has an id, so rows without an id link others too.
+    """
     fps = cut(fingerprints(docs, width))
-    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    edges = cut(links(reps.filter("rep is not null").select(F.col("rep").alias("node"), "fp"), radius))
-    labels = components(edges)
-    classes = cut(reps.join(labels, reps.rep == labels.node, "left").select("fp", "rep", F.coalesce("label", "rep").alias("component_id")))
-    return fps.join(classes, "fp").select("doc_id", "fp", "rep", "component_id")
+    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
+    labels = components(cut(links(reps.select("node", "fp"), radius)))
+    classes = cut(reps.join(labels, "node", "left").select("fp", "rep", F.coalesce("label", "node").alias("label")))
+    smallest = cut(classes.groupBy("label").agg(F.min("rep").alias("component_id")))
+    classes = cut(spread_join(classes, smallest, "label").select("fp", "rep", "component_id"))
+    return spread_join(fps, classes, "fp").select("doc_id", "fp", "rep", "component_id")
 
 
 def partial_fingerprints(hashes: np.ndarray, parts: int = 16, rows: int = 3) -> list[int]:
