@@ -566,6 +566,11 @@ def test_langid(spark, docs, empty):
         ('<article><h1>T</h1><div class="post share-enabled"><p>all of the text is in here</p></div></article>', "T\nall of the text is in here"),
         ('<article><p>text with <span class="ad">buy</span> an advert</p></article>', "text with an advert"),
         ('<article><p>one <a class="share">x</p><p>two</p></article>', "one\ntwo"),
+        ('<article><h1>T</h1><p>one line</p><div class="related">' + "<p><a>teaser of another page</a></p>" * 12 + "</div></article>", "T\none line"),
+        ('<article><p>one line</p><div class="newsletter"><p>' + "sign up now " * 40 + "</p></div></article>", "one line"),
+        ('<article><header><h1>T</h1><p>by A</p></header><div class="social-body"><p>text</p><div class="related"><p>x</p></div></div><div class="promo"><p>y</p></div></article>', "T\nby A\ntext"),
+        ('<article><div class="widget"><h1>T</h1><p>text</p></div><p>more</p></article>', "T\ntext\nmore"),
+        ("<article><p>x <script>1</script>y <svg><path/></svg>z<iframe></iframe>, <select><option>o</select>a <button>b</button>c <video>v</video>d</p></article>", "x y z, a c d"),
         ("<article>" + "<p>x y</p>" * 20_000 + "</article>", "\n".join(["x y"] * 20_000)),
     ],
 )
@@ -744,3 +749,11 @@ def test_em():
     assert {pii.votes_of(p): logit(p) > 0 for p in patterns} == {p: post[p] > 0.5 for p in votes}
     unseen = (0, 2, 2, 1, 1)
     assert logit((*unseen, *shape[True])) > logit((*unseen, *shape[False]))
+
+
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    """Fingerprints 0, 7 and 63: the middle one, whose row has no id, links the outer ones."""
+    rows = spark.createDataFrame([(1, 0), (None, 0b111), (2, 0b111111), (9, -1), (None, 1 << 60 | -(1 << 62))], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, width: docs.select("doc_id", "fp"))
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(rows).collect()}
+    assert got == {(1, 0): 1, (None, 7): 1, (2, 63): 1, (9, -1): 9, (None, 1 << 60 | -(1 << 62)): None}
