@@ -16,6 +16,8 @@ from quarry.functions.text import terms
 PAGE_WEIGHTS = {"title": 5.0, "heading_path": 2.0, "text": 1.0}
 PRODUCT_WEIGHTS = {"name": 3.0, "description": 1.0}
 MANY_ITEMS = 200
+#: Blocks of postings: 2 ** bits by hash of the page.
+BLOCK_BITS = 10
 
 
 def indexed_chunks(chunks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -31,15 +33,22 @@ def all_chunks(chunks: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def postings(rows: DataFrame, keys: list[str], weights: dict[str, float]) -> DataFrame:
-    """keys, term, f (weighted frequency over the columns) and doc_len (terms of all the columns)."""
-    listed = rows.select(*keys, *[terms(F.coalesce(F.col(c), F.lit(""))).alias(f"_{c}") for c in weights])
-    listed = listed.withColumn("doc_len", sum((F.size(f"_{c}") for c in weights), F.lit(0)).cast("long"))
-    tagged = F.concat(*[F.transform(f"_{c}", _with(w)) for c, w in weights.items()])
-    return listed.select(*keys, "doc_len", F.explode(tagged).alias("t")).groupBy(*keys, "doc_len", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("f"))
-
+    """keys, term, f (weighted frequency over the columns) and doc_len (terms of all the columns).
 
-def _with(w: float):
-    return lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
+    A row's terms are counted where the row is: sorted in its array, each run of equal ones a posting, so nothing is shuffled.
+    Whole weights repeat a column's terms; the few rows of other weights would need sums of their own.
+    """
+    if any(w != int(w) or w < 1 for w in weights.values()):
+        raise ValueError("weights of columns are whole numbers from 1")
+    listed = rows.select(*keys, *[terms(F.coalesce(F.col(c), F.lit(""))).alias(f"_{c}") for c in weights])
+    length = sum((F.size(f"_{c}") for c in weights), F.lit(0)).cast("long")
+    repeated = F.concat(*[F.flatten(F.array_repeat(F.col(f"_{c}"), int(w))) if w > 1 else F.col(f"_{c}") for c, w in weights.items()])
+    ordered = listed.select(*keys, length.alias("doc_len"), F.sort_array(repeated).alias("_t"))
+    at = F.filter(F.sequence(F.lit(1), F.size("_t")), lambda i: (i == 1) | (F.element_at("_t", i) != F.element_at("_t", F.greatest(i - 1, F.lit(1)))))
+    starts = ordered.filter(F.size("_t") > 0).select("*", at.alias("_at"))
+    ends = F.concat(F.slice("_at", 2, F.size("_at")), F.array(F.size("_t") + 1))
+    found = F.zip_with("_at", ends, lambda i, j: F.struct(F.element_at("_t", i).alias("term"), (j - i).cast("double").alias("f")))
+    return starts.select(*keys, "doc_len", F.explode(found).alias("_p")).select(*keys, "doc_len", "_p.term", "_p.f")
 
 
 def doc_len(weights: dict[str, float]) -> Column:
@@ -53,10 +62,27 @@ def corpus_stats(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     return rows.groupBy("site").agg(F.count("*").alias("n"), F.sum(length).alias("total_len"))
 
 
-def by_term(found: DataFrame) -> DataFrame:
+def block_of(page_url: str = "page_url", bits: int = BLOCK_BITS) -> Column:
+    """The block of a page's rows: the leading bits of a hash of its address, the same in every table and at every write."""
+    return F.shiftrightunsigned(F.xxhash64(page_url), 64 - bits).cast("int")
+
+
+def by_term(found: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     """Postings laid out for lookups: ranges of terms (a very common term spans several), each sorted, so that a filter on
-    the term reaches few row groups."""
-    return found.repartitionByRange("site", "term", "page_url").sortWithinPartitions("site", "term", "page_url")
+    the term reaches few row groups. All rows of a page lie in one block."""
+    return found.withColumn("block", block_of(bits=bits)).repartitionByRange("site", "term", "block").sortWithinPartitions("site", "term", "block", "page_url")
+
+
+def lexicon(found: DataFrame) -> DataFrame:
+    """site, term, rows (that hold it) of postings: a sorted dictionary, small beside them, for prefixes and weights."""
+    return found.groupBy("site", "term").agg(F.count("*").alias("rows")).repartitionByRange("site", "term").sortWithinPartitions("site", "term")
+
+
+def block_bounds(found: DataFrame) -> DataFrame:
+    """site, term, block, top (greatest frequency), shortest (least length) of postings with blocks: with them, whatever the statistics,
+    no row of the block can score higher for the term than a row of that frequency and length would."""
+    tops = found.groupBy("site", "term", "block").agg(F.max("f").alias("top"), F.min("doc_len").alias("shortest"))
+    return tops.repartitionByRange("site", "term", "block").sortWithinPartitions("site", "term", "block")
 
 
 def page_postings(chunks: DataFrame, pages: DataFrame) -> DataFrame:

@@ -11,7 +11,10 @@ from quarry.operators.search import search, search_soft
 from quarry.plans import sqltext as S
 from quarry.plans import tables
 
-QUERY, PRODUCT_QUERY, SOFT_QUERY = "licensed under", "blue bolt", "licensedabc underabc"
+QUERY, PRODUCT_QUERY = "licensed under", "blue bolt"
+COMMON_QUERY = "the in"
+#: Found by prefixes cut by three letters, by one, and by none.
+SOFT_QUERY, SOFT_NEAR, SOFT_EXACT = "licensedabc underabc", "licensedx underz", "licensed under"
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -26,8 +29,18 @@ def _search(query: str, kind: str = "", with_products: bool = True):
     return lambda spark, d: _shown(search(tables.stored_index(spark, d, with_products), query, 10, kind)), S.search(query, 10, kind, with_products)
 
 
-def soft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(search_soft(tables.stored_index(spark, sf_dir, False), SOFT_QUERY))
+def _soft(query: str, with_products: bool = False):
+    return lambda spark, d: _shown(search_soft(tables.stored_index(spark, d, with_products), query)), S.search_soft(query, with_products=with_products)
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored dictionary of the chunks' terms."""
+    return tables.stored_index(spark, sf_dir, False).chunk_lexicon.select("term", "rows")
+
+
+def common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of the commonest terms: blocks without a good row are not read."""
+    return _shown(search(tables.stored_index(spark, sf_dir, False), COMMON_QUERY))
 
 
 def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +104,12 @@ def _breadcrumb_sql() -> str:
 def queries_of() -> dict:
     return {
         "search_flagship": (flagship, S.search(QUERY, with_products=False)),
-        "search_soft": (soft, S.search_soft(SOFT_QUERY)),
+        "search_common": (common, S.search(COMMON_QUERY, with_products=False)),
+        "search_soft": _soft(SOFT_QUERY),
+        "search_soft_near": _soft(SOFT_NEAR, True),
+        "search_soft_exact": _soft(SOFT_EXACT),
+        "term_lexicon": (lexicon, f"""WITH c AS ({S.chunks()}), t AS (SELECT page_url, ord, unnest(list_concat({S.terms('title')}, {S.terms('text')})) AS term FROM c)
+            SELECT term, count(*) AS rows FROM (SELECT DISTINCT page_url, ord, term FROM t) GROUP BY term"""),
         "search_products": _search(PRODUCT_QUERY),
         "search_merged": _search("small ring"),
         "search_type_page": _search(QUERY, "page"),

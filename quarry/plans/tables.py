@@ -67,12 +67,17 @@ def stored_index(spark: SparkSession, sf_dir: str, with_products: bool = True) -
         root = f"{shared_folder(spark)}/search-index-{uuid.uuid4().hex}"
         rows = materialise(index.indexed_chunks(chunks(spark, sf_dir), pages(spark, sf_dir)).withColumn("doc_len", index.doc_len(index.PAGE_WEIGHTS)))
         sold = products(spark, sf_dir)
-        tables = {
-            "chunks": rows, "postings": index.by_term(index.postings(rows.drop("doc_len"), ["site", "page_url", "ord"], index.PAGE_WEIGHTS)), "stats": index.corpus_stats(rows, index.PAGE_WEIGHTS),
-            "products": sold, "product_postings": index.by_term(index.product_postings(sold)), "product_stats": index.corpus_stats(sold, index.PRODUCT_WEIGHTS),
-        }
+        index.by_term(index.postings(rows.drop("doc_len"), ["site", "page_url", "ord"], index.PAGE_WEIGHTS)).write.parquet(f"{root}/postings")
+        index.by_term(index.product_postings(sold)).write.parquet(f"{root}/product_postings")
+        tables = {"chunks": rows, "stats": index.corpus_stats(rows, index.PAGE_WEIGHTS), "products": sold, "product_stats": index.corpus_stats(sold, index.PRODUCT_WEIGHTS)}
+        for part in ("", "product_"):
+            found = spark.read.parquet(f"{root}/{part}postings")
+            tables |= {f"{part}lexicon": index.lexicon(found), f"{part}bounds": index.block_bounds(found)}
         for name, df in tables.items():
             df.write.parquet(f"{root}/{name}")
         _STORED[key] = root
-    found = [spark.read.parquet(f"{_STORED[key]}/{n}") for n in ("chunks", "postings", "stats", "products", "product_postings", "product_stats")]
-    return SearchIndex(*(found if with_products else found[:3]))
+    read = lambda n: spark.read.parquet(f"{_STORED[key]}/{n}")
+    out = SearchIndex(read("chunks"), read("postings"), read("stats"), chunk_lexicon=read("lexicon"), chunk_bounds=read("bounds"))
+    if with_products:
+        out.products, out.product_postings, out.product_stats, out.product_lexicon, out.product_bounds = map(read, ("products", "product_postings", "product_stats", "product_lexicon", "product_bounds"))
+    return out
