@@ -753,7 +753,7 @@ def test_em():
 
 def test_rows_without_an_id_link_others(spark, monkeypatch):
     """Fingerprints 0, 7 and 63: the middle one, whose row has no id, links the outer ones."""
-    rows = spark.createDataFrame([(1, 0), (None, 0b111), (2, 0b111111), (9, -1), (None, 1 << 60 | -(1 << 62))], "doc_id long, fp long")
+    rows = spark.createDataFrame([(1, 0), (None, 0b111), (2, 0b111111), (9, -1), (None, 0x0F0F0F0F0F0F0F0F)], "doc_id long, fp long")
     monkeypatch.setattr(simhash, "fingerprints", lambda docs, width: docs.select("doc_id", "fp"))
     got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(rows).collect()}
-    assert got == {(1, 0): 1, (None, 7): 1, (2, 63): 1, (9, -1): 9, (None, 1 << 60 | -(1 << 62)): None}
+    assert got == {(1, 0): 1, (None, 7): 1, (2, 63): 1, (9, -1): 9, (None, 0x0F0F0F0F0F0F0F0F): None}
