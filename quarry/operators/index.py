@@ -178,7 +178,7 @@ def items(pages: DataFrame, products: DataFrame, since: int = 0, limit: int = MA
         "site", "url", F.when(is_product, "product").otherwise("page").alias("type"), F.when(is_product & (F.col("name") != ""), F.col("name")).otherwise(F.col("title")).alias("title"),
         "hash", "crawled_at", "etag", "seq", "price", "currency", "availability", "extraction_method", "verified_at",
     )
-    return shown.orderBy("seq").limit(limit)
+    return shown.orderBy("seq", "url").limit(limit)
 
 
 def next_cursor(feed: DataFrame, since: int) -> int:
@@ -196,9 +196,35 @@ def extraction_methods(products: DataFrame) -> DataFrame:
 
 def site_stats(pages: DataFrame, chunks: DataFrame, products: DataFrame) -> DataFrame:
     """One row for each site: counts, first and last crawl, last verification, products by extraction method."""
-    p = pages.groupBy("site").agg(F.count("*").alias("pages"), F.max("crawled_at").alias("last_crawled"), F.min("crawled_at").alias("first_crawled"))
-    c = chunks.groupBy("site").agg(F.count("*").alias("chunks"))
-    q = products.groupBy("site").agg(F.count("*").alias("products"), F.max("verified_at").alias("last_verified"))
-    m = extraction_methods(products).groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("extraction_method", "n")))).alias("extraction_methods"))
-    zero = {"chunks": 0, "products": 0}
-    return p.join(c, "site", "left").join(q, "site", "left").join(m, "site", "left").fillna(zero)
+    return merged_stats(partial_stats(pages, chunks, products))
+
+
+def partial_stats(pages: DataFrame, chunks: DataFrame, products: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of statistics of each site (and of each value of `by`, which all three tables have) that add up: see merged_stats()."""
+    keys = ["site", *by]
+    p = pages.groupBy(*keys).agg(F.count("*").alias("pages"), F.min("crawled_at").alias("first_crawled"), F.max("crawled_at").alias("last_crawled"))
+    c = chunks.groupBy(*keys).agg(F.count("*").alias("chunks"))
+    m = products.groupBy(*keys, "extraction_method").agg(F.count("*").alias("n"), F.max("verified_at").alias("verified_at"))
+    of = F.map_from_entries(F.array_sort(F.collect_list(F.struct("extraction_method", "n"))))
+    q = m.groupBy(*keys).agg(F.sum("n").alias("products"), F.max("verified_at").alias("last_verified"), of.alias("extraction_methods"))
+    both = p.unionByName(c, allowMissingColumns=True).unionByName(q, allowMissingColumns=True)
+    return both.groupBy(*keys).agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("pages", "chunks", "products")], F.min("first_crawled").alias("first_crawled"), F.max("last_crawled").alias("last_crawled"), F.max("last_verified").alias("last_verified"),
+        F.first("extraction_methods", ignorenulls=True).alias("extraction_methods"),
+    )
+
+
+def merged_stats(parts: DataFrame) -> DataFrame:
+    """Statistics of each site from rows of partial_stats(), however the rows were cut; sites without pages are left out."""
+    sums = parts.groupBy("site").agg(*[F.sum(n).alias(n) for n in ("pages", "chunks", "products")], F.max("last_crawled").alias("last_crawled"), F.min("first_crawled").alias("first_crawled"), F.max("last_verified").alias("last_verified"))
+    each = parts.select("site", F.explode("extraction_methods").alias("extraction_method", "n")).groupBy("site", "extraction_method").agg(F.sum("n").alias("n"))
+    methods = each.groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("extraction_method", "n")))).alias("extraction_methods"))
+    return sums.filter("pages > 0").join(methods, "site", "left")
+
+
+def merged_corpus_stats(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("site").agg(F.sum("n").alias("n"), F.sum("total_len").alias("total_len"))
+
+
+def merged_lexicon(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("site", "term").agg(F.sum("rows").alias("rows"))

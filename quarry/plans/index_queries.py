@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.config import Config
+from quarry.engine import Engine
 from quarry.functions import text as T
 from quarry.operators import index
 from quarry.plans import sqltext as S
 from quarry.plans import tables
 from quarry.sources import export
-from quarry.sources.tables import shared_folder
+from quarry.sources.tables import BUCKETS, Store, bucket_of, shared_folder
 from quarry.streaming import changefeed
 
 
@@ -42,6 +44,56 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.extraction_methods(tables.products(spark, sf_dir)).select("extraction_method", "n")
 
 
+def stats_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site_stats() from the shares of 32 buckets."""
+    seen = F.when(F.col("p_partkey") % 4 == 0, F.expr(f"timestamp'{tables.CRAWLED}' + make_interval(0, 0, 0, 0, 0, 0, p_partkey % 500)"))
+    p = tables.pages(spark, sf_dir).withColumn("bucket", bucket_of("url"))
+    c = p.select("site", F.col("url").alias("page_url"), "bucket")  # a row for each page's first chunk
+    q = tables.products(spark, sf_dir).withColumn("verified_at", seen).withColumn("bucket", bucket_of("page_url"))
+    s = index.merged_stats(index.partial_stats(p, c, q, ("bucket",)))
+    methods_of = F.array_join(F.transform(F.array_sort(F.map_entries("extraction_methods")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return s.select("site", "pages", "products", F.date_format("last_verified", "yyyy-MM-dd HH:mm:ss").alias("last_verified"), methods_of.alias("methods"))
+
+
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as crawled pages, a third with products, written to a stored site; then every seventh again, changed, a fifth of
+    these with products. The pages as stored, with their numbers, chunks and products."""
+    engine = Engine(spark, Config(data_dir=f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"))
+    named = "named_struct('name', concat('p', doc_id), 'description', '', 'price', cast(doc_id as double), 'currency', 'USD', 'availability', '', 'image', '', 'extraction_method', 'json-ld', 'raw_json', '')"
+    d = tables.pages(spark, sf_dir).withColumn("markdown", F.col("text"))
+    first = d.withColumn("product", F.expr(f"if(doc_id % 3 = 0, {named}, null)"))
+    engine.write_pages(tables.SITE, first.drop("seq"))
+    again = _changed(d).withColumn("product", F.expr(f"if(doc_id % 5 = 0, {named}, null)"))
+    engine.write_pages(tables.SITE, again.drop("seq"))
+    snap = engine.store.snapshot(tables.SITE)
+    n = snap.read("chunks").groupBy(F.col("page_url").alias("url")).agg(F.count("*").alias("chunks"))
+    sold = Engine.products_of(snap).select(F.col("page_url").alias("url"), "price", F.col("seq").alias("product_seq"))
+    return snap.read("pages").join(n, "url", "left").join(sold, "url", "left").select("url", "title", "hash", "seq", F.coalesce("chunks", F.lit(0)).alias("chunks"), "price", "product_seq")
+
+
+_STORED = f"""WITH p AS ({S.pages()}),
+  a AS (SELECT doc_id, row_number() OVER (ORDER BY url) AS seq FROM p),
+  b AS (SELECT doc_id, (SELECT count(*) FROM p) + row_number() OVER (ORDER BY url) AS seq FROM p WHERE doc_id % 3 = 0),
+  done AS (SELECT (SELECT count(*) FROM a) + (SELECT count(*) FROM b) AS n),
+  c AS (SELECT doc_id, (SELECT n FROM done) + row_number() OVER (ORDER BY url) AS seq FROM p WHERE doc_id % 7 = 0),
+  d AS (SELECT doc_id, (SELECT n FROM done) + (SELECT count(*) FROM c) + row_number() OVER (ORDER BY url) AS seq FROM p WHERE doc_id % 35 = 0),
+  k AS (SELECT doc_id, count(*) AS chunks FROM ({S.chunks()}) GROUP BY doc_id),
+  u AS (SELECT url, CASE WHEN doc_id % 7 = 0 THEN title || ' again' ELSE title END AS title, CASE WHEN doc_id % 7 = 0 THEN sha256(text || '!') ELSE hash END AS hash FROM p)
+  SELECT u.url, u.title, u.hash, coalesce(c.seq, a.seq) AS seq, coalesce(k.chunks, 0) AS chunks,
+    CASE WHEN p.doc_id % 35 = 0 OR (p.doc_id % 7 <> 0 AND p.doc_id % 3 = 0) THEN CAST(p.doc_id AS DOUBLE) END AS price, CASE WHEN p.doc_id % 7 = 0 THEN d.seq ELSE b.seq END AS product_seq
+  FROM p JOIN u USING (url) JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
+def verified_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of a stored site, every tenth seen again at another price: laid over on read, nothing rewritten."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    sold = tables.products(spark, sf_dir).withColumn("bucket", bucket_of("page_url"))
+    store.commit(store.snapshot(tables.SITE), {"products": sold.repartition("bucket")}, list(range(BUCKETS)))
+    seen = sold.filter("p_partkey % 10 = 0").withColumn("price", F.col("price") + 1).withColumn("verified_at", F.expr(f"timestamp'{tables.CRAWLED}'")).withColumn("seq", F.col("seq") + 1_000_000)
+    store.commit(store.snapshot(tables.SITE), {"verified": seen.repartition("bucket")}, list(range(BUCKETS)))
+    return Engine.products_of(store.snapshot(tables.SITE)).select("page_url", "price", "seq", F.col("verified_at").isNotNull().alias("verified"))
+
+
 def _changed(df: DataFrame) -> DataFrame:
     """A second snapshot: every seventh page changed, with later numbers."""
     return df.filter("doc_id % 7 = 0").withColumn("title", F.concat(F.col("title"), F.lit(" again"))).withColumn("hash", F.sha2(F.concat("text", F.lit("!")), 256)).withColumn("seq", F.col("seq") + 1_000_000)
@@ -147,6 +199,12 @@ QUERIES = {
         (SELECT strftime(max(TIMESTAMP '{tables.CRAWLED}' + to_seconds(p_partkey % 500)), '%Y-%m-%d %H:%M:%S') FROM part WHERE p_partkey % 4 = 0) AS last_verified,
         (SELECT string_agg(extraction_method || '=' || n, ',' ORDER BY extraction_method) FROM (SELECT extraction_method, count(*) AS n FROM ({S.products()}) GROUP BY 1)) AS methods,
         strftime(min(t), '%Y-%m-%d %H:%M:%S') AS first_crawled, strftime(max(t), '%Y-%m-%d %H:%M:%S') AS last_crawled FROM (SELECT TIMESTAMP '{tables.CRAWLED}' + to_seconds(doc_id % 1000) AS t FROM documents)"""),
+    "stats_merged": (stats_merged, f"""SELECT '{S.SITE}' AS site, (SELECT count(*) FROM documents) AS pages, (SELECT count(*) FROM part) AS products,
+        (SELECT strftime(max(TIMESTAMP '{tables.CRAWLED}' + to_seconds(p_partkey % 500)), '%Y-%m-%d %H:%M:%S') FROM part WHERE p_partkey % 4 = 0) AS last_verified,
+        (SELECT string_agg(extraction_method || '=' || n, ',' ORDER BY extraction_method) FROM (SELECT extraction_method, count(*) AS n FROM ({S.products()}) GROUP BY 1)) AS methods"""),
+    "store_upsert": (store_upsert, _STORED),
+    "verified_overlay": (verified_overlay, f"""SELECT page_url, CASE WHEN p_partkey % 10 = 0 THEN price + 1 ELSE price END AS price, CASE WHEN p_partkey % 10 = 0 THEN seq + 1000000 ELSE seq END AS seq,
+        p_partkey % 10 = 0 AS verified FROM ({S.products()})"""),
     "extraction_method_counts": (methods, f"SELECT extraction_method, count(*) AS n FROM ({S.products()}) GROUP BY 1"),
     "upsert_latest": (upsert_latest, _UPSERT),
     "product_remove": (product_remove, f"SELECT page_url, CASE WHEN p_partkey % 5 = 0 THEN price + 1 ELSE price END AS price, CASE WHEN p_partkey % 5 = 0 THEN seq + 1000000 ELSE seq END AS seq FROM ({S.products()}) WHERE p_partkey % 11 <> 0"),

@@ -6,8 +6,13 @@ HEADINGS = "array<struct<level:int,text:string>>"
 PAGES = ("site string, url string, title string, description string, lang string, hash string, crawled_at timestamp, etag string, last_modified string, seq bigint")
 CHUNKS = ("site string, page_url string, ord int, heading_path string, text string, doc_len bigint")
 #: Lookup tables of a search, sorted by term.
-POSTINGS = "site string, term string, page_url string, ord int, doc_len bigint, f double"
-PRODUCT_POSTINGS = "site string, term string, page_url string, doc_len bigint, f double"
+POSTINGS = "site string, term string, page_url string, ord int, doc_len bigint, f double, block int"
+PRODUCT_POSTINGS = "site string, term string, page_url string, doc_len bigint, f double, block int"
+#: Each bucket's share of a term's rows, and what a block of rows can reach.
+LEXICON = "site string, term string, rows bigint"
+BOUNDS = "site string, term string, block int, top double, shortest bigint"
+#: Each bucket's share of a site's statistics.
+COUNTS = "site string, pages bigint, chunks bigint, products bigint, first_crawled timestamp, last_crawled timestamp, last_verified timestamp, extraction_methods map<string,bigint>"
 STATS = "site string, n bigint, total_len bigint"
 PRODUCTS = (
     "site string, page_url string, name string, description string, price double, currency string, availability string, image string, extraction_method string, raw_json string, verified_at timestamp, seq bigint"

@@ -1,4 +1,4 @@
-"""Stored tables: versioned Parquet folders of each site, and cut points in a plan."""
+"""Stored tables: versioned Parquet folders of each site, bucketed by page, and cut points in a plan."""
 
 from __future__ import annotations
 
@@ -6,15 +6,23 @@ import json
 import re
 import tempfile
 import time
+from dataclasses import dataclass, field
 from functools import lru_cache
 from urllib.parse import quote, unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry import schema
 
-SCHEMAS: dict[str, str] = {"pages": schema.PAGES, "chunks": schema.CHUNKS, "products": schema.PRODUCTS, "state": schema.STATE, "postings": schema.POSTINGS, "product_postings": schema.PRODUCT_POSTINGS, "stats": schema.STATS, "product_stats": schema.STATS}
+SCHEMAS: dict[str, str] = {
+    "pages": schema.PAGES, "chunks": schema.CHUNKS, "products": schema.PRODUCTS, "verified": schema.PRODUCTS, "state": schema.STATE, "counts": schema.COUNTS, "postings": schema.POSTINGS, "product_postings": schema.PRODUCT_POSTINGS,
+    "stats": schema.STATS, "product_stats": schema.STATS, "lexicon": schema.LEXICON, "product_lexicon": schema.LEXICON, "bounds": schema.BOUNDS, "product_bounds": schema.BOUNDS,
+}
+#: Tables are cut into so many buckets by a hash of the page's address.
+BUCKETS = 32
 
 
 @lru_cache
@@ -40,16 +48,45 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed since the snapshot was taken."""
+
+
+def bucket_of(url: Column | str) -> Column:
+    """The bucket of a page: the leading bits of a hash of its address, so that blocks of postings lie within buckets."""
+    return F.shiftrightunsigned(F.xxhash64(url), 64 - (BUCKETS.bit_length() - 1)).cast("int")
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """What a site's manifest says: which version of each bucket of each table counts, and the site's last sequence number."""
+
+    store: Store
+    site: str
+    name: str = ""  # of the newest manifest, whether or not it can be read; "" before the first
+    versions: dict[str, dict[str, str]] = field(default_factory=dict)
+    seq: int = 0
+
+    def paths(self, table: str, buckets: list[int] | None = None) -> list[str]:
+        wanted = None if buckets is None else set(map(str, buckets))
+        return [f"{self.store.folder(self.site)}/tables/{v}/{table}/bucket={b}" for b, v in sorted(self.versions.get(table, {}).items()) if wanted is None or b in wanted]
+
+    def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
+        return self.store.load(table, self.paths(table, buckets))
+
+
 class Store:
-    """Tables of each site under <root>/<site>/tables/<version>/<table>; the newest manifest says which version of each counts.
+    """Tables of each site under <root>/<site>/tables/<version>/<table>/bucket=<b>; the newest manifest says which versions count.
 
-    A write puts the changed tables of one site into a new version and then renames a manifest into place, which names the
-    folder of every table of that site. So readers see all tables of one write or none, a failed write leaves the old state,
-    tables that did not change are not copied, and no write touches another site.
+    A write puts the touched buckets of the changed tables into a new version and commits a manifest, so readers see all of a write
+    or none, a failed write leaves the old state, an upsert of a few pages rewrites a few buckets, and no write touches another
+    site. Manifests are numbered. A commit creates the number after its snapshot's, and fails if another writer has taken it
+    (Conflict): no update is lost. That is as safe as the file system's exclusive create.
+    Versions that no kept manifest names are removed once they are `retain` seconds old, which readers may take.
     """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, retain: float = 3600) -> None:
+        self.spark, self.root, self.retain = spark, root.rstrip("/"), retain
         self._jvm = spark.sparkContext._jvm
         self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -58,58 +95,85 @@ class Store:
         path = self._path(folder)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
 
-    def _folder(self, site: str) -> str:
+    def folder(self, site: str) -> str:
         return f"{self.root}/{quote(site, safe='')}"
 
     def _manifests(self, site: str) -> list[str]:
-        return [n for n in self._names(f"{self._folder(site)}/manifests") if n.endswith(".json")]
+        return [n for n in self._names(f"{self.folder(site)}/manifests") if n.endswith(".json")]
 
-    def _manifest(self, site: str, name: str) -> dict[str, str]:
-        """Versions by table."""
-        stream = self._fs.open(self._path(f"{self._folder(site)}/manifests/{name}"))
+    def _manifest(self, site: str, name: str) -> dict | None:
+        """The manifest's content; None if its writer has not finished it."""
+        stream = self._fs.open(self._path(f"{self.folder(site)}/manifests/{name}"))
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:
+            return None
         finally:
             stream.close()
 
+    def has(self, site: str) -> bool:
+        return bool(self._manifests(site))
+
     def sites(self) -> list[str]:
         """Sites with tables, in order of their names."""
-        return sorted(site for site in map(unquote, self._names(self.root)) if self._manifests(site))
+        return sorted(site for site in map(unquote, self._names(self.root)) if self.has(site))
 
-    def read(self, table: str, site: str | None = None) -> DataFrame:
-        """A table of one site or of all, empty if it was never written; columns added since are null."""
-        wanted = StructType.fromDDL(SCHEMAS[table])
-        found = []
-        for s in [site] if site is not None else self.sites():
-            names = self._manifests(s)
-            version = self._manifest(s, names[-1]).get(table) if names else None
-            if version:
-                found.append(f"{self._folder(s)}/tables/{version}/{table}")
-        if not found:
-            return self.spark.createDataFrame([], wanted)
-        return self.spark.read.schema(wanted).parquet(*found)
-
-    def write(self, site: str, tables: dict[str, DataFrame], keep: int = 2) -> str:
-        """Writes a site's tables as its next version; `keep` manifests and what they name are kept."""
-        version, folder = f"{time.time_ns():020d}", self._folder(site)
+    def snapshot(self, site: str) -> Snapshot:
         names = self._manifests(site)
-        manifest = self._manifest(site, names[-1]) if names else {}
+        for name in reversed(names):
+            if (found := self._manifest(site, name)) is not None:
+                return Snapshot(self, site, names[-1], found["versions"], found["seq"])
+        return Snapshot(self, site, names[-1] if names else "")
+
+    def load(self, table: str, paths: list[str]) -> DataFrame:
+        """A table from its folders, empty without one; columns added since are null."""
+        wanted = StructType.fromDDL(SCHEMAS[table])
+        return self.spark.read.schema(wanted).parquet(*paths) if paths else self.spark.createDataFrame([], wanted)
+
+    def read(self, table: str, site: str | None = None) -> DataFrame:
+        """A table of one site or of all. Shares of buckets (lexicon, stats, counts) come as they are stored."""
+        return self.load(table, [p for s in ([site] if site is not None else self.sites()) for p in self.snapshot(s).paths(table)])
+
+    def commit(self, snap: Snapshot, tables: dict[str, DataFrame], buckets: dict[str, list[int]] | list[int], seq: int | None = None) -> str:
+        """Writes tables, whose rows (with a column bucket) are all there is of the given buckets, as the site's next state; its manifest's name."""
+        version, folder = f"{time.time_ns():020d}", self.folder(snap.site)
+        versions = {t: dict(v) for t, v in snap.versions.items()}
         for table, df in tables.items():
-            df.select(*StructType.fromDDL(SCHEMAS[table]).fieldNames()).write.parquet(f"{folder}/tables/{version}/{table}")
-            manifest[table] = version
-        draft = self._path(f"{folder}/manifests/{version}.draft")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps(manifest).encode()))
+            target = f"{folder}/tables/{version}/{table}"
+            df.select(*StructType.fromDDL(SCHEMAS[table]).fieldNames(), "bucket").write.partitionBy("bucket").parquet(target)
+            there = set(self._names(target))
+            own = versions.setdefault(table, {})
+            for b in buckets if isinstance(buckets, list) else buckets[table]:
+                own.pop(str(b), None)
+                if f"bucket={b}" in there:
+                    own[str(b)] = version
+        number = int(snap.name.removesuffix(".json") or 0) + 1
+        name = f"{number:020d}.json"
+        self._create(f"{folder}/manifests/{name}", json.dumps({"versions": versions, "seq": snap.seq if seq is None else seq}).encode())
+        self._clean(snap.site)
+        return name
+
+    def _create(self, path: str, data: bytes) -> None:
+        """A new file; Conflict if there is one."""
+        if any(n >= path.rsplit("/", 1)[1] for n in self._names(path.rsplit("/", 1)[0])):
+            raise Conflict(path)
+        try:
+            out = self._fs.create(self._path(path), False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception) or self._fs.exists(self._path(path)):
+                raise Conflict(path) from e
+            raise
+        out.write(bytearray(data))
         out.close()
-        self._fs.rename(draft, self._path(f"{folder}/manifests/{version}.json"))
-        self._clean(site, keep)
-        return version
-
-    def _clean(self, site: str, keep: int) -> None:
-        folder, names = self._folder(site), self._manifests(site)
-        used = {v for n in names[-keep:] for v in self._manifest(site, n).values()}
-        for old in names[:-keep]:
-            self._fs.delete(self._path(f"{folder}/manifests/{old}"), False)
-        for version in self._names(f"{folder}/tables"):
-            if version not in used and version < names[-1]:
-                self._fs.delete(self._path(f"{folder}/tables/{version}"), True)
+
+    def _clean(self, site: str, keep: int = 2) -> None:
+        """Removes what only old manifests name, and those manifests, if it was written long enough ago."""
+        folder, names = self.folder(site), self._manifests(site)
+        used = {v for n in names[-keep:] for own in ((self._manifest(site, n) or {}).get("versions") or {}).values() for v in own.values()}
+        due = f"{time.time_ns() - int(self.retain * 1e9):020d}"
+        old = [v for v in self._names(f"{folder}/tables") if v not in used and v < due]
+        for version in old:
+            self._fs.delete(self._path(f"{folder}/tables/{version}"), True)
+        for name in names[:-keep]:
+            if self._fs.getFileStatus(self._path(f"{folder}/manifests/{name}")).getModificationTime() < time.time() * 1000 - self.retain * 1000:
+                self._fs.delete(self._path(f"{folder}/manifests/{name}"), False)

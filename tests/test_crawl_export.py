@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from quarry import cli, config
 from quarry.engine import Engine, search_url
-from quarry.operators import crawl, search
+from quarry.operators import crawl, index, search
 from quarry.server import Api, server
-from quarry.sources import export
+from quarry.sources import export, tables
 from quarry.sources.fetch import Fetched
 from quarry.streaming import changefeed
 
@@ -171,7 +171,10 @@ def test_engine_and_api(spark, tmp_path):
     changed = SHOP | {"https://shop.example/map": f"<title>Map</title><main>{WORDS} fresh</main>"}
     later = Engine(spark, e.config, lambda url, *a, **k: Fetched(url, 200, body=changed[url].encode(), content_type="text/html") if url in changed else Fetched(url, 404), e.ask)
     assert later.crawl("shop.example")["fetched"] == 1 and [r["url"] for r in e.search("shop.example", "fresh")] == ["https://shop.example/map"]
-    assert e.store.read("stats", "shop.example").first().n == e.store.read("chunks", "shop.example").count()
+    assert index.merged_corpus_stats(e.store.read("stats", "shop.example")).first().n == e.store.read("chunks", "shop.example").count()
+    counted = e.stats().filter("site = 'shop.example'").select("pages", "chunks", "products", "extraction_methods").first()
+    whole = index.site_stats(*(e.store.read(t, "shop.example") for t in ("pages", "chunks", "products"))).first()
+    assert counted == whole.__class__(*(whole[c] for c in ("pages", "chunks", "products", "extraction_methods")))
     api = Api(e)
     live = api.handle("POST", "/v1/search", b'{"site":"shop.example","query":"walking shoe","fresh":true}')
     assert live[0] == 200 and live[1]["source"] == "index+live" and live[1]["results"][0]["verified"]
@@ -193,6 +196,38 @@ def test_engine_and_api(spark, tmp_path):
     http.shutdown()
 
 
+def test_no_update_is_lost(spark, tmp_path):
+    """A crawl commits between a verification's reading and its commit: both changes stay, and only touched buckets are written."""
+    e = Engine(spark, config.Config(data_dir=str(tmp_path), crawl=config.Crawl(rate_limit_rps=100)), shop)
+    e.crawl("shop.example")
+    site, store = "shop.example", e.store
+    early = store.snapshot(site)
+    sold = spark.createDataFrame([(site, "https://shop.example/u2", "Late mug", "d", 3.0, "USD", "in_stock", "", "json-ld", "", None, 99)], tables.SCHEMAS["products"]).withColumn("bucket", tables.bucket_of("page_url"))
+    store.commit(store.snapshot(site), {"products": sold}, [sold.first().bucket], 99)
+    with pytest.raises(tables.Conflict):
+        store.commit(early, {"products": sold.limit(0)}, [sold.first().bucket])
+    before = {r["url"]: r for r in e.search(site, "walking shoe")}
+    live = e.verify(site, [before["https://shop.example/p"]])
+    assert live[0]["verified"]
+    got = {r.page_url: (r.name, r.verified_at is not None) for r in Engine.products_of(store.snapshot(site)).collect()}
+    assert got == {"https://shop.example/p": ("Walking shoe", True), "https://shop.example/u2": ("Late mug", False)}
+    snap = store.snapshot(site)
+    assert snap.seq > 99 and snap.versions["postings"] == early.versions["postings"]  # a request rewrites neither postings nor products
+    assert e.stats().first().last_verified is not None
+    changed = SHOP | {"https://shop.example/p": SHOP["https://shop.example/p"].replace("<p>shoe", "<p>boot")}
+    later = Engine(spark, e.config, lambda url, *a, **k: Fetched(url, 200, body=changed[url].encode(), content_type="text/html") if url in changed else Fetched(url, 404))
+    assert later.crawl(site)["fetched"] == 1
+    after = store.snapshot(site)
+    touched = str(spark.range(1).select(tables.bucket_of(F.lit("https://shop.example/p"))).first()[0])
+    for table, versions in snap.versions.items():
+        if table != "state":
+            assert {b: v for b, v in versions.items() if b != touched} == {b: v for b, v in after.versions[table].items() if b != touched}
+    assert after.versions["pages"][touched] != snap.versions["pages"][touched]
+    assert after.read("verified").count() == 0 and e.search(site, "boot")[0]["url"] == "https://shop.example/p"
+    (tmp_path / "shop.example" / "manifests" / f"{int(after.name[:-5]) + 1:020d}.json").write_text("{")  # a writer died here
+    assert store.snapshot(site).versions == after.versions and later.crawl(site)["skipped"] == 3
+
+
 def test_cold_search(spark, tmp_path):
     pages = {"https://new.example/": '<body class="woocommerce">', "https://new.example/?s=mug": '<li class="product"><a href="/m">Mug</a><span class="price">$3</span></li>'}
     e = Engine(spark, config.Config(data_dir=str(tmp_path)), lambda url, *a, **k: Fetched(url, 200, body=pages[url].encode()) if url in pages else Fetched(url, 404))

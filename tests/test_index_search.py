@@ -1,6 +1,7 @@
 """Ranking corpus with exact scores, upserts, the items feed, chunks."""
 
 import datetime as dt
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.operators import chunk, index
-from quarry.operators.search import SearchIndex, search, search_soft
+from quarry.operators.search import SearchIndex, bm25, bounded_blocks, pruned_bm25, search, search_soft, strict_terms, surviving_blocks
 
 SITE = "s"
 
@@ -81,6 +82,46 @@ def test_soft_and_empty(spark):
     assert len(search(make(spark, PAGES), "shoes", 1).collect()) == 1
 
 
+def test_blocks_that_cannot_compete_are_not_read(spark):
+    """Frequent terms over two sites: the same candidates as from all postings, from a part of the blocks."""
+    rng = random.Random(4)
+    common = [f"w{i}" for i in range(6)]
+    pages = [(f"s{i % 2}", f"u{i}", 0, "", "", " ".join(rng.choices(common, [32, 16, 8, 4, 2, 1], k=rng.randint(30, 60))) + " r0" * (i % 3 == 0) + " r1" * (i % 4 == 0) + " r0 r1" * (20 if i % 97 == 0 else 0)) for i in range(1500)]
+    rows = spark.createDataFrame(pages, "site string, page_url string, ord int, title string, heading_path string, text string")
+    stats, keys = index.corpus_stats(rows, index.PAGE_WEIGHTS), ["site", "page_url", "ord"]
+    found = index.by_term(index.postings(rows, keys, index.PAGE_WEIGHTS), 7).cache()
+    lexicon, bounds = index.lexicon(found), index.block_bounds(found)
+    for query, most in (("r0 r1", 10), ("w0 w1", 50), ("w3 w3 w2", 5), ("w1 nowhere", 5)):
+        terms = strict_terms(query)
+        want = {}
+        for r in bm25(found, stats, keys, terms).collect():
+            want.setdefault(r.site, []).append((r["rank"], r.page_url))
+        got = {}
+        for r in pruned_bm25(found, lexicon, bounds, stats, keys, terms, most, seeds=4).collect():
+            got.setdefault(r.site, []).append((r["rank"], r.page_url))
+        assert {s: sorted(x)[:most] for s, x in got.items()} == {s: sorted(x)[:most] for s, x in want.items()}
+    counts, blocks = bounded_blocks(lexicon, bounds, stats, strict_terms("r0 r1"))
+    ranked = bm25(found, stats, keys, strict_terms("r0 r1")).join(found.select("site", "page_url", "block").distinct(), ["site", "page_url"])
+    left = surviving_blocks(blocks, lambda of: ranked.join(of.select("site", "block"), ["site", "block"], "left_semi"), 5, 4)
+    assert 0 < left.count() < 0.7 * blocks.count() and blocks.count() < 0.5 * 2 * 128
+
+
+def test_postings_need_no_shuffle(spark):
+    rows = spark.createDataFrame([("s", "a", 0, "Tea Time", "", "tea, time; time"), ("s", "b", 1, None, "x", "")], "site string, page_url string, ord int, title string, heading_path string, text string")
+    found = index.postings(rows, ["site", "page_url", "ord"], index.PAGE_WEIGHTS)
+    assert "Exchange" not in found._jdf.queryExecution().toString()
+    assert sorted((r.page_url, r.term, r.f, r.doc_len) for r in found.collect()) == [("a", "tea", 6.0, 5), ("a", "time", 7.0, 5), ("b", "x", 2.0, 1)]
+
+
+def test_soft_tiers_in_one_plan(spark):
+    pages = [("a", "Marketing externalizat", "", "x"), ("b", "Marketing externe", "", "x"), ("c", "Market", "", "extern")]
+    ix = make(spark, pages)
+    ix.chunk_lexicon = index.lexicon(ix.chunk_postings)
+    found = lambda q: [r.url for r in search_soft(ix, q).collect()]
+    assert found("marketing externalizat") == ["a"] and found("marketing externalizata") == ["a"] and found("marketingul externalizatul") == ["a"]
+    assert sorted(found("marketing exter")) == ["a", "b"] and found("externalize nothing") == []
+
+
 def pages_of(spark, rows):
     ddl = "site string, url string, title string, hash string, crawled_at timestamp, etag string, seq bigint"
     return spark.createDataFrame([(SITE, u, t, "h", dt.datetime(2024, 1, 1), "", s) for u, t, s in rows], ddl)
