@@ -7,13 +7,13 @@ from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import crawl_queries, engine_queries, html_queries, index_queries, search_queries
+from quarry.plans import crawl_queries, engine_queries, html_queries, index_queries, search_queries, stream_queries
 
 Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
 
 def _all() -> dict[str, Query]:
-    return dict(chain.from_iterable(m.QUERIES.items() for m in (search_queries, index_queries, crawl_queries, html_queries, engine_queries)))
+    return dict(chain.from_iterable(m.QUERIES.items() for m in (search_queries, index_queries, crawl_queries, html_queries, engine_queries, stream_queries)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
