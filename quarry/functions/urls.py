@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import lru_cache
 from importlib import resources
 from urllib.parse import quote, unquote, urlencode, urljoin, urlsplit, urlunsplit
@@ -37,26 +39,67 @@ def path_and_query(url: Column) -> Column:
     return F.concat(_part(url, 3), _part(url, 4))
 
 
+@dataclass(frozen=True)
+class Suffixes:
+    """Public suffix rules: plain ones, *.x (any label before x) and !y (y is no suffix, its parent is)."""
+
+    plain: frozenset[str]
+    wild: frozenset[str]
+    exceptions: frozenset[str]
+    labels: int  # of the longest rule
+
+    @staticmethod
+    def of(lines: Iterable[str]) -> Suffixes:
+        rules = {x for line in lines if (x := line.strip().lower()) and not x.startswith("//")}
+        plain, wild, exceptions = {r for r in rules if r[0] not in "*!"}, {r[2:] for r in rules if r.startswith("*.")}, {r[1:] for r in rules if r.startswith("!")}
+        return Suffixes(frozenset(plain), frozenset(wild), frozenset(exceptions), max((r.count(".") + 1 for r in rules), default=1))
+
+    def trie(self) -> dict:
+        """The rules by label from the last on; "" marks an end: its kind."""
+        root: dict = {}
+        for kind, rules in (("plain", self.plain), ("plain", {f"*.{x}" for x in self.wild}), ("exception", self.exceptions)):
+            for rule in rules:
+                node = root
+                for label in reversed(rule.split(".")):
+                    node = node.setdefault(label, {})
+                node[""] = kind
+        return root
+
+
 @lru_cache
-def suffixes() -> tuple[str, ...]:
-    """The bundled public suffixes of more than one label; QUARRY_SUFFIXES names a longer list."""
+def suffixes() -> Suffixes:
+    """The bundled public suffix rules; QUARRY_SUFFIXES names a longer list, in the public list's own form."""
     import os
 
     path = os.environ.get("QUARRY_SUFFIXES")
-    text = open(path, encoding="utf-8").read() if path else resources.files("quarry.functions").joinpath("suffixes.txt").read_text("utf-8")
-    return tuple(line.strip().lower() for line in text.splitlines() if line.strip() and not line.startswith("//"))
+    return Suffixes.of((open(path, encoding="utf-8").read() if path else resources.files("quarry.functions").joinpath("suffixes.txt").read_text("utf-8")).splitlines())
+
+
+@lru_cache
+def _suffix_trie() -> dict:
+    return suffixes().trie()
 
 
 def registrable_domain(url_or_host: Column) -> Column:
-    """The suffix and one label more; IP addresses and single labels stay as they are."""
+    """The public suffix and one label more; IP addresses, single labels and suffixes stay as they are.
+
+    The longest rule counts, an exception before all others; without a rule the last label is the suffix. A few look-ups of
+    the host's last labels in hashed sets, inside generated code.
+    """
+    rules = suffixes()
     h = F.when(url_or_host.contains("://"), host(url_or_host)).otherwise(F.lower(F.regexp_replace(url_or_host, ":[0-9]*$", "")))
     h = F.regexp_replace(h, r"\.+$", "")
-    many = "|".join(re.escape(s) for s in suffixes())
-    long_ = F.regexp_extract(h, rf"([^.]+\.(?:{many}))$", 1) if many else F.lit("")
-    short = F.regexp_extract(h, r"([^.]+\.[^.]+)$", 1)
-    is_ip = h.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
-    only_suffix = h.isin(list(suffixes())) if many else F.lit(False)
-    return F.when(is_ip | only_suffix, h).when(long_ != "", long_).when(short != "", short).otherwise(h)
+    last = lambda k: F.substring_index(h, ".", -k)  # noqa: E731  # the whole host if it is shorter
+    dots = F.length(h) - F.length(F.replace(h, F.lit(".")))
+    among = lambda c, values: c.isin(sorted(values)) if values else F.lit(False)
+    size = F.lit(1)  # labels of the suffix; the longest rule is looked at last
+    for k in range(1, rules.labels + 1):
+        hit = among(last(k), rules.plain) | (among(last(k - 1), rules.wild) if k > 1 else F.lit(False))
+        size = F.when(hit & (dots >= k - 1), F.lit(k)).otherwise(size)
+    for k in range(2, rules.labels + 1):
+        size = F.when(among(last(k), rules.exceptions) & (dots >= k - 1), F.lit(k - 1)).otherwise(size)
+    out = F.call_function("substring_index", h, F.lit("."), -(size + 1))
+    return F.when(h.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), h).otherwise(out)
 
 
 def slug(url: Column) -> Column:
@@ -136,12 +179,18 @@ def slug_py(url: str) -> str:
 
 
 def registrable_domain_py(text: str) -> str:
+    """registrable_domain() for one text: one walk down a trie of labels."""
     h = (urlsplit(text).hostname if "://" in text else re.sub(r":\d*$", "", text)) or ""
     h = h.lower().rstrip(".")
-    if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", h) or h in suffixes():
+    if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", h):
         return h
     labels = h.split(".")
-    for s in suffixes():
-        if h.endswith("." + s):
-            return ".".join(labels[-len(s.split(".")) - 1 :])
-    return ".".join(labels[-2:])
+    nodes, size, exempt = [_suffix_trie()], 1, None
+    for k, label in enumerate(reversed(labels), 1):
+        nodes = [n[x] for n in nodes for x in (label, "*") if x in n]
+        ends = {n.get("") for n in nodes}
+        if "exception" in ends:
+            exempt = k - 1
+        elif "plain" in ends:
+            size = k
+    return ".".join(labels[-(exempt or size) - 1 :])

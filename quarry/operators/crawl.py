@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from xml.parsers import expat
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from quarry.functions import urls
 from quarry.functions.text import stale
@@ -14,7 +18,7 @@ from quarry.sources.tables import materialise
 
 #: Default exclusions and limits.
 EXCLUDE = ("/cart", "/checkout", "/wp-admin")
-MOST_SITEMAP_URLS, SITEMAP_DEPTH = 50_000, 5
+MOST_SITEMAP_URLS, SITEMAP_DEPTH, MOST_SITEMAP_BYTES = 50_000, 5, 32 << 20
 HTML_TYPES = ("text/html", "application/xhtml+xml")
 
 
@@ -56,15 +60,7 @@ class Robots:
     sitemaps: list[str] = field(default_factory=list)
 
     def allowed(self, path: str) -> bool:
-        best = max(((len(p.encode()), allow) for p, allow in self.rules if re.match(pattern_regex(p), path)), default=(0, True))
-        return best[1]
-
-
-def pattern_regex(pattern: str) -> str:
-    """Robots pattern as an anchored regex: * is any run, a final $ the end."""
-    ends = pattern.endswith("$")
-    body = ".*".join(re.escape(part) for part in pattern.removesuffix("$").split("*"))
-    return f"^{body}" + ("$" if ends else "")
+        return RobotsAutomaton(self.rules).allowed(path)
 
 
 def parse_robots(text: str, user_agent: str) -> Robots:
@@ -101,26 +97,120 @@ def parse_robots(text: str, user_agent: str) -> Robots:
     return Robots(mine["rules"] if mine else [], mine["delay"] if mine else 0.0, sitemaps)
 
 
+class RobotsAutomaton:
+    """All patterns of a site in one trie, * an edge to a node that stays; read as a deterministic automaton that is built as paths need it.
+
+    The longest pattern (in bytes) that matches from the start wins, allow among equally long ones; none allows.
+    """
+
+    def __init__(self, rules: list[tuple[str, bool]], most_states: int = 50_000) -> None:
+        self.next: list[dict[str, int]] = [{}]
+        self.star: list[int | None] = [None]  # where * leads
+        self.stays = [False]
+        self.here: list[tuple[int, bool] | None] = [None]  # the rule that ends at the node
+        self.at_end: list[tuple[int, bool] | None] = [None]  # the one that ends there at the path's end only
+        for pattern, allow in rules:
+            node = 0
+            for c in pattern.removesuffix("$"):
+                node = self._star(node) if c == "*" else self._child(node, c)
+            told = self.at_end if pattern.endswith("$") else self.here
+            told[node] = max(filter(None, (told[node], (len(pattern.encode()), allow))))
+        self.most_states = most_states
+        self._reset()
+
+    def _new(self) -> int:
+        for part, value in ((self.next, {}), (self.star, None), (self.stays, False), (self.here, None), (self.at_end, None)):
+            part.append(value)
+        return len(self.next) - 1
+
+    def _child(self, node: int, c: str) -> int:
+        if c not in self.next[node]:
+            self.next[node][c] = self._new()
+        return self.next[node][c]
+
+    def _star(self, node: int) -> int:
+        if self.star[node] is None:
+            self.star[node] = self._new()
+            self.stays[self.star[node]] = True
+        return self.star[node]
+
+    def _reset(self) -> None:
+        self.number: dict[frozenset[int], int] = {}
+        self.nodes: list[frozenset[int]] = []
+        self.step: list[dict[str, int]] = []
+        self.best: list[tuple[int, bool] | None] = []
+        self.last: list[tuple[int, bool] | None] = []
+        self.start = self._state({0})
+
+    def _state(self, nodes: set[int]) -> int:
+        todo = list(nodes)
+        while todo:
+            if (star := self.star[todo.pop()]) is not None and star not in nodes:
+                nodes.add(star)
+                todo.append(star)
+        key = frozenset(nodes)
+        if key not in self.number:
+            self.number[key] = len(self.nodes)
+            self.nodes.append(key)
+            self.step.append({})
+            self.best.append(max((self.here[x] for x in key if self.here[x]), default=None))
+            self.last.append(max((self.at_end[x] for x in key if self.at_end[x]), default=None))
+        return self.number[key]
+
+    def allowed(self, path: str) -> bool:
+        if len(self.nodes) > self.most_states:
+            self._reset()
+        state, best = self.start, self.best[self.start] or (0, True)
+        for c in path:
+            after = self.step[state].get(c)
+            if after is None:
+                nodes = {self.next[x][c] for x in self.nodes[state] if c in self.next[x]} | {x for x in self.nodes[state] if self.stays[x]}
+                after = self.step[state][c] = self._state(nodes)
+            state = after
+            if (found := self.best[state]) and found > best:
+                best = found
+        return max(best, self.last[state] or best)[1]
+
+
 def robots_rules(robots: DataFrame, user_agent: str) -> DataFrame:
-    """(site, pattern, re, allow, length) of each site's robots text (site, text): files are read where they are."""
+    """(site, pattern, allow) of each site's robots text (site, text): files are read where they are."""
 
-    def rules(text: str | None) -> list[dict]:
-        return [{"pattern": p, "re": pattern_regex(p), "allow": allow, "length": len(p.encode())} for p, allow in parse_robots(text or "", user_agent).rules]
+    def rules(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"pattern": p, "allow": allow} for p, allow in parse_robots(t or "", user_agent).rules])
 
-    parse = F.pandas_udf(lambda texts: texts.map(rules), "array<struct<pattern:string,re:string,allow:boolean,length:int>>", F.PandasUDFType.SCALAR)
+    parse = F.pandas_udf(rules, "array<struct<pattern:string,allow:boolean>>")
     return robots.select("site", F.explode(parse("text")).alias("r")).select("site", "r.*")
 
 
-def robots_allowed(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+def robots_allowed(pages: DataFrame, rules: DataFrame, url: str = "url", salts: int = 16) -> DataFrame:
     """pages with allowed: the longest rule that matches path and query wins, allow on a tie; no rule allows.
 
-    Rules are folded to one array for each site first, so every page meets its own site's rules once, in an
-    equi-join by site, and no row is multiplied.
+    A site's rules come first in its stretch of a sorted partition and are compiled there once, into one automaton that all
+    its pages are read by; no page carries rules and none is matched rule by rule. Pages of one site are dealt to `salts`
+    stretches, each with its own copy of the rules, so a large site is no task of its own.
     """
-    ruled = rules.groupBy("site").agg(F.collect_list(F.struct("length", "allow", "re")).alias("_rules"))
+    listed = rules.groupBy("site").agg(F.collect_list(F.struct("pattern", "allow")).alias("_rules"))
+    listed = listed.select("site", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), "_rules")
     path = urls.path_and_query(F.col(url))
-    hits = F.filter("_rules", lambda r: F.call_function("regexp", F.col("_path"), r["re"]))
-    return pages.withColumn("_path", path).join(ruled, "site", "left").withColumn("allowed", F.coalesce(F.array_max(F.transform(hits, lambda r: F.struct(r["length"].alias("length"), r["allow"].alias("allow"))))["allow"], F.lit(True))).drop("_rules", "_path")
+    rows = pages.select("site", F.pmod(F.xxhash64(url), F.lit(salts)).cast("int").alias("_salt"), path.alias("_path"), F.struct(*pages.columns).alias("_row"))
+    both = rows.unionByName(listed, allowMissingColumns=True)
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.repartition(parts, "site", "_salt").sortWithinPartitions("site", "_salt", F.col("_rules").isNull())
+
+    def run(batches):
+        key, automaton = None, RobotsAutomaton([])
+        for b in batches:
+            keep, allowed = [], []
+            for i, (site, salt, told, where) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 1, 4, 2)), strict=True)):
+                if (site, salt) != key or told is not None:
+                    key, automaton = (site, salt), RobotsAutomaton([(r["pattern"], r["allow"]) for r in told or []])
+                if told is None:
+                    keep.append(i)
+                    allowed.append(automaton.allowed(where or ""))
+            yield pa.RecordBatch.from_arrays([b.column(3).take(pa.array(keep, pa.int64())), pa.array(allowed, pa.bool_())], ["_row", "allowed"])
+
+    schema = StructType([StructField("_row", rows.schema["_row"].dataType), StructField("allowed", BooleanType())])
+    return dealt.mapInArrow(run, schema).select("_row.*", "allowed")
 
 
 def delay(robots: Robots, rps: float = 1.0) -> float:
@@ -203,14 +293,63 @@ def stale_sites(crawled: DataFrame, now: Column, interval_seconds: int) -> DataF
 # --- sitemaps -----------------------------------------------------------------------------------------------
 
 
+class _Sitemap:
+    """Events of one sitemap: the root's name, and the text of each loc right below a url or sitemap right below the root."""
+
+    def __init__(self) -> None:
+        self.path: list[str] = []
+        self.locs: list[str] = []
+        self.root, self.text = "", None
+
+    def start(self, name: str, _: dict) -> None:
+        self.path.append(name.rsplit(":", 1)[-1])
+        self.root = self.root or self.path[0]
+        if self.path in (["urlset", "url", "loc"], ["sitemapindex", "sitemap", "loc"]):
+            self.text = []
+
+    def data(self, text: str) -> None:
+        if self.text is not None:
+            self.text.append(text)
+
+    def end(self, _: str) -> None:
+        if self.text is not None and len(self.path) == 3:
+            self.locs.append("".join(self.text).strip())
+            self.text = None
+        self.path.pop()
+
+
+def read_sitemap(xml: str, most_bytes: int = MOST_SITEMAP_BYTES, piece: int = 1 << 16) -> tuple[str, list[str]]:
+    """The kind (urlset or sitemapindex) and locs of a sitemap, by an incremental parser; ("", []) if it is malformed, longer
+    than most_bytes, declares entities, or is something else."""
+    data, found = xml.lstrip("\ufeff \t\r\n").encode("utf-8", "replace"), _Sitemap()
+    parser = expat.ParserCreate("utf-8")
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = found.start, found.end, found.data
+
+    def refuse(*_) -> None:
+        raise ValueError("entities are not read")
+
+    parser.EntityDeclHandler = refuse
+    try:
+        if len(data) > most_bytes:
+            raise ValueError("too long")
+        for at in range(0, len(data), piece):
+            parser.Parse(data[at : at + piece], False)
+        parser.Parse(b"", True)
+    except (expat.ExpatError, ValueError):
+        return "", []
+    return (found.root, [u for u in found.locs if u][:MOST_SITEMAP_URLS]) if found.root in ("urlset", "sitemapindex") else ("", [])
+
+
 def sitemap_urls(sitemaps: DataFrame, xml: str = "xml") -> DataFrame:
     """sitemaps' other columns with kind (urlset or sitemapindex) and each loc, at most 50,000 a file. Malformed files give none."""
-    loc = F.regexp_extract_all(F.col(xml), F.lit(r"<(?:[A-Za-z]+:)?loc>\s*(?:<!\[CDATA\[)?\s*([^<\]]*?)\s*(?:\]\]>)?\s*</(?:[A-Za-z]+:)?loc>"), F.lit(1))
-    decoded = F.transform(F.slice(loc, 1, MOST_SITEMAP_URLS), lambda u: F.replace(F.replace(F.replace(F.replace(F.replace(u, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'")), F.lit("&amp;"), F.lit("&")))
-    kind = F.when(F.col(xml).rlike(r"<(?:[A-Za-z]+:)?sitemapindex[\s>]"), "sitemapindex").otherwise("urlset")
-    whole = F.col(xml).rlike(r"</(?:[A-Za-z]+:)?(?:urlset|sitemapindex)>\s*$")
+
+    def read(texts: pd.Series) -> pd.DataFrame:
+        found = [read_sitemap(t or "") for t in texts]
+        return pd.DataFrame({"kind": [k for k, _ in found], "locs": [u for _, u in found]})
+
+    parsed = F.pandas_udf(read, "kind string, locs array<string>")
     rest = [c for c in sitemaps.columns if c != xml]
-    return sitemaps.filter(whole).select(*rest, kind.alias("kind"), F.explode(decoded).alias("loc")).filter("loc <> ''")
+    return sitemaps.select(*rest, parsed(F.col(xml)).alias("_s")).select(*rest, F.col("_s.kind").alias("kind"), F.explode("_s.locs").alias("loc"))
 
 
 def expand_sitemaps(roots: DataFrame, fetch, max_depth: int = SITEMAP_DEPTH, max_urls: int = MOST_SITEMAP_URLS) -> DataFrame:

@@ -110,6 +110,32 @@ def sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.sitemap_urls(file).select("kind", F.col("loc").alias("url"))
 
 
+#: Hosts under rules of every kind, and their registrable domains; the pages' first host labels stand for x.
+_HOSTS = [("x.b.co.uk", "b.co.uk"), ("x.github.io", "x.github.io"), ("a.x.github.io", "x.github.io"), ("a.x.kawasaki.jp", "a.x.kawasaki.jp"), ("x.city.kobe.jp", "city.kobe.jp"), ("x.www.ck", "www.ck"), ("a.x.bd", "a.x.bd"), ("x.example", "x.example"), ("co.uk", "co.uk")]
+
+
+def domain_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.regexp_extract(urls.host(F.col("url")), r"^([^.]+)", 1)
+    form = F.element_at(F.array(*[F.lit(h) for h, _ in _HOSTS]), (F.col("page_id") % len(_HOSTS) + 1).cast("int"))
+    named = _pages(spark, sf_dir).select("page_id", F.concat(F.lit("https://"), F.regexp_replace(form, r"(^|\.)x\.", F.concat(F.lit("$1"), label, F.lit("."))), F.lit("/p")).alias("u"))
+    return named.select("page_id", urls.registrable_domain(F.col("u")).alias("domain"))
+
+
+_DOMAINS_SQL = f"""SELECT page_id, regexp_replace(({[d for _, d in _HOSTS]})[page_id % {len(_HOSTS)} + 1], '(^|\\.)x\\.', '\\1' || regexp_extract({HOST}, '^([^.]+)', 1) || '.') AS domain FROM pages"""
+
+
+def sitemap_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemaps with comments, CDATA, prefixes, pictures' addresses and, each fourth one, an error."""
+    p = _pages(spark, sf_dir)
+    escaped = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    entry = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<s:url><s:loc>\n "), escaped, F.lit(" </s:loc><i:image><i:loc>https://x/picture</i:loc></i:image></s:url>"))).when(
+        F.col("page_id") % 3 == 1, F.concat(F.lit("<s:url><s:loc><![CDATA["), "url", F.lit("]]></s:loc></s:url>"))
+    ).otherwise(F.concat(F.lit("<!-- <url><loc>https://x/hidden</loc></url> --><s:url><s:lastmod>x</s:lastmod><s:loc>"), escaped, F.lit("</s:loc></s:url>")))
+    head, tail = F.lit('<?xml version="1.0" encoding="ISO-8859-1"?><s:urlset xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:i="urn:i">'), F.when(F.col("file") == 3, "<unclosed></s:urlset>").otherwise("</s:urlset>")
+    file = p.groupBy((F.col("page_id") % 4).alias("file")).agg(F.array_join(F.collect_list(entry), "").alias("body"))
+    return crawl.sitemap_urls(file.select("file", F.concat(head, "body", tail).alias("xml"))).select("file", "kind", F.col("loc").alias("url"))
+
+
 def politeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pages(spark, sf_dir).select("page_id", "url", urls.host(F.col("url")).alias("host"))
     wait = crawl.delay(crawl.parse_robots(ROBOTS, "quarry/0.1"))
@@ -131,5 +157,7 @@ QUERIES = {
     "bfs_frontier": (bfs, _BFS),
     "bfs_max_pages": (lambda spark, d: bfs(spark, d, 25), f"SELECT * FROM ({_BFS}) ORDER BY depth, url LIMIT 25"),
     "sitemap_urls": (sitemap, "SELECT 'urlset' AS kind, url FROM pages"),
+    "registrable_rules": (domain_rules, _DOMAINS_SQL),
+    "sitemap_events": (sitemap_events, "SELECT page_id % 4 AS file, 'urlset' AS kind, url FROM pages WHERE page_id % 4 <> 3"),
     "rate_limit_schedule": (politeness, f"SELECT page_id, 2.5::DOUBLE * (row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1) AS due FROM pages"),
 }

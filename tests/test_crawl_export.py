@@ -22,9 +22,9 @@ User-agent: quarry
 User-agent: second
 Disallow: /private
 Allow: /private/open
-Disallow: /*?sort=
-Disallow: /file.php$
-Crawl-delay: 2.5
+Disallow: /*?by=
+Disallow: /old.asp$
+Crawl-delay: 3.25
 nonsense
 Sitemap: https://x.y/s.xml
 User-agent: *
@@ -32,11 +32,11 @@ Disallow: /all
 """
 
 
-@pytest.mark.parametrize(("path", "ok"), [("/private", False), ("/private/open/x", True), ("/a?sort=1", False), ("/file.php", False), ("/file.php5", True), ("/all", True), ("/", True)])
+@pytest.mark.parametrize(("path", "ok"), [("/private", False), ("/private/open/x", True), ("/a?by=1", False), ("/old.asp", False), ("/old.aspx", True), ("/all", True), ("/", True)])
 def test_robots(path, ok):
     r = crawl.parse_robots(ROBOTS, "Quarry/0.1")
     assert r.allowed(path) is ok
-    assert (r.delay, r.sitemaps) == (2.5, ["https://x.y/s.xml"])
+    assert (r.delay, r.sitemaps) == (3.25, ["https://x.y/s.xml"])
     assert crawl.parse_robots(ROBOTS, "someone").allowed("/all") is False
     assert crawl.parse_robots("", "x").allowed("/") is True
 
@@ -47,6 +47,28 @@ def test_robots_join(spark):
     assert sorted(r.allowed for r in crawl.robots_allowed(urls, rules).collect()) == [False, True, True]
 
 
+def test_robots_automaton():
+    """Every pattern of a site at once, against one regular expression each."""
+    import random
+    import re
+
+    rng = random.Random(6)
+    for _ in range(60):
+        rules = [("".join(rng.choice("/ab*") for _ in range(rng.randint(1, 6))) + rng.choice(["", "$"]), rng.random() < 0.5) for _ in range(rng.randint(0, 8))]
+        automaton = crawl.RobotsAutomaton(rules, most_states=3)
+        for _ in range(40):
+            path = "/" + "".join(rng.choice("/abc") for _ in range(rng.randint(0, 8)))
+            fits = [(len(p), ok) for p, ok in rules if re.match(".*".join(map(re.escape, p.removesuffix("$").split("*"))) + ("$" if p.endswith("$") else ""), path)]
+            assert automaton.allowed(path) == max(fits, default=(0, True))[1]
+
+
+def test_sitemap_reader():
+    assert crawl.read_sitemap("\ufeff <urlset><!-- <url><loc>no</loc></url> --><url><loc>a<![CDATA[&b]]></loc><x><loc>no</loc></x></url></urlset>") == ("urlset", ["a&b"])
+    assert crawl.read_sitemap('<!DOCTYPE x [<!ENTITY e "e">]><urlset><url><loc>&e;</loc></url></urlset>') == ("", [])
+    assert crawl.read_sitemap("<urlset><url><loc>a</loc></url>") == ("", []) and crawl.read_sitemap("<html/>") == ("", []) and crawl.read_sitemap("") == ("", [])
+    assert crawl.read_sitemap("<urlset>" + "<url><loc>u</loc></url>" * 9 + "</urlset>", most_bytes=100) == ("", [])
+
+
 def test_scope_and_diff(spark):
     df = spark.createDataFrame([("https://a.example.com/x",), ("https://example.com/cartoon",), ("https://other.com/x",)], "url string")
     assert [r.url for r in df.filter(crawl.in_scope(F.col("url"), "example.com", (), ("/cart", "("))).collect()] == ["https://a.example.com/x"]
@@ -120,17 +142,17 @@ def test_config(tmp_path, monkeypatch):
 @pytest.mark.parametrize(
     ("home", "wanted"),
     [
-        ('<body class="woocommerce">', "https://s.x/?s=blue+shoes"),
-        ('<link href="https://cdn.shopify.com/a">', "https://s.x/search?q=blue+shoes"),
-        ('<meta name="generator" content="PrestaShop">', "https://s.x/search?controller=search&s=blue+shoes"),
-        ('<meta name="generator" content="OpenCart">', "https://s.x/index.php?route=product%2Fsearch&search=blue+shoes"),
-        ('<form role="search" action="/find"><input name="w" type="search"></form>', "https://s.x/find?w=blue+shoes"),
+        ('<body class="woocommerce">', "https://s.x/?s=tin+kettle"),
+        ('<link href="https://cdn.shopify.com/a">', "https://s.x/search?q=tin+kettle"),
+        ('<meta name="generator" content="PrestaShop">', "https://s.x/search?controller=search&s=tin+kettle"),
+        ('<meta name="generator" content="OpenCart">', "https://s.x/index.php?route=product%2Fsearch&search=tin+kettle"),
+        ('<form role="search" action="/seek"><input name="w" type="search"></form>', "https://s.x/seek?w=tin+kettle"),
         ('<form class="search-form" method="post"><input name="w"></form>', None),
         ("<p>", None),
     ],
 )
 def test_search_url(home, wanted):
-    assert search_url(home, "https://s.x", "blue shoes") == wanted
+    assert search_url(home, "https://s.x", "tin kettle") == wanted
 
 
 WORDS = "plain words about walking shoes " * 10

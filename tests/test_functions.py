@@ -30,7 +30,7 @@ NORMAL = [
     ("http://quarry.test:80/x/y", "http://quarry.test/x/y"), ("https://quarry.test:443", "https://quarry.test/"), ("http://quarry.test:443/x", "http://quarry.test:443/x"), ("https://quarry.test:9000/", "https://quarry.test:9000/"),
     ("https://quarry.test/x/#a/b", "https://quarry.test/x"), ("https://quarry.test/find?q=A&&r", "https://quarry.test/find?q=A&&r"), ("https://quarry.test/two words|bar", "https://quarry.test/two words|bar"),
 ]
-DOMAINS = [("quarry.test", "quarry.test"), ("a.b.c.quarry.test", "quarry.test"), ("news.bbc.co.uk", "bbc.co.uk"), ("https://Www.Quarry.Test:81/p", "quarry.test"), ("10.1.2.3:99", "10.1.2.3"), ("devbox", "devbox")]
+DOMAINS = [("quarry.test", "quarry.test"), ("a.b.c.quarry.test", "quarry.test"), ("news.bbc.co.uk", "bbc.co.uk"), ("https://Www.Quarry.Test:81/p", "quarry.test"), ("10.1.2.3:99", "10.1.2.3"), ("devbox", "devbox"), ("a.b.github.io", "b.github.io"), ("github.io", "github.io"), ("w.x.y.kawasaki.jp", "x.y.kawasaki.jp"), ("www.city.kobe.jp", "city.kobe.jp"), ("y.kawasaki.jp", "y.kawasaki.jp"), ("a.www.ck", "www.ck"), ("", "")]
 SLUGS = [("https://q.test", "index.md"), ("https://q.test/docs/", "docs.md"), ("https://q.test/Docs/Set%20up/step+1?lang=en#x", "Docs/Set-up/step-1.md"), ("https://q.test/x/y/../../z", "z.md"), ("https://q.test/naïve/Übung", "naïve/Übung.md"), ("https://q.test/(((/", "page.md")]
 
 
