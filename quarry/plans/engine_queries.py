@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import asdict
 
 import pandas as pd
@@ -19,6 +20,7 @@ from quarry.plans import tables
 from quarry.plans.crawl_queries import DOMAIN
 from quarry.sources import export
 from quarry.sources.fetch import Fetched, fetch_all
+from quarry.sources.tables import shared_folder
 
 SHOP = "https://shop.example"
 
@@ -140,7 +142,21 @@ def kb_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The markdown files of a site: every fifth page shares a slug with the one after it, and the later one stays."""
     p = tables.pages(spark, sf_dir).withColumn("url", F.concat(F.lit(f"https://{tables.SITE}/d/"), (F.col("doc_id") - F.when(F.col("doc_id") % 5 == 1, 1).otherwise(0)).cast("string"), F.when(F.col("doc_id") % 5 == 1, "?again").otherwise("")))
     rows = p.withColumn("markdown", F.concat(F.lit("body "), F.col("doc_id").cast("string"))).withColumn("headings", F.array(F.struct(F.lit(1).alias("level"), F.lit("H").alias("text"))))
-    out = export.markdown_documents(rows)
+    return _kb_shown(export.markdown_documents(rows))
+
+
+def kb_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files written by the sink, twice, and read back from the folder."""
+    folder = f"{shared_folder(spark)}/kb-{uuid.uuid4().hex}"
+    p = tables.pages(spark, sf_dir)
+    rows = p.withColumn("url", F.concat(F.lit(f"https://{tables.SITE}/d/"), F.col("doc_id").cast("string"))).withColumn("markdown", F.concat(F.lit("body "), F.col("doc_id").cast("string"))).withColumn("headings", F.expr("cast(array() as array<struct<level:int,text:string>>)"))
+    for body in ("old", "text"):
+        export.write_markdown(rows.withColumn("markdown", F.concat(F.lit(f"{body} "), F.col("doc_id").cast("string"))), folder)
+    found = spark.read.text(f"{folder}/{tables.SITE}/kb", wholetext=True, recursiveFileLookup=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"/kb/(.*)$", 1).alias("slug"), F.col("value").alias("document"))
+    return _kb_shown(found)
+
+
+def _kb_shown(out: DataFrame) -> DataFrame:
     return out.select("slug", F.regexp_extract("document", r"(?s)\n---\n\n(.*)\n$", 1).alias("body"), F.regexp_extract("document", r"(?m)^hash: '?([0-9a-f]+)", 1).alias("hash"), F.regexp_extract("document", r"^---\nurl: (.*)\n", 1).alias("url"))
 
 
@@ -167,5 +183,6 @@ QUERIES = {
     "site_list": (site_list, f"SELECT DISTINCT {DOMAIN} AS site FROM pages"),
     "prometheus_lines": (gauges, f"""SELECT 'quarry_index_' || k || '{{site="{tables.SITE}"}} ' || n AS value FROM (SELECT 'pages' AS k, count(*) AS n FROM documents UNION ALL SELECT 'chunks', count(*) FROM ({S.chunks()}) UNION ALL SELECT 'products', count(*) FROM part)"""),
     "kb_files": (kb_files, _KB),
+    "kb_written": (kb_written, f"SELECT 'd/' || doc_id || '.md' AS slug, 'text ' || doc_id AS body, hash, 'https://{tables.SITE}/d/' || doc_id AS url FROM ({S.pages()})"),
     "recrawl_due": (recrawl_due, "SELECT user_id::VARCHAR AS site, strftime(max(ts) + INTERVAL 36 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS due FROM events GROUP BY 1"),
 }
