@@ -19,7 +19,7 @@ def test_oracles_name_queries():
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["items_feed", "robots_allowed", "chunk_fixed", "page_title", "product_chain_methods", "price_parse", "bfs_frontier", "bfs_max_pages", "content_parts", "page_links", "fetch_pages", "sitemap_tree", "kb_files", "search_merged", "stream_changefeed", "site_stats", "chunk_heading_breadcrumbs"])
+@pytest.mark.parametrize("name", ["items_feed", "robots_allowed", "chunk_fixed", "page_title", "product_chain_methods", "price_parse", "bfs_frontier", "bfs_max_pages", "content_parts", "page_links", "fetch_pages", "sitemap_tree", "kb_files", "search_merged", "stream_changefeed", "site_stats", "chunk_heading_breadcrumbs", "search_soft_near", "search_common", "term_lexicon", "stats_merged", "verified_overlay", "registrable_rules", "sitemap_events", "stream_paced", "stream_recrawl_due"])
 def test_against_oracle(spark, name):
     import duckdb
 
