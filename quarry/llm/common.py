@@ -31,7 +31,11 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
+#: Rows of a table that is broadcast at most: some MB in the driver, however many such tables a plan has.
+FEW = 20_000
+
+
+def small(df: DataFrame, rows: int = FEW) -> DataFrame:
     """df to be broadcast if it is seen to have no more than so many rows; else df as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
@@ -41,7 +45,7 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner",
 
     A small table is broadcast; else its rows are repeated for each salt and rows are dealt to the salts by all their columns.
     """
-    if table.limit(300_001).count() <= 300_000:
+    if table.limit(FEW + 1).count() <= FEW:
         return rows.join(F.broadcast(table), key, how)
     spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).join(spread, [key, "_salt"], how).drop("_salt")

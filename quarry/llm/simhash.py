@@ -352,6 +352,8 @@ def partial_fingerprints(hashes: np.ndarray, parts: int = 16, rows: int = 3) ->
     return [majority(x) for x in least.reshape(parts, rows)]
 
 
+#: Rows (of three numbers) that are broadcast to be joined with whole texts, at most: a larger table shuffles the texts.
+KEYS = 60_000
 #: Stands for a null id in the order of rows: after all others.
 LAST = 2**63 - 1
 
@@ -388,7 +390,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             own = [np.unique(shingle_hashes(x.as_py(), width)).view(np.int64) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["node", "hashes"])
 
-    rows = _keyed(docs).join(small(nodes, 300_000), ["id", "k1", "k2"]).select("node", "text")
+    rows = _keyed(docs).join(small(nodes, KEYS), ["id", "k1", "k2"]).select("node", "text")
     return rows.mapInArrow(tidy(run), "node long, hashes array<long>")
 
 
@@ -548,11 +550,11 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = 3, similarity: float
     keyed = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = keyed.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"))
-    gone = counted.filter("stays is null").select("id", "k1", "k2")
-    left = keyed.join(small(gone, 300_000), ["id", "k1", "k2"], "left_anti")
-    twice = cut(counted.filter("stays and n > 1").select("id", "k1", "k2"))
-    if not twice.isEmpty():
-        again = left.join(small(twice, 300_000), ["id", "k1", "k2"], "left_semi")
-        one = again.groupBy("id", "k1", "k2").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row")
-        left = left.join(small(twice, 300_000), ["id", "k1", "k2"], "left_anti").select("_row").unionByName(one)
+    # one table of what is to be done with rows, in one join: gone, and stays but given more than once
+    told = cut(counted.filter("stays is null or n > 1").select("id", "k1", "k2", F.col("stays").isNotNull().alias("twice")))
+    marked = keyed.join(small(told, KEYS), ["id", "k1", "k2"], "left")
+    left = marked.filter("twice is null").select("_row")
+    if not told.filter("twice").isEmpty():
+        one = marked.filter("twice").groupBy("id", "k1", "k2").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row")
+        left = left.unionByName(one)
     return left.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -757,3 +757,21 @@ def test_rows_without_an_id_link_others(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprints", lambda docs, width: docs.select("doc_id", "fp"))
     got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(rows).collect()}
     assert got == {(1, 0): 1, (None, 7): 1, (2, 63): 1, (9, -1): 9, (None, 0x0F0F0F0F0F0F0F0F): None}
+
+
+def test_spread_join_broadcasts_small_tables_only(spark):
+    """What the driver gathers for a broadcast stays at some thousand rows, however large the input is."""
+    from quarry.llm.common import FEW, spread_join
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(60_000).select((F.col("id") % 40_000).alias("key"), "id")
+        table = spark.range(30_000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("v"))
+        joined = spread_join(rows, table, "key")
+        assert FEW < 30_000 and "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 50_000 and joined.filter("v <> key * 2").isEmpty()
+        few = spread_join(rows, table.filter("key < 100"), "key")
+        assert "Broadcast" in few._jdf.queryExecution().executedPlan().toString() and few.count() == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
