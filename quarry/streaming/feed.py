@@ -99,7 +99,8 @@ class FeedReader(DataSourceStreamReader):
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
         low, high = partition.low, partition.high
-        fresh = pc.field("seq") > low
+        # a row's number is its page's or its product's: one of the two lies in the slice
+        fresh = (pc.field("seq") > low) & (pc.field("seq") <= high)
         changed = set(_rows(partition.pages, ("url",), fresh).column(0).to_pylist())
         changed |= set(_rows(partition.products, ("page_url",), fresh).column(0).to_pylist())
         if not changed:
