@@ -352,10 +352,10 @@ def sitemap_urls(sitemaps: DataFrame, xml: str = "xml") -> DataFrame:
     return sitemaps.select(*rest, parsed(F.col(xml)).alias("_s")).select(*rest, F.col("_s.kind").alias("kind"), F.explode("_s.locs").alias("loc"))
 
 
-def expand_sitemaps(roots: DataFrame, fetch, max_depth: int = SITEMAP_DEPTH, max_urls: int = MOST_SITEMAP_URLS) -> DataFrame:
+def expand_sitemaps(roots: DataFrame, fetch, max_depth: int = SITEMAP_DEPTH, max_urls: int | None = MOST_SITEMAP_URLS) -> DataFrame:
     """Page urls of the sitemaps (url) that fetch, a function from a DataFrame (url) to one (url, xml), resolves.
 
-    Indexes are followed level by level; a sitemap is read once however often it is named.
+    Indexes are followed level by level; a sitemap is read once however often it is named. The first max_urls urls by name; all if None.
     """
     seen = materialise(roots.select("url").distinct())
     level, found = seen, None
@@ -367,4 +367,4 @@ def expand_sitemaps(roots: DataFrame, fetch, max_depth: int = SITEMAP_DEPTH, max
         if level.isEmpty():
             break
         seen = materialise(seen.unionByName(level))
-    return found.distinct().orderBy("url").limit(max_urls)
+    return found.distinct() if max_urls is None else found.distinct().orderBy("url").limit(max_urls)

@@ -13,7 +13,7 @@ from quarry.engine import search_url
 from quarry.functions import text as T
 from quarry.functions import urls
 from quarry.html import product
-from quarry.html.udfs import extracted
+from quarry.html.udfs import dealt, extracted
 from quarry.operators import crawl, index
 from quarry.plans import sqltext as S
 from quarry.plans import tables
@@ -51,14 +51,22 @@ _FETCHES = """SELECT 'https://h' || (p_partkey % 10) || '.example/' || p_partkey
   CASE WHEN refused THEN 'refused' ELSE '' END AS error FROM (SELECT *, p_partkey % 7 = 3 AS refused, p_partkey % 3 = 0 AS known FROM part)"""
 
 
+#: Page numbers from the first to the last of a url set at most: an eighth of them are in it, far fewer than a sitemap may hold.
+SET_SPAN = 80_000
+
+
 def sitemap_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index of indexes of url sets, with a loop in it: each file is read once."""
-    sets = _parts(spark, sf_dir).groupBy((F.col("p_partkey") % 8).alias("n")).agg(F.sort_array(F.collect_list(F.format_string("<url><loc>%s/p/%d</loc></url>", F.lit(SHOP), F.col("p_partkey")))).alias("u"))
-    files = sets.select(F.format_string("%s/set%d.xml", F.lit(SHOP), F.col("n")).alias("url"), F.concat(F.lit("<urlset>"), F.array_join("u", ""), F.lit("</urlset>")).alias("xml"))
+    """An index of indexes of url sets, with a loop in it: each file is read once. A set's index names its files, however many it takes."""
+    n, k = F.col("p_partkey") % 8, F.floor(F.col("p_partkey") / SET_SPAN)
+    of = lambda *c: F.format_string("%s/set%d-%d.xml", F.lit(SHOP), *c)
+    sets = _parts(spark, sf_dir).groupBy(n.alias("n"), k.alias("k")).agg(F.sort_array(F.collect_list(F.format_string("<url><loc>%s/p/%d</loc></url>", F.lit(SHOP), F.col("p_partkey")))).alias("u"))
+    files = sets.select(of("n", "k").alias("url"), F.concat(F.lit("<urlset>"), F.array_join("u", ""), F.lit("</urlset>")).alias("xml"))
+    named = _parts(spark, sf_dir).select(n.alias("n"), k.alias("k")).distinct().groupBy("n").agg(F.sort_array(F.collect_list(F.concat(F.lit("<sitemap><loc>"), of("n", "k"), F.lit("</loc></sitemap>")))).alias("u"))
+    files = files.union(named.select(F.format_string("%s/set%d.xml", F.lit(SHOP), F.col("n")), F.concat(F.lit("<sitemapindex>"), F.array_join("u", ""), F.lit("</sitemapindex>"))))
     listed = lambda name, refs: (f"{SHOP}/{name}.xml", "<sitemapindex>" + "".join(f"<sitemap><loc>{SHOP}/{r}.xml</loc></sitemap>" for r in refs) + "</sitemapindex>")
     files = files.union(spark.createDataFrame([listed("top", ["a", "b", "set0"]), listed("a", ["set1", "set2", "top"]), listed("b", ["set3", "missing"])], "url string, xml string"))
     roots = spark.createDataFrame([(f"{SHOP}/top.xml",)], "url string")
-    return crawl.expand_sitemaps(roots, lambda level: level.join(files, "url"))
+    return crawl.expand_sitemaps(roots, lambda level: level.join(files, "url"), max_urls=None)
 
 
 def search_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +74,7 @@ def search_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<form role="search" action="/find"><input name="w" type="search"></form>', '<form class="search-form"><input type="hidden" name="h"><input name="q"></form>', '<form class="search-form" method="post"><input name="q"></form>',
         '<body class="woocommerce">', '<link href="https://cdn.shopify.com/a">', "<p>none</p>",
     )])
-    rows = _parts(spark, sf_dir).select("p_partkey", F.col("p_name").alias("query"), F.element_at(pages, (F.col("p_partkey") % 6 + 1).cast("int")).alias("home"))
+    rows = dealt(_parts(spark, sf_dir), "p_partkey").select("p_partkey", F.col("p_name").alias("query"), F.element_at(pages, (F.col("p_partkey") % 6 + 1).cast("int")).alias("home"))
 
     def run(batches):
         for pdf in batches:
@@ -80,7 +88,7 @@ _FORMS = f"""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '{SHOP}/find?w=' |
 
 
 def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _parts(spark, sf_dir)
+    p = dealt(_parts(spark, sf_dir), "p_partkey")
     sold = F.to_json(F.struct(F.lit(True).alias("is_product"), F.col("p_name").alias("name"), F.col("p_size").alias("price"), F.lit("EUR").alias("currency"), F.lit("sold out").alias("availability"), F.lit("i.png").alias("image")))
     kinds = [sold, F.concat(F.lit("```json\n"), sold, F.lit("\n```")), F.replace(sold, F.lit("true"), F.lit("false")), F.lit("no product here"), F.lit('{"is_product": true, "name": ""}')]
     rows = p.select("p_partkey", F.element_at(F.array(*kinds), (F.col("p_partkey") % 5 + 1).cast("int")).alias("reply"))
@@ -95,7 +103,7 @@ def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def product_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Address, image, offers in lists and aggregates, prices as numbers and texts, and the source itself."""
-    p = _parts(spark, sf_dir)
+    p = dealt(_parts(spark, sf_dir), "p_partkey")
     k, price = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     offers = F.element_at(F.array(
         F.concat(F.lit('{"@type":"Offer","price":'), price, F.lit("}")), F.concat(F.lit('[{"price":"'), price, F.lit(',50"},{"price":1}]')),

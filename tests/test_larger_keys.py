@@ -32,3 +32,7 @@ def _documents(spark, n, step=1):
 def test_feed_of_numbers_beyond_the_first_stop(spark, tmp_path):
     """Products and pages whose first numbers are greater than those at which the stream is stopped."""
     assert _matches(spark, "stream_feed", folder=tmp_path, documents=_documents(spark, 60, 30_001), part=_parts(spark, 60, 30_001)) > 60
+
+
+def test_sitemap_tree_of_more_urls_than_a_file_holds(spark, tmp_path):
+    assert _matches(spark, "sitemap_tree", folder=tmp_path, part=_parts(spark, 104_000)) == 52_000
