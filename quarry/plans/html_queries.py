@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.html.udfs import extracted
+from quarry.html.udfs import dealt, extracted
 from quarry.plans import tables
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.read(spark, sf_dir, "pages").select("page_id", "url", extracted("url", "html").alias("x"))
+    return dealt(tables.read(spark, sf_dir, "pages"), "page_id").select("page_id", "url", extracted("url", "html").alias("x"))
 
 
 def title(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def _join(*parts: str | Column) -> Column:
 
 def _shops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part as a page of one of eight kinds. Class names and generators are the platforms' own, fixed values."""
-    p = tables.read(spark, sf_dir, "part")
+    p = dealt(tables.read(spark, sf_dir, "part"), "p_partkey")
     name, price = F.col("p_name"), F.format_string("%.2f", F.col("p_retailprice"))
     offer = F.struct(F.lit("Offer").alias("@type"), price.alias("price"), F.lit("USD").alias("priceCurrency"), F.lit("https://schema.org/InStock").alias("availability"))
     ld = F.to_json(F.struct(F.lit("Product").alias("@type"), name.alias("name"), F.col("p_type").alias("description"), offer.alias("offers")))
@@ -90,7 +90,7 @@ def platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part as a page of known markup: what the extraction makes of it can be said in SQL."""
-    p = tables.read(spark, sf_dir, "part")
+    p = dealt(tables.read(spark, sf_dir, "part"), "p_partkey")
     name, size = F.col("p_name"), F.col("p_size").cast("string")
     html = _join(
         '<html lang="en"><head><title>  ', name, ' \n shown</title><meta name="description" content="', F.col("p_type"), '"></head><body><nav><a href="/menu">menu</a></nav><main><h1>', name, "</h1><p>Made by <b>", F.col("p_brand"),
@@ -116,7 +116,7 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tables.read(spark, sf_dir, "part")
     card = F.concat(F.lit('<li class="product"><a href="/p/'), F.col("p_partkey"), F.lit('"><img data-src="/i.png"><h2>'), F.col("p_name"), F.lit('</h2></a><span class="price">€'), F.format_string("%.2f", F.col("p_retailprice")), F.lit("</span></li>"))
     pages = p.groupBy(F.floor(F.col("p_partkey") / 30).alias("list")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", card.alias("c")))), lambda s: s["c"]), "").alias("cards"))
-    x = pages.select("list", extracted(F.lit("https://shop.example/list"), F.concat(F.lit("<ul>"), "cards", F.lit("</ul>"))).alias("x"))
+    x = dealt(pages, "list").select("list", extracted(F.lit("https://shop.example/list"), F.concat(F.lit("<ul>"), "cards", F.lit("</ul>"))).alias("x"))
     return x.select("list", F.inline("x.items")).select("list", "url", "name", "price", "currency", "image")
 
 

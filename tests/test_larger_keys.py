@@ -29,10 +29,27 @@ def _documents(spark, n, step=1):
     return spark.range(n).selectExpr(f"id * {step} AS doc_id", "concat('text of ', id) AS text", "'en' AS lang", "'web' AS source", "10L AS n_chars")
 
 
+def test_sitemap_tree_of_more_urls_than_a_file_holds(spark, tmp_path):
+    assert _matches(spark, "sitemap_tree", folder=tmp_path, part=_parts(spark, 104_000)) == 52_000
+
+
 def test_feed_of_numbers_beyond_the_first_stop(spark, tmp_path):
     """Products and pages whose first numbers are greater than those at which the stream is stopped."""
     assert _matches(spark, "stream_feed", folder=tmp_path, documents=_documents(spark, 60, 30_001), part=_parts(spark, 60, 30_001)) > 60
 
 
-def test_sitemap_tree_of_more_urls_than_a_file_holds(spark, tmp_path):
-    assert _matches(spark, "sitemap_tree", folder=tmp_path, part=_parts(spark, 104_000)) == 52_000
+def test_references_in_titles(spark):
+    """As HTML reads them: &quot; is a quotation mark, and &amp needs no semicolon before what is no letter."""
+    doc = parse('<title>a &quot;b&quot; &lt;c&gt; d&amp</title><h1>a &quot;b&quot; d&amp</h1>')
+    page = content.extract("", "https://a.example/", doc)
+    assert page.title == 'a "b" <c> d&' and page.headings == [(1, 'a "b" d&')]
+
+
+def test_pages_are_dealt_to_tasks(spark):
+    """One row group, one task that reads it; parsing takes as many tasks as a shuffle has, and batches stay small."""
+    rows = spark.range(0, 1000, 1, 1)
+    assert rows.rdd.getNumPartitions() == 1
+    got = dealt(rows, "id")
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert got.count() == 1000
