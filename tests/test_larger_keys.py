@@ -53,3 +53,14 @@ def test_pages_are_dealt_to_tasks(spark):
     assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
     assert got.count() == 1000
+
+
+def test_tables_made_of_those_just_written(spark, tmp_path):
+    """A commit's lookups come from its postings as stored: nothing else is kept or shuffled for them."""
+    from quarry.sources.tables import Store
+
+    store = Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([("s", "u", 0, 3, "a", 2.0, 1, 0), ("s", "v", 0, 5, "a", 1.0, 1, 0), ("s", "w", 0, 5, "b", 1.0, 40, 1)], "site string, page_url string, ord int, doc_len long, term string, f double, block int, bucket int")
+    count = lambda read: {"lexicon": read("postings").groupBy("site", "term", "bucket").agg({"*": "count"}).withColumnRenamed("count(1)", "rows")}
+    store.commit(store.snapshot("s"), {"postings": rows}, [0, 1], then=count)
+    assert sorted((r.term, r.rows) for r in store.read("lexicon", "s").collect()) == [("a", 2), ("b", 1)]
