@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import chunk, index
 from quarry.operators.search import SearchIndex
-from quarry.sources.tables import materialise, shared_folder
+from quarry.sources.tables import discard, shared_folder
 
 SITE = "docs.example"
 CRAWLED = "2024-01-01 00:00:00"
@@ -19,6 +19,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt to as many tasks as a shuffle has: reading is quick, but one row group of a file may hold a million rows to be cut or counted."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -32,7 +37,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str, target: int = 1200, overlap: int = 100) -> DataFrame:
     p = pages(spark, sf_dir)
-    return chunk.chunk_texts(p.select("site", F.col("url").alias("page_url"), "text"), ["site", "page_url"], "text", target, overlap)
+    return chunk.chunk_texts(dealt(p.select("site", F.col("url").alias("page_url"), "text"), "site", "page_url"), ["site", "page_url"], "text", target, overlap)
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,12 +70,15 @@ def stored_index(spark: SparkSession, sf_dir: str, with_products: bool = True) -
     key = (spark.sparkContext.applicationId, sf_dir, *changed)
     if key not in _STORED:
         root = f"{shared_folder(spark)}/search-index-{uuid.uuid4().hex}"
-        rows = materialise(index.indexed_chunks(chunks(spark, sf_dir), pages(spark, sf_dir)).withColumn("doc_len", index.doc_len(index.PAGE_WEIGHTS)))
-        sold = products(spark, sf_dir)
-        index.by_term(index.postings(rows.drop("doc_len"), ["site", "page_url", "ord"], index.PAGE_WEIGHTS)).write.parquet(f"{root}/postings")
-        index.by_term(index.product_postings(sold)).write.parquet(f"{root}/product_postings")
-        tables = {"chunks": rows, "stats": index.corpus_stats(rows, index.PAGE_WEIGHTS), "products": sold, "product_stats": index.corpus_stats(sold, index.PRODUCT_WEIGHTS)}
-        for part in ("", "product_"):
+        built = index.indexed_chunks(chunks(spark, sf_dir), pages(spark, sf_dir)).withColumn("doc_len", index.doc_len(index.PAGE_WEIGHTS))
+        built.write.parquet(f"{root}/chunks")
+        rows, sold = spark.read.parquet(f"{root}/chunks"), dealt(products(spark, sf_dir), "site", "page_url")
+        counted = {"": index.postings(dealt(rows.drop("doc_len"), "site", "page_url", "ord"), ["site", "page_url", "ord"], index.PAGE_WEIGHTS), "product_": index.product_postings(sold)}
+        tables = {"stats": index.corpus_stats(rows, index.PAGE_WEIGHTS), "products": sold, "product_stats": index.corpus_stats(sold, index.PRODUCT_WEIGHTS)}
+        for part, found in counted.items():
+            found.write.parquet(f"{root}/{part}counted")  # ranges of terms need a sample: texts are not counted twice for it
+            index.by_term(spark.read.parquet(f"{root}/{part}counted")).write.parquet(f"{root}/{part}postings")
+            discard(spark, f"{root}/{part}counted")
             found = spark.read.parquet(f"{root}/{part}postings")
             tables |= {f"{part}lexicon": index.lexicon(found), f"{part}bounds": index.block_bounds(found)}
         for name, df in tables.items():

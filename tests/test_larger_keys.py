@@ -64,3 +64,11 @@ def test_tables_made_of_those_just_written(spark, tmp_path):
     count = lambda read: {"lexicon": read("postings").groupBy("site", "term", "bucket").agg({"*": "count"}).withColumnRenamed("count(1)", "rows")}
     store.commit(store.snapshot("s"), {"postings": rows}, [0, 1], then=count)
     assert sorted((r.term, r.rows) for r in store.read("lexicon", "s").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_chunks_are_cut_by_many_tasks(spark, tmp_path):
+    """One row group of documents, one task that reads it; cutting and counting take as many tasks as a shuffle has."""
+    from quarry.plans import tables
+
+    _documents(spark, 50).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert tables.chunks(spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
