@@ -8,8 +8,10 @@ words, whatever the length. Plain tokens pass unchanged.
 
 Terms (restored words, and opening five letters of longer ones) get the lower confidence bound of their
 log-odds between toxic and other documents; a logistic model over a text's strongest terms gives the score.
-Learning uses at most `sample_docs` labelled documents of each class, chosen by hash outside the held-out
-fold; scoring covers all rows and whole texts. Each distinct token is judged once per worker (bounded cache).
+Learning uses every labelled document outside the held-out fold, and its whole text: terms and trigrams are counted by
+Spark, the bounds are taken there, and each Newton round of the logistic model sums its terms over all rows where they are.
+The driver gets the distinct trigrams, the terms that speak for toxicity and a row of sums a task. Scoring covers all rows
+and whole texts. Each distinct token is judged once per worker (bounded cache).
 
 Nulls: a null text is empty and scores as a text without terms. Null labels are not learned; with no labels
 of one class the score is 0 everywhere. An id with both labels counts as toxic. Repeated rows and equal ids come back
@@ -23,14 +25,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, hash_sample, held_out, tidy
+from quarry.llm.common import cut, held_out, tidy
+from quarry.sources.tables import compact, discard
 
 #: What a character may imitate.
 LOOKS = {
@@ -52,13 +55,13 @@ PREFIX = 5
 class CharModel:
     """Trigram log-probabilities over letters, with backing-off to smaller contexts by fixed weights."""
 
-    def __init__(self, words: dict[str, int]) -> None:
+    def __init__(self, words: dict[str, int] | None = None, trigrams: Iterable[tuple[str, str, int]] = ()) -> None:
+        """From words with their counts, or from counts of (two letters, the next one); shorter contexts are sums of these."""
         tri: dict[str, Counter] = defaultdict(Counter)
-        for w, n in words.items():
-            s = "^^" + w + "$"
-            for i in range(2, len(s)):
-                for k in (0, 1, 2):
-                    tri[s[i - k : i]][s[i]] += n
+        spelled = ((f"^^{w}$", n) for w, n in (words or {}).items())
+        for context, x, n in [*((s[i - 2 : i], s[i], n) for s, n in spelled for i in range(2, len(s))), *trigrams]:
+            for k in (0, 1, 2):
+                tri[context[2 - k :]][x] += n
         letters = max(2, len(tri[""]))
         self.floor = math.log(1e-4 / letters)
         sums = {c: sum(v.values()) for c, v in tri.items()}
@@ -177,55 +180,88 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> list[float]:
-    """Logistic regression by Newton's method."""
-    w = np.zeros(x.shape[1])
+def fit(data: DataFrame, features: int, ridge: float = 1.0, rounds: int = 25, close: float = 1e-9) -> list[float]:
+    """Logistic regression by Newton's method on all rows (x, toxic): each task sums up its rows' gradients and Hessians."""
+    w = np.zeros(features)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w = w - np.linalg.solve(hess, grad)
+
+        def run(batches: Iterator[pa.RecordBatch], w: np.ndarray = w) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(features + features * features)
+            for b in batches:
+                x, y = b.column(0).flatten().to_numpy().reshape(-1, features), b.column(1).to_numpy().astype(float)
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                sums += np.concatenate([x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.float64()))], ["sums"])
+
+        parts = data.select("x", "toxic").mapInArrow(run, "sums array<double>").toArrow().column(0).to_pylist()
+        sums = np.array([math.fsum(v) for v in zip(*parts, strict=True)])
+        grad, hess = sums[:features] + ridge * w, sums[features:].reshape(features, features) + ridge * np.eye(features)
+        step = np.linalg.solve(hess, grad)
+        w = w - step
+        if np.abs(step).max() < close * (1 + np.abs(w).max()):
+            break
     return w.tolist()
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000, least_docs: int = 4, bound: float = 1.0) -> Model:
-    """Learn from labelled documents outside the held-out fold; sample_docs bounds the rows of each class."""
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic) of every document with a label, outside the held-out fold; joined by size as Spark knows it."""
     marks = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(~held_out("doc_id"))
-    chosen = hash_sample(marks, "toxic", sample_docs, ["doc_id"])  # two classes of sample_docs rows: broadcast by that bound
-    first = F.min(F.col("text").cast("string")).alias("text")  # of rows with equal ids
-    rows = cut(docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(first).select("text", "toxic"))
+    first = F.min("text").alias("text")  # of rows with equal ids
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null").filter(~held_out("doc_id"))
+    return texts.join(marks, "doc_id").groupBy("doc_id", "toxic").agg(first).select("text", "toxic")
+
+
+def vocabulary(rows: DataFrame, least_docs: int) -> DataFrame:
+    """(t, bad, good): in how many toxic and other texts each word and opening of a longer word (with *) stands, if in least_docs."""
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     with_prefix = F.array_distinct(F.concat(words, F.transform(F.filter(words, lambda w: F.length(w) > PREFIX), lambda w: F.concat(F.substring(w, 1, PREFIX), F.lit("*")))))
-    n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    if not n.get(0) or not n.get(1):
-        return Model(None, {}, [])
     seen = rows.select("toxic", F.explode(with_prefix).alias("t")).filter("t <> ''").groupBy("t").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    counted = seen.filter(F.col("bad") + F.col("good") >= least_docs).toArrow()  # bounded by the sample
-    weights, spelled = {}, {}
-    for t, bad, good in zip(*(counted.column(c).to_pylist() for c in ("t", "bad", "good")), strict=True):
-        if not t.endswith("*"):
-            spelled[t] = bad + good
-        odds = math.log((bad + 0.5) / (n[1] + 1)) - math.log((good + 0.5) / (n[0] + 1))
-        low = odds - 1.64 * math.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
-        if low > bound:
-            weights[t] = low
-    model = Model(CharModel(spelled), weights, [])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([shared.value.features(x.as_py() or "") for x in b.column(0)], pa.list_(pa.float64())), b.column(1)], ["x", "toxic"])
-
-    data = rows.mapInArrow(tidy(run), "x array<double>, toxic int").toArrow()
-    x, y = np.array(data.column("x").to_pylist()), np.array(data.column("toxic").to_pylist(), dtype=float)
-    model.w = fit(x, y)
+    return seen.filter(F.col("bad") + F.col("good") >= least_docs)
+
+
+def trigram_counts(counted: DataFrame) -> DataFrame:
+    """(context, x, n) over the words of a vocabulary: as many rows as there are different trigrams."""
+    places = counted.filter("not endswith(t, '*')").select(F.concat(F.lit("^^"), "t", F.lit("$")).alias("s"), (F.col("bad") + F.col("good")).alias("n"))
+    each = places.select("s", "n", F.explode(F.sequence(F.lit(3), F.length("s"))).alias("i"))
+    return each.groupBy(F.col("s").substr(F.col("i") - 2, F.lit(2)).alias("context"), F.col("s").substr(F.col("i"), F.lit(1)).alias("x")).agg(F.sum("n").alias("n"))
+
+
+def lower_bound(n: dict[int, int]) -> Column:
+    """Of a term's log-odds between n[1] toxic and n[0] other texts."""
+    bad, good = F.col("bad") + 0.5, F.col("good") + 0.5
+    return F.log(bad / (n[1] + 1)) - F.log(good / (n[0] + 1)) - 1.64 * F.sqrt(1 / bad + 1 / good)
+
+
+def train(docs: DataFrame, labels: DataFrame, least_docs: int = 4, bound: float = 1.0) -> Model:
+    """Learn from all labelled documents outside the held-out fold."""
+    spark = docs.sparkSession
+    rows, folder = compact(labelled(docs, labels))
+    try:
+        n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+        if not n.get(0) or not n.get(1):
+            return Model(None, {}, [])
+        counted = cut(vocabulary(rows, least_docs))
+        told = counted.select("t", lower_bound(n).alias("low")).filter(F.col("low") > bound).toArrow()
+        spelled = trigram_counts(counted).toArrow()
+        chars = CharModel(trigrams=zip(*(spelled.column(c).to_pylist() for c in ("context", "x", "n")), strict=True))
+        model = Model(chars, dict(zip(told.column("t").to_pylist(), told.column("low").to_pylist(), strict=True)), [])
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([shared.value.features(x.as_py() or "") for x in b.column(0)], pa.list_(pa.float64())), b.column(1)], ["x", "toxic"])
+
+        data = cut(rows.mapInArrow(tidy(run), "x array<double>, toxic int"))
+        model.w = fit(data, len(model.features("")))
+    finally:
+        discard(spark, folder)
     return model
 
 
 def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
     """The carried columns (doc_id) of each row with score."""
     keep = carry or ["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the terms that speak for toxicity, and the trigrams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -434,6 +434,29 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, toxicity.train(docs, labels)).count() == 0
 
 
+def test_toxicity_learns_every_labelled_document(spark):
+    """Terms, trigrams and the logistic model come from all labelled rows: 3,200 toxic ones, where rare words stand in twelve each."""
+    rare = [f"zaq{a}{b}ump" for a in "abcdef" for b in "ghijk"]
+    known = [i for i in range(12_000) if zlib.crc32(str(i).encode()) % 5]
+    toxic = known[1::3]
+    put = {i: rare[k // 12] for k, i in enumerate(toxic[7 :: len(toxic) // 360][:360])}
+    rows = [(i, f"house river {'garden' if i % 2 else 'window'} {put.get(i, 'letter')} {'nasty' if i in put or i % 7 == 0 else 'fine'}") for i in range(12_000)]
+    bad = set(toxic)
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i in bad)) for i in range(12_000)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    seen = {}
+    for i in known:
+        for t in {t for w in rows[i][1].split() for t in toxicity.terms(w)}:
+            seen.setdefault(t, [0, 0])[i in bad] += 1
+    n = [len(known) - len(bad), len(bad)]
+    low = {t: np.log((b + 0.5) / (n[1] + 1)) - np.log((g + 0.5) / (n[0] + 1)) - 1.64 * np.sqrt(1 / (b + 0.5) + 1 / (g + 0.5)) for t, (g, b) in seen.items() if g + b >= 4}
+    assert model.weights == pytest.approx({t: v for t, v in low.items() if v > 1}) and set(rare) <= set(model.weights)
+    assert model.chars.table == toxicity.CharModel({t: sum(seen[t]) for t in low if not t.endswith("*")}).table
+    x, y = np.array([model.features(rows[i][1]) for i in known]), np.array([i in bad for i in known], dtype=float)
+    gradient = x.T @ (1 / (1 + np.exp(-x @ np.array(model.w))) - y) + np.array(model.w)
+    assert np.abs(gradient).max() < 1e-3
+
+
 def test_restore():
     chars = toxicity.CharModel({"idiot": 50, "stupid": 50, "house": 80, "scum": 30, "letter": 40})
     for token, word in [("1d10t", "idiot"), ("$tup1d", "stupid"), ("s.c.u.m", "scum"), ("iiidiot", "idiot"), ("s t u p i d", "stupid"), ("house", "house")]:
