@@ -1,4 +1,4 @@
-"""HTML extraction (operator 9): structure first, then a host suffix array for pages without structure.
+"""HTML extraction (operator 9): a host suffix array over every page, then an exact check by the page's own marks.
 
 A page is read as a stream of blocks, and each block gets a kind from the containers around it:
 * BAD: menus, page headers, footers, sidebars, dialogs, scripts and reader comments (by tag, role, class or id);
@@ -6,20 +6,19 @@ A page is read as a stream of blocks, and each block gets a kind from the contai
 * WEAK: what only a class name or a form speaks against (ASIDE inside an article, INNER for an article in it). Such containers
   may be wrappers: INNER counts as MAIN where there is no other. The rest are judged by their place, whatever their length:
   one that holds the headline is text, and so is the first one with a paragraph where what is around it has no text
-  of its own but headings. Else they are boilerplate;
+  of its own but headings; one that the host repeats as a whole gives way to one that it does not. Else they are boilerplate;
 * PLAIN: the rest.
 
-If the page marks its article, the MAIN blocks are the text: whole, whatever repeats elsewhere, since copied articles and
-quoted passages are still articles (README has figures of what repetition alone would take from them).
+The pages of a host are token streams. The suffixes that start at a token outside of articles are cut to `RUN` tokens (fewer
+only from a block's start to the page's end) and named by a hash of host and tokens; sorted by name they are the host's suffix array as
+far as a common prefix of RUN tokens can tell. A longer common prefix of two suffixes is a chain of those of RUN tokens, so
+no more of the order is needed to cover repeated substrings exactly. Neighbours of one name are a repeated substring; one on `least_pages`
+pages of the host with distinct token streams covers its tokens, wherever in a block it lies. Every page meets its covered suffixes.
 
-A page without such a mark keeps the tokens of its PLAIN blocks that its host does not repeat. The hosts' pages are token
-streams; the suffixes that start at a token are cut to `RUN` tokens (fewer only from a block's start to the
-page's end) and grouped by host and tokens, which is the suffix array's order as far as a common prefix of RUN
-tokens can tell. A suffix met on `least_pages` pages of the host with distinct token streams covers its tokens, so
-a repeated substring of RUN tokens or more is covered exactly, wherever in a block it lies. A whole block or RUN tokens
-of it and more that are covered go; the rest of each block stays. Of a suffix's pages each batch passes on `least_pages` at
-most, which is enough to count that far, so a host of any size is never gathered. Only unmarked pages are joined with what
-was found.
+What the array covers goes: a whole block, or RUN tokens of it and more; the rest of each block stays. The check that
+follows sets right what the page itself marks: MAIN blocks are whole, whatever repeats elsewhere, since copied articles and quoted
+passages are still articles (README has figures of what repetition alone would take from them); if there are any, and of BAD blocks always, what is
+outside goes too where nothing repeats it.
 
 Nulls: a null html is an empty page with an empty text; a null url is a host of its own. Repeated rows come
 back each, and a page given many times counts as one; there are no ties to break. Pages of any length are read whole, in time
@@ -39,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, tidy
+from quarry.llm.common import tidy
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -96,26 +95,30 @@ class _Box:
     paragraph: bool = False  # a p, also in a box within
 
 
-def _settle(found: list[tuple[int, str, int | None]], boxes: list[_Box], text: set[int]) -> list[tuple[int, str]]:
+def _settle(found: list[tuple[int, str, int | None]], boxes: list[_Box], text: set[int], repeated: set[int] | None = None) -> list[tuple[int, str]]:
     """Boxes are judged by their place. One that holds the headline is text; so is the first one with a paragraph where
-    what is around it (the article, the page or a box that is text) has no text of its own but headings and its header."""
+    what is around it (the article, the page or a box that is text) has no text of its own but headings and its header.
+    Boxes that the host repeats come after the others of their place."""
     article = MAIN in text or INNER in text or any(b.kind == ASIDE and (b.headline or b.paragraph) for b in boxes)
     kept: set[int | None] = {None}
     filled: set[tuple[int | None, int]] = set()
+    fresh = {(b.around, b.kind) for i, b in enumerate(boxes) if b.paragraph and i not in repeated} if repeated else set()
     for i, b in enumerate(boxes):  # outer ones come first
         root = article and (MAIN in text or INNER in text) if b.kind == ASIDE else PLAIN in text
         own = root if b.around is None else boxes[b.around].text
         if b.around not in kept or b.kind == WEAK and article:
             continue
-        if b.headline or b.paragraph and not own and (b.around, b.kind) not in filled:
+        late = repeated and i in repeated and (b.around, b.kind) in fresh
+        if b.headline or b.paragraph and not own and not late and (b.around, b.kind) not in filled:
             kept.add(i)
             filled.add((b.around, b.kind))
     told = {INNER: BAD if MAIN in {k for k, _, _ in found} else MAIN, ASIDE: MAIN, WEAK: PLAIN}
     return [(BAD if box not in kept else told.get(kind, kind), t) for kind, t, box in found]
 
 
-def blocks(page: str) -> list[tuple[int, str]]:
-    """(kind, text) of the page's blocks in order; texts are decoded, white space folded, never empty."""
+def parse(page: str) -> tuple[list[tuple[int, str, int | None]], list[_Box], set[int]]:
+    """(kind, text, box) of the page's blocks in order, its boxes, and the kinds that have text outside of them; texts are
+    decoded, white space folded, never empty."""
     out: list[tuple[int, str, int | None]] = []
     boxes: list[_Box] = []
     parts: list[str] = []
@@ -219,11 +222,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if held is not None:
             parts, kind, box = held, around, outer
             close()
-    return _settle(out, boxes, text_of)
-
-
-def marked(found: list[tuple[int, str]]) -> bool:
-    return any(k == MAIN for k, _ in found)
+    return out, boxes, text_of
 
 
 def host_of(url: str | None) -> str:
@@ -231,80 +230,133 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def suffix_keys(url: str | None, found: list[tuple[int, str]], articles: bool = True) -> list[int | None]:
-    """For each token of the page, the host's key of the RUN tokens from it; at the stream's end fewer, and only from a block's start. Tokens of articles only if asked for."""
+def suffix_keys(url: str | None, texts: list[str], wanted: list[bool]) -> list[int | None]:
+    """For each token of the page, the host's name of the RUN tokens from it; at the stream's end fewer, and only from a block's start. Tokens of wanted blocks only."""
     host = host_of(url)
     stream: list[str] = []
-    starts, wanted = set(), []
-    for kind, text in found:
+    starts, places = set(), []
+    for text, asked in zip(texts, wanted, strict=True):
         tokens = text.split()
-        if articles or kind != MAIN:
+        if asked:
             starts.add(len(stream))
-            wanted.append(range(len(stream), len(stream) + len(tokens)))
+            places.append(range(len(stream), len(stream) + len(tokens)))
         stream += tokens
     full = len(stream) - RUN
     keys: list[int | None] = [None] * len(stream)
-    for places in wanted:
-        for a in places:
+    for block in places:
+        for a in block:
             if a <= full or a in starts:
                 keys[a] = xxhash.xxh64_intdigest(f"{host}\n{' '.join(stream[a : a + RUN])}") - 2**63
     return keys
 
 
-def unique_runs(found: list[tuple[int, str]], keys: list[int | None], repeated: set[int]) -> list[str]:
-    """What of each plain block no repeated suffix covers; ends of under RUN tokens that a neighbour's suffix reaches into stay."""
+def unique_runs(texts: list[str], keys: list[int | None], repeated: set[int]) -> list[str]:
+    """What of each block no repeated suffix covers; ends of under RUN tokens that a neighbour's suffix reaches into stay."""
     covered = np.zeros(len(keys), dtype=bool)
     for k, key in enumerate(keys):
         if key in repeated:
             covered[k : k + RUN] = True
     out, at = [], 0
-    for kind, text in found:
+    for text in texts:
         tokens = text.split()
-        if kind == PLAIN:
-            own = covered[at : at + len(tokens)].copy()
+        own = covered[at : at + len(tokens)].copy()
+        if own.any():
             edges = np.flatnonzero(np.diff(np.concatenate([[0], own, [0]]))).reshape(-1, 2)
             for a, b in edges.tolist():
                 if b - a < min(RUN, len(tokens)):
                     own[a:b] = False
-            out.append(" ".join(t for t, gone in zip(tokens, own.tolist(), strict=True) if not gone))
+            text = " ".join(t for t, gone in zip(tokens, own.tolist(), strict=True) if not gone)
+        out.append(text)
         at += len(tokens)
-    return [t for t in out if t]
+    return out
+
+
+def page_keys(url: str | None, page: str) -> tuple[list[tuple[int, str, int | None]], list[_Box], set[int], list[int | None]]:
+    """The parsed page, and the names of its suffixes. An article's tokens say nothing about boilerplate, and have none; those of boxes in doubt do."""
+    found, boxes, text = parse(page)
+    settled = _settle(found, boxes, text)
+    return found, boxes, text, suffix_keys(url, [t for _, t in settled], [k != MAIN or box is not None for (k, _), (_, _, box) in zip(settled, found, strict=True)])
+
+
+def main_text(url: str | None, page: str, repeated: set[int]) -> str:
+    """What the suffix array leaves of a page, set right by the page's own marks."""
+    if repeated:
+        found, boxes, text, keys = page_keys(url, page)
+        left = unique_runs([t for _, t, _ in found], keys, repeated)
+    else:
+        found, boxes, text = parse(page)
+        left = [t for _, t, _ in found]
+    told, kept = set(), set()  # boxes with text, their own or of boxes within, and those of which something is left
+    for (_, _, box), rest in zip(found, left, strict=True):
+        while box is not None:
+            told.add(box)
+            if rest:
+                kept.add(box)
+            box = boxes[box].around
+    settled = _settle(found, boxes, text, told - kept)
+    if any(k == MAIN for k, _ in settled):
+        return "\n".join(t for k, t in settled if k == MAIN)
+    return "\n".join(rest for (k, _), rest in zip(settled, left, strict=True) if k == PLAIN and rest)
 
 
 def _rows(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    return pages.select("page_id", "url", html.alias("html"))
+    return pages.select("page_id", "url", html.alias("html")).withColumn("row", F.xxhash64("page_id", "url", "html"))
+
 
+def suffixes(rows: DataFrame) -> DataFrame:
+    """(key, content, row) of each different suffix of each page; content is the same for pages with equal token streams."""
 
-def suffixes(rows: DataFrame, least_pages: int) -> DataFrame:
-    """One reading of the pages (row, url, html): (row, keys) of each unmarked page's suffixes, and (key, content) of the
-    suffixes outside of articles, each with up to least_pages page contents a batch."""
+    def batch(columns: tuple[list[int], list[int], list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "content", "row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            met: dict[int, set[int]] = {}
-            unmarked: list[tuple[int, list[int]]] = []
+            out = [], [], []
             for row, url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                found = blocks(page.as_py())
-                content = xxhash.xxh64_intdigest("\n".join(t for _, t in found)) - 2**63
-                # an article's tokens say nothing about boilerplate, and stay whatever repeats
-                keys = suffix_keys(url, found, articles=False)
-                for key in {k for k in keys if k is not None}:
-                    pages_of = met.setdefault(key, set())
-                    if len(pages_of) < least_pages:
-                        pages_of.add(content)
-                if found and not marked(found):
-                    unmarked.append((row, list({k for k in keys if k is not None})))
-            keys = [k for k, pages_of in met.items() for _ in pages_of]
-            contents = [c for pages_of in met.values() for c in pages_of]
-            n, m = len(unmarked), len(keys)
-            out = [
-                pa.array([r for r, _ in unmarked] + [None] * m, pa.int64()), pa.array([k for _, k in unmarked] + [None] * m, pa.list_(pa.int64())),
-                pa.array([None] * n + keys, pa.int64()), pa.array([None] * n + contents, pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(out, ["row", "keys", "key", "content"])
-
-    return rows.select("row", "url", "html").mapInArrow(tidy(run), "row long, keys array<long>, key long, content long")
+                found, _, _, named = page_keys(url, page.as_py())
+                own = {k for k in named if k is not None}
+                content = xxhash.xxh64_intdigest("\n".join(t for _, t, _ in found)) - 2**63
+                for column, values in zip(out, (own, [content] * len(own), [row] * len(own)), strict=True):
+                    column.extend(values)
+                if len(out[0]) > 200_000:
+                    yield batch(out)
+                    out = [], [], []
+            yield batch(out)
+
+    return rows.select("row", "url", "html").mapInArrow(tidy(run), "key long, content long, row long")
+
+
+def repeated_suffixes(found: DataFrame, least_pages: int) -> DataFrame:
+    """(row, key) of the suffixes that stand on least_pages distinct contents: neighbours in the sorted array.
+
+    A task reads its sorted part once; it holds the rows of one suffix only as long as that is not on enough pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pages, held = None, 0, []  # the last suffix and content, on how many contents that suffix is, its rows if on too few
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, content, row = (c.to_numpy() for c in b.columns)
+            other = key[1:] != key[:-1]
+            starts = np.flatnonzero(np.concatenate([[True], other]))
+            fresh = np.concatenate([[last != (key[0], content[0])], other | (content[1:] != content[:-1])])
+            counts = np.add.reduceat(fresh.astype(np.int64), starts)
+            if last is not None and last[0] == key[0]:
+                counts[0] += pages
+            else:
+                held = []
+            enough = counts >= least_pages
+            taken = np.repeat(enough, np.diff(np.append(starts, len(key))))
+            before = np.concatenate(held) if held and enough[0] else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([before, row[taken]])), pa.array(np.concatenate([np.full(len(before), key[0]), key[taken]]))], ["row", "key"])
+            if len(starts) > 1 or enough[0]:
+                held = []
+            if not enough[-1]:
+                held.append(row[starts[-1] :].copy())
+            last, pages = (key[-1], content[-1]), int(counts[-1])
+
+    return found.repartition("key").sortWithinPartitions("key", "content").mapInArrow(tidy(run), "row long, key long")
 
 
 def extract(pages: DataFrame, least_pages: int = 3) -> DataFrame:
@@ -312,34 +364,11 @@ def extract(pages: DataFrame, least_pages: int = 3) -> DataFrame:
     rows = _rows(pages)
     ids = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:2])
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Marked pages."""
-        for b in batches:
-            keep, texts = [], []
-            for i, page in enumerate(b.column(2)):
-                found = blocks(page.as_py())
-                if marked(found) or not found:
-                    keep.append(i)
-                    texts.append("\n".join(t for k, t in found if k == MAIN))
-            part = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            for url, page, hit in zip(b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
-                found = blocks(page.as_py())
-                texts.append("\n".join(unique_runs(found, suffix_keys(url, found), set(hit or []))))
+            texts = [main_text(url, page.as_py(), set(hit or [])) for url, page, hit in zip(b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    keyed = rows.withColumn("row", F.xxhash64("page_id", "url", "html"))
-    met = cut(suffixes(keyed, least_pages))
-    unmarked = met.filter("row is not null").dropDuplicates(["row"])
-    if unmarked.isEmpty():
-        return rows.mapInArrow(tidy(read), f"{ids}, text string")
-    repeated = met.filter("row is null").select("key", "content").distinct().groupBy("key").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages).select(F.col("key").alias("seen"))
-    each = unmarked.select("row", F.explode_outer("keys").alias("key"))
-    hits = cut(each.join(repeated, F.col("key") == F.col("seen"), "left").groupBy("row").agg(F.collect_list("seen").alias("hit")))
-    # a page's hits are as long as the page: joined by size as Spark knows it, never broadcast by their number
-    rest = keyed.join(hits.hint("shuffle_hash"), "row").select("page_id", "url", "html", "hit").mapInArrow(tidy(sift), f"{ids}, text string")
-    return rows.mapInArrow(tidy(read), f"{ids}, text string").unionByName(rest)
+    hits = repeated_suffixes(suffixes(rows), least_pages).groupBy("row").agg(F.collect_list("key").alias("hit"))
+    # a page's hits are as long as what it has outside of articles: joined by size as Spark knows it, never broadcast by their number
+    return rows.join(hits.hint("shuffle_hash"), "row", "left").select("page_id", "url", "html", "hit").mapInArrow(tidy(sift), f"{ids}, text string")

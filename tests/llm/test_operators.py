@@ -652,6 +652,35 @@ def test_unmarked_pages_brute(spark):
     assert got == want and sum(map(len, want.values())) < sum(len(t) for _, t in pages)
 
 
+def test_marked_pages_meet_the_suffix_array(spark):
+    """In an article, a box that the host repeats gives way to one that it does not; with no other it stays, as articles do."""
+    notice = '<div class="notice"><p>please read the terms of this good site before you go on</p></div>'
+    page = "<article><h1>T{0}</h1>{1}<div class='widget'><p>{2}</p></div></article><footer>f{0}</footer>"
+    rows = [(i, f"https://h.x/{i}", page.format(i, notice, words(i, 20))) for i in range(4)]
+    rows += [(10 + i, f"https://two.x/{i}", page.format(i, notice, words(i, 20))) for i in range(2)]
+    rows += [(20 + i, f"https://copy.x/{i}", f"<article><h1>T{i}</h1><div class='widget'><p>{words(90, 20)}</p></div></article>") for i in range(4)]
+    got = {r.page_id: r.text for r in pagetext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in range(4)} == {i: f"T{i}\n{words(i, 20)}" for i in range(4)}
+    assert {got[10], got[11]} == {f"T{i}\nplease read the terms of this good site before you go on" for i in range(2)}
+    assert {i: got[20 + i] for i in range(4)} == {i: f"T{i}\n{words(90, 20)}" for i in range(4)}
+
+
+def test_repeated_suffixes_brute(spark):
+    """Suffixes of marked and unmarked pages alike, in batches that split the rows of one suffix."""
+    r = np.random.default_rng(5)
+    found = [(int(k), int(c), i) for i, (k, c) in enumerate(zip(r.integers(0, 300, 5000), r.integers(0, 4, 5000), strict=True))] + [(-7, i % 2, 6000 + i) for i in range(3000)] + [(-8, i // 1400, 9000 + i) for i in range(3000)]
+    on = collections.defaultdict(set)
+    for k, c, _ in found:
+        on[k].add(c)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = pagetext.repeated_suffixes(spark.createDataFrame(found, "key long, content long, row long"), 3).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted((x.key, x.row) for x in got) == sorted((k, i) for k, _, i in found if len(on[k]) >= 3)
+
+
 def test_no_pages(spark):
     assert pagetext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
