@@ -369,6 +369,6 @@ def extract(pages: DataFrame, least_pages: int = 3) -> DataFrame:
             texts = [main_text(url, page.as_py(), set(hit or [])) for url, page, hit in zip(b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    hits = repeated_suffixes(suffixes(rows), least_pages).groupBy("row").agg(F.collect_list("key").alias("hit"))
+    hits = repeated_suffixes(suffixes(rows), least_pages).groupBy("row").agg(F.collect_set("key").alias("hit"))  # once each, however often a row is repeated
     # a page's hits are as long as what it has outside of articles: joined by size as Spark knows it, never broadcast by their number
     return rows.join(hits.hint("shuffle_hash"), "row", "left").select("page_id", "url", "html", "hit").mapInArrow(tidy(sift), f"{ids}, text string")

@@ -665,6 +665,16 @@ def test_marked_pages_meet_the_suffix_array(spark):
     assert {i: got[20 + i] for i in range(4)} == {i: f"T{i}\n{words(90, 20)}" for i in range(4)}
 
 
+def test_repeated_rows_meet_each_suffix_once(spark):
+    """3,000 equal rows take neither 3,000 times the suffixes nor count as more than one page."""
+    page = "<div>all about us and our many friends in here</div><p>{}</p>"
+    rows = [(1, "https://h.x/1", page.format(words(1, 20)))] * 3000 + [(i, f"https://h.x/{i}", page.format(words(i, 20))) for i in (2, 3)]
+    rows += [(7, "https://one.x/7", page.format(words(7, 20)))] * 3000
+    got = pagetext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).groupBy("page_id", "text").count().collect()
+    want = {1: (words(1, 20), 3000), 2: (words(2, 20), 1), 3: (words(3, 20), 1), 7: (f"all about us and our many friends in here\n{words(7, 20)}", 3000)}
+    assert {r.page_id: (r.text, r["count"]) for r in got} == want
+
+
 def test_repeated_suffixes_brute(spark):
     """Suffixes of marked and unmarked pages alike, in batches that split the rows of one suffix."""
     r = np.random.default_rng(5)
