@@ -26,7 +26,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _search(query: str, kind: str = "", with_products: bool = True):
-    return lambda spark, d: _shown(search(tables.stored_index(spark, d, with_products), query, 10, kind)), S.search(query, 10, kind, with_products)
+    return lambda spark, d: _shown(search(tables.stored_index(spark, d, with_products and kind != "page", kind != "product"), query, 10, kind)), S.search(query, 10, kind, with_products)
 
 
 def _soft(query: str, with_products: bool = False):

@@ -175,3 +175,33 @@ def test_chunks_cover(spark, text, target):
             found = text.find(r.text, max(0, at - 200))
             assert found >= 0
             at = found + len(r.text)
+
+
+def test_lists_hold_what_postings_do(spark):
+    """Lists of terms by block against postings, lexicon, bounds and statistics made row by row; no shuffle beside dealing the pages."""
+    rng = random.Random(7)
+    some = lambda n: " ".join(rng.choices([f"w{i}" for i in range(30)], k=n))
+    rows = [(f"s{i % 2}", f"u{i // 3}", i % 3, some(2), some(1) if i % 5 == 0 else None, some(rng.randint(0, 40)) if i % 7 else "...") for i in range(600)]
+    rows = spark.createDataFrame(rows, "site string, page_url string, ord int, title string, heading_path string, text string")
+    keys = ["site", "page_url", "ord"]
+    made = index.term_lists(index.dealt_by_block(rows, 5, 4), index.PAGE_WEIGHTS, 5)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = index.lists_read(made.cache(), keys)
+    wanted = index.postings(rows, keys, index.PAGE_WEIGHTS).withColumn("block", index.block_of(bits=5))
+    both = {"postings": wanted.select(*got["postings"].columns), "lexicon": index.lexicon(wanted), "bounds": index.block_bounds(wanted), "stats": index.corpus_stats(rows, index.PAGE_WEIGHTS)}
+    for name, df in both.items():
+        assert sorted(map(tuple, got[name].collect())) == sorted(map(tuple, df.select(*got[name].columns).collect()))
+
+
+def test_long_texts_take_time_by_their_length():
+    """24 million letters: each window is cut once, none looks through the text before it."""
+    import time
+
+    began = time.monotonic()
+    assert sum(1 for _ in chunk.windows("ab cd " * 4_000_000, 1200, 1080)) > 20_000
+    assert time.monotonic() - began < 20
+
+
+def test_headings_as_lines_have_them():
+    text = "intro\n# A \r\n#no\n####### no\n## B\n\n### C\nc\n# D\n \n## E\ne"
+    assert list(chunk.sections(text)) == [("", "intro"), ("A", "#no\n####### no"), ("A > B > C", "c"), ("D > E", "e")]

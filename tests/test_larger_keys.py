@@ -72,3 +72,28 @@ def test_chunks_are_cut_by_many_tasks(spark, tmp_path):
 
     _documents(spark, 50).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     assert tables.chunks(spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_products_are_found_without_documents(spark, tmp_path):
+    """A search for products builds and reads nothing of pages; one for pages nothing of products."""
+    from quarry.plans import tables
+
+    _parts(spark, 40).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert e.queries()["search_type_product"](spark, str(tmp_path)).count() == 0
+    index = tables.stored_index(spark, str(tmp_path), with_pages=False)
+    assert index.texts is None and index.product_stats.first()["n"] == 40 and index.product_lexicon.filter("term = 'bolt'").first()["rows"] == 40
+    _documents(spark, 30).coalesce(1).write.parquet(f"{tmp_path}/only/documents.parquet")
+    assert e.queries()["search_type_page"](spark, f"{tmp_path}/only").count() == 0
+
+
+def test_stored_index_matches_its_sql(spark, tmp_path):
+    documents = spark.range(3000).selectExpr("id AS doc_id", "concat(repeat(concat('word', id % 40, ' of the small ring '), cast(id % 90 as int)), if(id % 3 = 0, 'licensed under Äpfel', '')) AS text", "'en' AS lang", "'web' AS source", "10L AS n_chars")
+    assert _matches(spark, "term_lexicon", folder=tmp_path, documents=documents, part=_parts(spark, 300)) > 40
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("search_flagship", "search_merged", "search_products", "search_type_page", "search_common"):
+        got = e.queries()[name](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({e.oracle_sql()[name]})").fetchall(), key=repr)
