@@ -114,3 +114,13 @@ def test_files_are_read_by_tasks(spark, tmp_path):
     assert [tuple(r) for r in found.collect()] == [("s", "a.md", "---\nä")] and "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(PythonException):
         export.read_markdown(pages, str(tmp_path)).collect()
+
+
+def test_a_write_keeps_chunks_once(spark, tmp_path, monkeypatch):
+    """Of the tables that a write keeps for a while one holds chunks; what is stored of pages written twice is what the SQL says."""
+    from quarry import engine
+
+    kept, compact = [], engine.compact
+    monkeypatch.setattr(engine, "compact", lambda df: kept.append(df.columns) or compact(df))
+    assert _matches(spark, "store_upsert", folder=tmp_path, documents=_documents(spark, 70)) == 70
+    assert sum({"ord", "text"} <= set(c) for c in kept) == 2  # of two writes
